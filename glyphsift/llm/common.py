@@ -111,7 +111,7 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
             for i in live:
                 body = raw[start[i] + k : end[i]].astype(np.uint64) + np.uint64(1)
                 where = np.arange(k, k + len(body)) % len(power)
-                out[i] += (body * power[where] * (np.arange(k, k + len(body), dtype=np.uint64) // np.uint64(len(power)) * np.uint64(2) + np.uint64(1))).sum()
+                out[i : i + 1] += (body * power[where] * (np.arange(k, k + len(body), dtype=np.uint64) // np.uint64(len(power)) * np.uint64(2) + np.uint64(1))).sum()
             break
         out[live] += (padded[start[live] + k].astype(np.uint64) + np.uint64(1)) * power[k]
     return mixed(out ^ (length.astype(np.uint64) << np.uint64(48)))

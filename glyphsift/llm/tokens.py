@@ -11,6 +11,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +35,26 @@ class ChunkEncoder:
     def __init__(self, path: str, dtype: str, end_id: int | None):
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype, self.first, self.later = dtype, {}, {}
+        (self.feed_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = np.array([self.feed_id], self.dtype).tobytes()
         self.end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
         self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|<\|").search
 
     def _learn(self, missing: list[str], into: dict, space: str) -> None:
-        got = self.tokenizer.encode_batch([space + m for m in missing], add_special_tokens=False)
-        into.update((m, np.array(e.ids, self.dtype).tobytes()) for m, e in zip(missing, got, strict=True))
+        """Encodes chunks, many in one text: a line feed between them is cut off as an id of its own."""
+        width = np.dtype(self.dtype).itemsize
+        for i in range(0, len(missing), 20_000):
+            part = missing[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode("\n".join([space + m for m in part]), add_special_tokens=False).ids, self.dtype)
+            cut = (np.flatnonzero(ids == self.feed_id) * width).tolist()
+            data = ids.tobytes()
+            into.update(zip(part, [data[a:z] for a, z in zip([0, *(c + width for c in cut)], [*cut, len(data)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the end id, as bytes of the file's integers."""
@@ -63,7 +73,7 @@ class ChunkEncoder:
             self._learn(missing, self.first, "")
         if missing := [w for w in laters if w not in self.later]:
             self._learn(missing, self.later, " ")
-        feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, self.dtype).tobytes()
+        feed = self.feed
         out = [self.end] * len(texts)
         first, later = self.first, self.later
         for i, cut in lines.items():
@@ -73,16 +83,16 @@ class ChunkEncoder:
         return out
 
 
-def _parts(texts: list[str], most: int = 4_000_000):
-    """Runs of texts of about ``most`` characters."""
+def _parts(sizes: list[int], most: int = 2_000_000):
+    """Runs of rows of about ``most`` bytes."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= most:
             yield begin, i + 1
             begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _open(folder: str):
@@ -115,12 +125,12 @@ def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", te
         encoder, offsets, keys, nulls, total = None, [np.zeros(1, np.int64)], [], 0, 0
         with out.open_output_stream(f"{at}/{name}.bin") as ids:
             for batch in batches:
-                texts = batch.column(1).to_pylist()
                 nulls += batch.column(0).null_count
                 keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 encoder = encoder or ChunkEncoder(vocabulary, dtype, end_id)
-                for a, b in _parts(texts):
-                    got = encoder.encode(texts[a:b])
+                sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for a, b in _parts(sizes.tolist()):
+                    got = encoder.encode(batch.column(1).slice(a, b - a).to_pylist())
                     ids.write(b"".join(got))
                     ends = total + np.cumsum([len(g) for g in got], dtype=np.int64) // np.dtype(dtype).itemsize
                     offsets.append(ends)
