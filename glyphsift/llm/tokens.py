@@ -6,6 +6,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from urllib.parse import urlparse
 
 import numpy as np
@@ -19,10 +20,29 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir
 
-#: Chunks of text whose ids a worker remembers before it starts anew; bounds its memory.
+#: Chunks of text whose ids a worker remembers, in each of two generations; bounds its memory.
 REMEMBERED = 400_000
 
 
+class Remembered:
+    """Ids of chunks, in two generations: when the newer one is full it becomes the older, and the older goes."""
+
+    def __init__(self, encode, space: str):
+        self.encode, self.space, self.newer, self.older = encode, space, {"": None}, {}
+
+    def learn(self, chunks: set) -> None:
+        missing = chunks - self.newer.keys()
+        if len(self.newer) > REMEMBERED:
+            self.newer, self.older = {"": None}, self.newer
+            missing = chunks - self.newer.keys()
+        known = missing & self.older.keys()
+        self.newer.update((c, self.older[c]) for c in known)
+        missing = list(missing - known)
+        self.newer.update(zip(missing, self.encode([self.space + c for c in missing]), strict=True))
+        # a chunk with white space of another kind leaves its text to be encoded whole
+        self.newer.update((c, None) for c in missing if c.split() != [c])
+
+
 class ChunkEncoder:
     """Encodes texts with a byte-level BPE tokenizer, remembering the ids of frequent chunks.
 
@@ -33,53 +53,43 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, dtype: str, end_id: int | None):
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.first, self.later = dtype, {}, {}
-        (self.feed_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = np.array([self.feed_id], self.dtype).tobytes()
+        self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
+        self.first, self.later = Remembered(self._plain, ""), Remembered(self._plain, " ")
+        (self.feed,) = self._plain(["\n"])
         self.end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
-        self.odd = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z|<\|").search
-
-    def _learn(self, missing: list[str], into: dict, space: str) -> None:
-        """Encodes chunks, many in one text: a line feed between them is cut off as an id of its own."""
-        width = np.dtype(self.dtype).itemsize
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join([space + m for m in part]), add_special_tokens=False).ids, self.dtype)
-            cut = (np.flatnonzero(ids == self.feed_id) * width).tolist()
-            data = ids.tobytes()
-            into.update(zip(part, [data[a:z] for a, z in zip([0, *(c + width for c in cut)], [*cut, len(data)], strict=True)], strict=True))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 4096):
+            got = self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)
+            out += [array(self.code, e.ids).tobytes() for e in got]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the end id, as bytes of the file's integers."""
-        if len(self.first) + len(self.later) > REMEMBERED:
-            self.first, self.later = {}, {}
-        whole = [i for i, t in enumerate(texts) if self.odd(t)]
-        odd, lines = set(whole), {}
-        firsts, laters = set(), set()
-        for i, t in enumerate(texts):
-            if i not in odd and t:
-                lines[i] = cut = [line.split(" ") for line in t.split("\n")]
-                for words in cut:
-                    firsts.add(words[0])
-                    laters.update(words[1:])
-        if missing := [w for w in firsts if w not in self.first]:
-            self._learn(missing, self.first, "")
-        if missing := [w for w in laters if w not in self.later]:
-            self._learn(missing, self.later, " ")
-        feed = self.feed
-        out = [self.end] * len(texts)
-        first, later = self.first, self.later
-        for i, cut in lines.items():
-            out[i] = feed.join(first[words[0]] + b"".join([later[w] for w in words[1:]]) for words in cut) + self.end
-        for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.dtype).tobytes() + self.end
+        cut, firsts, laters = [], set(), set()
+        for t in texts:
+            lines = []
+            for line in t.split("\n"):
+                words = line.split(" ")
+                w = words.pop(0)
+                lines.append((w, words))
+                firsts.add(w)
+                laters.update(words)
+            cut.append(lines)
+        self.first.learn(firsts)
+        self.later.learn(laters)
+        first, later, out = self.first.newer, self.later.newer.__getitem__, []
+        for lines, t in zip(cut, texts, strict=True):
+            try:
+                out.append(self.feed.join([first[w] + b"".join(map(later, words)) for w, words in lines]) + self.end)
+            except TypeError:  # a chunk that is remembered as None
+                out.append((self._plain([t])[0] if t else b"") + self.end)
         return out
 
 
