@@ -134,7 +134,7 @@ class Mix:
 
     def joined(self) -> DataFrame:
         """Each piece once for each time that the mix takes its block."""
-        return self.pieces().join(self.slots().select("key", "block", "repeat"), ["key", "block"])
+        return self.pieces().join(self.slots().select("key", "block", "repeat").hint("merge"), ["key", "block"])
 
 
 def mix_sizes(docs: DataFrame, **how) -> DataFrame:
@@ -148,7 +148,7 @@ def mix_sizes(docs: DataFrame, **how) -> DataFrame:
     mix = Mix(docs, **how)
     spark = docs.sparkSession
     known = spark.createDataFrame([(k, v[1], float(v[2])) for k, v in mix.sources.items()], "key string, source_size long, target double")
-    taken = mix.pieces().join(mix.slots().groupBy("key", "block").agg(F.count("*").alias("times")), ["key", "block"]).groupBy("k", "chunk", "nth", "key").agg(F.sum((F.col("stop") - F.col("begin")) * F.col("times")).alias("taken"))
+    taken = mix.pieces().join(mix.slots().groupBy("key", "block").agg(F.count("*").alias("times")).hint("merge"), ["key", "block"]).groupBy("k", "chunk", "nth", "key").agg(F.sum((F.col("stop") - F.col("begin")) * F.col("times")).alias("taken"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("k", "chunk", "nth", "key")]
-    out = mix.docs.alias("d").join(taken.alias("t"), same[0] & same[1] & same[2] & same[3], "left").select("d.k", "d.key", "d.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    out = mix.docs.alias("d").join(taken.alias("t").hint("merge"), same[0] & same[1] & same[2] & same[3], "left").select("d.k", "d.key", "d.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     return out.join(known, "key").select(F.col("k").alias(mix.key), "size", "source_size", "target", "taken")
