@@ -7,10 +7,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_buffers, mixed, saved, text_bytes, word_hashes, word_spans
+from .common import joined_buffers, mixed, saved, word_hashes, word_spans
 from .components import components
 from .repeats import blobs, packed, unpacked
 
@@ -38,6 +39,10 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray
     return out
 
 
+def offsets_of(length: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+
+
 def least_overlap(size: int, percent: int) -> int:
     """What a set of ``size`` shares at least with any set it links to."""
     return -(-percent * size // 100)
@@ -83,44 +88,61 @@ def cheapest_boundary(histogram: list[tuple[int, int]], percent: int, scan: floa
 
 
 class Join:
-    """One self-join of documents; see ``classes``."""
+    """One self-join of documents; see ``classes``.
+
+    Texts are packed once into batches of about ``batch_bytes``, one compressed row each, in the shared folder;
+    what reads them again needs no shuffle. An entity is the first row of a batch with its set.
+    """
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, batch_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20, scan: float = 4.0, most_frequent: int = 1 << 17):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, batch_bytes: int = 4 << 20, batches_a_bucket: int = 8, scan: float = 4.0, most_frequent: int = 1 << 17):
         self.width, self.percent, self.scan, self.most_frequent = width, percent, scan, most_frequent
         self.spark = docs.sparkSession
-        total = text_bytes(docs, text)
-        self.n_batches, self.n_buckets = max(64, total // batch_bytes), max(64, total // bucket_bytes)
-        key_ = F.col(key).cast("long")
-        self.docs = docs.select(key_.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(F.xxhash64(key_), F.lit(self.n_batches)).cast("int").alias("b"))
-
-    @staticmethod
-    def _rows(rows: pa.Table):
-        """Keys (with nulls) and buffers of a batch's rows, in an order that does not depend on the run."""
-        rows = rows.combine_chunks()
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("k", "ascending"), ("t", "ascending")], null_placement="at_start")).combine_chunks()
-        column = rows.column("t")
-        return rows.column("k"), *joined_buffers(column.chunk(0) if column.num_chunks else pa.array([], pa.large_string()))
+
+        def pack(rows):
+            base, seq, keys, nulls, texts, size = TaskContext.get().partitionId() << 16, 0, [], [], [], 0
+
+            def done():
+                length = np.array([len(t) for t in texts], "<i4")
+                blob = packed([np.array(keys, "<i8"), np.array(nulls, "u1"), length, np.frombuffer(b"".join(texts), np.uint8)])
+                return pa.RecordBatch.from_arrays([pa.array([base + seq]), pa.array([blob], pa.binary())], ["b", "blob"])
+
+            for batch in rows:
+                raw, at = joined_buffers(batch.column(1))
+                data = raw.tobytes()
+                for k, a, z in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    keys.append(0 if k is None else k)
+                    nulls.append(k is None)
+                    texts.append(data[a:z])
+                    size += z - a
+                    if size >= batch_bytes or len(keys) == PLACES - 1:
+                        yield done()
+                        seq, keys, nulls, texts, size = seq + 1, [], [], [], 0
+            if keys:
+                yield done()
+
+        self.batches = saved(docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(pack, "b long, blob binary"))
+        self.n_buckets = max(64, self.batches.count() // batches_a_bucket)
 
     def sets(self) -> DataFrame:
-        """(e, k, n, d1, d2, frequent): each row's entity, set size and 128-bit digest of its set; one row of
-        each batch also carries the shingles that two or more of the batch's different sets hold."""
+        """(e, own, k, n, d1, d2, frequent): each row's entity, whether it is the row itself, key, set size and
+        128-bit digest of its set; one row of each batch also carries the shingles that two or more of the
+        batch's different sets hold."""
         width = self.width
-        schema = pa.schema([("e", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("frequent", pa.binary())])
 
-        def f(rows: pa.Table) -> pa.Table:
-            b = rows.column("b")[0].as_py()
-            keys, raw, at = self_rows(rows)
-            found = shingle_sets(raw, at, width)
-            digest = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found)
-            d = np.frombuffer(digest, np.int64).reshape(-1, 2)
-            _, one = np.unique(d, axis=0, return_index=True)
-            values, count = np.unique(np.concatenate([found[i] for i in one]), return_counts=True)
-            blob = [None] * len(found)
-            blob[0] = packed([values[count > 1], count[count > 1].astype("<i4")])
-            return pa.table([pa.array(np.arange(len(found)) + b * PLACES), keys.combine_chunks(), pa.array([len(s) for s in found], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(blob, pa.binary())], schema=schema)
-
-        self_rows = self._rows
-        return self.docs.groupBy("b").applyInArrow(f, "e long, k long, n long, d1 long, d2 long, frequent binary")
+        def f(rows):
+            for batch in rows:
+                for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    keys, nulls, length, raw = unpacked(blob, ["<i8", "u1", "<i4", "u1"])
+                    found = shingle_sets(raw, offsets_of(length), width)
+                    d = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found), np.int64).reshape(-1, 2)
+                    _, one, same = np.unique(d, axis=0, return_index=True, return_inverse=True)
+                    values, count = np.unique(np.concatenate([found[i] for i in one]), return_counts=True)
+                    often = [None] * len(found)
+                    often[0] = packed([values[count > 1], count[count > 1].astype("<i4")])
+                    first = one[same.reshape(-1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(first + b * PLACES), pa.array(first == np.arange(len(first))), pa.array(keys, mask=nulls.astype(bool)), pa.array([len(s) for s in found], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(often, pa.binary())], ["e", "own", "k", "n", "d1", "d2", "frequent"])
+
+        return self.batches.mapInArrow(f, "e long, own boolean, k long, n long, d1 long, d2 long, frequent binary")
 
     def frequent(self, sets: DataFrame):
         """The most frequent shingles by what the batches saw, at most ``most_frequent``: they come last in the
@@ -138,37 +160,31 @@ class Join:
         by = np.argsort(values)
         return self.spark.sparkContext.broadcast((values[by], count[by]))
 
-    def entries(self, reps: DataFrame, frequent, boundary: int) -> DataFrame:
-        """(b, blob of signature, entity, size) of the sets that represent their class."""
+    def entries(self, frequent, boundary: int) -> DataFrame:
+        """(b, blob of signature, place, size): the signatures of each batch's entities."""
         width, percent = self.width, self.percent
-        schema = pa.schema([("b", pa.int32()), ("blob", pa.binary())])
 
-        def f(rows: pa.Table, said: pa.Table) -> pa.Table:
-            if not len(rows) or not len(said):
-                return schema.empty_table()
-            b = rows.column("b")[0].as_py()
+        def f(rows):
             values, count = frequent.value
-            _, raw, at = self_rows(rows)
-            place = np.sort(said.column("e").to_numpy() - b * PLACES)
-            # only the rows that represent a class are read again
-            keep = np.concatenate([np.arange(at[i], at[i + 1]) for i in place]) if len(place) < len(at) - 1 else slice(None)
-            found = shingle_sets(raw[keep], np.concatenate([[0], np.cumsum(np.diff(at)[place])]), width)
-            sig, owner, size = [], [], []
-            for i, s in zip(place.tolist(), found, strict=True):
-                if len(values) and len(s):
-                    where = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    rank = np.where(values[where] == s, count[where], 0)
-                else:
-                    rank = np.zeros(len(s), np.int64)
-                sig.append(signatures(s, rank, percent, boundary))
-                owner.append(np.full(len(sig[-1]), i, np.int32))
-                size.append(np.full(len(sig[-1]), len(s), np.int32))
-            if not sum(map(len, sig)):
-                return schema.empty_table()
-            return pa.table([[b], [packed([np.concatenate(x) for x in (sig, owner, size)])]], schema=schema)
-
-        self_rows = self._rows
-        return self.docs.groupBy("b").cogroup(reps.groupBy("b")).applyInArrow(f, "b int, blob binary")
+            for batch in rows:
+                for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    _, _, length, raw = unpacked(blob, ["<i8", "u1", "<i4", "u1"])
+                    sig, owner, size, seen = [], [], [], set()
+                    for i, s in enumerate(shingle_sets(raw, offsets_of(length), width)):
+                        if len(s) < 4 or (mark := s.tobytes()) in seen:
+                            continue
+                        seen.add(mark)
+                        rank = np.zeros(len(s), np.int64)
+                        if len(values):
+                            where = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                            rank = np.where(values[where] == s, count[where], 0)
+                        sig.append(signatures(s, rank, percent, boundary))
+                        owner.append(np.full(len(sig[-1]), i, np.int32))
+                        size.append(np.full(len(sig[-1]), len(s), np.int32))
+                    if sig:
+                        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([packed([np.concatenate(x) for x in (sig, owner, size)])], pa.binary())], ["b", "blob"])
+
+        return self.batches.mapInArrow(f, "b long, blob binary")
 
     def stars(self, entries: DataFrame) -> DataFrame:
         """Pairs (a, b) of each signature's first set with the others that may link to it by size.
@@ -207,16 +223,15 @@ class Join:
         """The pairs whose sets link. Texts travel compressed, each to the pairs that hold it."""
         width, percent = self.width, self.percent
         wanted = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
-        wanted = wanted.withColumn("b", F.floor(F.col("e") / F.lit(PLACES)).cast("int"))
+        wanted = wanted.withColumn("b", F.floor(F.col("e") / F.lit(PLACES)).cast("long"))
         schema = pa.schema([("e", pa.int64()), ("t", pa.binary())])
 
         def cut(rows: pa.Table, said: pa.Table) -> pa.Table:
             if not len(rows) or not len(said):
                 return schema.empty_table()
-            _, raw, at = self_rows(rows)
-            e, data = said.column("e").to_numpy(), raw.tobytes()
-            place = e % PLACES
-            return pa.table([pa.array(e), pa.array([packed([np.frombuffer(data, np.uint8, at[i + 1] - at[i], at[i])]) for i in place], pa.binary())], schema=schema)
+            _, _, length, raw = unpacked(rows.column("blob")[0].as_py(), ["<i8", "u1", "<i4", "u1"])
+            at, e = offsets_of(length), said.column("e").to_numpy()
+            return pa.table([pa.array(e), pa.array([packed([raw[at[i] : at[i + 1]]]) for i in e % PLACES], pa.binary())], schema=schema)
 
         def check(batches):
             known: dict = {}
@@ -239,42 +254,42 @@ class Join:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-        self_rows = self._rows
-        texts = self.docs.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(cut, "e long, t binary")
-        texts = saved(texts)
+        texts = saved(self.batches.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(cut, "e long, t binary"))
         one = pairs.join(texts.select(F.col("e").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
         two = one.join(texts.select(F.col("e").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
         return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
-    def crossing(self, entries: DataFrame, roots: DataFrame) -> DataFrame:
+    def crossing(self, entries: DataFrame, names: DataFrame) -> DataFrame:
         """All pairs of one signature that may link by size and aren't in one component yet.
 
+        names: (e, rep, root) of the entities that another represents or that are in a component.
+
         Batches first tell the buckets the least and largest component of each signature; signatures with one
         component are done. Of the others all sets go to the bucket.
         """
         n, percent = self.n_buckets, self.percent
-        named = roots.withColumn("b", F.floor(F.col("node") / F.lit(PLACES)).cast("int"))
+        named = names.withColumn("b", F.floor(F.col("e") / F.lit(PLACES)).cast("long"))
 
         def of(rows: pa.Table, said: pa.Table):
             b = rows.column("b")[0].as_py()
             sig, owner, size = unpacked(rows.column("blob")[0].as_py(), ["<u8", "<i4", "<i4"])
             e = owner.astype(np.int64) + b * PLACES
-            root = e.copy()
+            rep, root = e.copy(), e.copy()
             if len(said):
-                node = said.column("node").to_numpy()
+                node = said.column("e").to_numpy()
                 by = np.argsort(node)
-                node, name = node[by], said.column("root").to_numpy()[by]
+                node = node[by]
                 at = np.minimum(np.searchsorted(node, e), len(node) - 1)
-                root = np.where(node[at] == e, name[at], e)
-            return b, sig, e, size, root
+                rep, root = (np.where(node[at] == e, said.column(c).to_numpy()[by][at], e) for c in ("rep", "root"))
+            return b, sig, rep, size, root
 
-        told = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())])
+        told = pa.schema([("bucket", pa.int32()), ("b", pa.int64()), ("blob", pa.binary())])
 
         def spread(b, bucket, arrays) -> pa.Table:
             by = np.argsort(bucket, kind="stable")
             cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
             out = [packed([x[by[i:j]] for x in arrays]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.table([pa.array(bucket[by[cut[:-1]]].astype(np.int32)), pa.array([b] * len(out), pa.int32()), pa.array(out, pa.binary())], schema=told)
+            return pa.table([pa.array(bucket[by[cut[:-1]]].astype(np.int32)), pa.array([b] * len(out), pa.int64()), pa.array(out, pa.binary())], schema=told)
 
         def announce(rows: pa.Table, said: pa.Table) -> pa.Table:
             if not len(rows):
@@ -285,7 +300,7 @@ class Join:
             cut = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
             return spread(b, (sig[cut[:-1]] % np.uint64(n)).astype(np.int64), [sig[cut[:-1]], root[cut[:-1]], root[cut[1:] - 1]])
 
-        answered = pa.schema([("b", pa.int32()), ("mixed", pa.binary())])
+        answered = pa.schema([("b", pa.int64()), ("mixed", pa.binary())])
 
         def answer(rows: pa.Table) -> pa.Table:
             got = [unpacked(x, ["<u8", "<i8", "<i8"]) for x in blobs(rows.column("blob"))]
@@ -300,13 +315,13 @@ class Join:
                 if mix.any():
                     out.append((b, packed([g[0][mix]])))
             q, x = zip(*out, strict=True) if out else ((), ())
-            return pa.table([pa.array(q, pa.int32()), pa.array(x, pa.binary())], schema=answered)
+            return pa.table([pa.array(q, pa.int64()), pa.array(x, pa.binary())], schema=answered)
 
         def send(rows: pa.Table, said: pa.Table) -> pa.Table:
             mix = [unpacked(x, ["<u8"])[0] for x in blobs(said.column("mixed"))] if len(said) else []
             if not len(rows) or not mix:
                 return told.empty_table()
-            b, sig, e, size, root = of(rows, said.filter(pc.is_valid(said.column("node"))))
+            b, sig, e, size, root = of(rows, said.filter(pc.is_valid(said.column("e"))))
             keep = np.isin(sig, np.concatenate(mix))
             sig, e, size, root = sig[keep], e[keep], size[keep], root[keep]
             return spread(b, (sig % np.uint64(n)).astype(np.int64), [sig, e, size, root])
@@ -316,10 +331,11 @@ class Join:
             found = unlike(*(np.concatenate(x) for x in zip(*got, strict=True)), percent)
             return pa.table([[packed(found)]], schema=pa.schema([("blob", pa.binary())]))
 
-        kind = "bucket int, b int, blob binary"
+        kind = "bucket int, b long, blob binary"
         announced = entries.groupBy("b").cogroup(named.groupBy("b")).applyInArrow(announce, kind)
-        mixed_ = announced.groupBy("bucket").applyInArrow(answer, "b int, mixed binary")
-        said = named.select("b", "node", "root", F.lit(None).cast("binary").alias("mixed")).unionByName(mixed_.select("b", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("root"), "mixed"))
+        mixed_ = announced.groupBy("bucket").applyInArrow(answer, "b long, mixed binary")
+        nothing = [F.lit(None).cast("long").alias(c) for c in ("e", "rep", "root")]
+        said = named.select("b", "e", "rep", "root", F.lit(None).cast("binary").alias("mixed")).unionByName(mixed_.select("b", *nothing, "mixed"))
         sent = entries.groupBy("b").cogroup(said.groupBy("b")).applyInArrow(send, kind)
         return rows_of(sent.groupBy("bucket").applyInArrow(pair, "blob binary"))
 
@@ -386,19 +402,28 @@ def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """
     join = Join(docs, key, **how)
     sets = saved(join.sets())
-    live = sets.where("n > 0")
-    reps = saved(live.groupBy("d1", "d2").agg(F.min("e").alias("e"), F.max("n").alias("n"), F.min("k").alias("least")))
+    reps = sets.where("own AND n > 0").groupBy("d1", "d2").agg(F.min("e").alias("rep"), F.max("n").alias("n"))
     log = F.floor(F.log(F.col("n")) / F.lit(0.05))
     histogram = [(int(r["n"]), r["c"]) for r in reps.groupBy(log.alias("bin")).agg(F.avg("n").alias("n"), F.count("*").alias("c")).collect()]
     boundary = cheapest_boundary(histogram, join.percent, join.scan)
-    asked = reps.select("e", F.floor(F.col("e") / F.lit(PLACES)).cast("int").alias("b"))
-    entries = saved(join.entries(asked, join.frequent(sets), boundary))
-    near = saved(join.verified(saved(join.stars(entries))))
+    entries = saved(join.entries(join.frequent(sets), boundary))
+    # equal sets of different batches count as one entity from here on
+    names = saved(sets.where("own AND n > 0").select("e", "d1", "d2").join(reps.select("d1", "d2", "rep").hint("merge"), ["d1", "d2"]).select("e", "rep"))
+    canon = names.where("e <> rep")
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    near = saved(join.verified(saved(merged(join.stars(entries)))))
     roots = components(near)
-    far = saved(join.verified(saved(join.crossing(entries, roots))))
-    links = near.unionByName(far)
-    roots = roots if far.isEmpty() else components(links)
-    of = reps.join(roots.withColumnRenamed("node", "e"), "e", "left").select("d1", "d2", "least", F.coalesce("root", "e").alias("root"))
-    named = of.groupBy("root").agg(F.min("least").alias("component_id")).join(of, "root").select("d1", "d2", "component_id")
-    out = sets.select("k", "n", "d1", "d2").join(named.hint("merge"), ["d1", "d2"], "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+    placed = names.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root"))
+    far = saved(join.verified(saved(join.crossing(entries, placed.where("e <> root")))))
+    if not far.isEmpty():
+        roots = components(near.unionByName(far))
+    placed = names.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("e", F.coalesce("root", "rep").alias("root"))
+    rooted = sets.where("n > 0").select("k", "n", "e").join(placed.hint("merge"), "e").select("k", "n", "root")
+    least = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
+    out = rooted.join(least.hint("merge"), "root").select("k", "n", "component_id").unionByName(sets.where("n = 0").select("k", "n", F.col("k").alias("component_id")))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
