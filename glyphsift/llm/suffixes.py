@@ -140,7 +140,7 @@ class Shard:
         self.sorted = self.window[self.earliest]  # one position for each distinct window, in order
 
     def compare(self, mine: np.ndarray, other: Shard, theirs: np.ndarray) -> np.ndarray:
-        """Signs of my windows against the other's, byte by byte."""
+        """Signs of my windows against the other's, eight bytes at a time."""
         sign, live = np.zeros(len(mine), np.int8), np.arange(len(mine))
         for i in range(0, self.k, 8):
             a, b = self.words[mine[live] + i], other.words[theirs[live] + i]
@@ -153,42 +153,52 @@ class Shard:
                 break
         return sign
 
-    def found_in(self, earlier: Shard, block: int = 1 << 18) -> np.ndarray:
-        """Which of my distinct windows the earlier shard has, by binary search in its sorted ones."""
+    def found_in(self, earlier: Shard) -> np.ndarray:
+        """Which of my distinct windows the earlier shard has, by binary search in its sorted ones.
+
+        The first search is by the windows' first eight bytes, which bounds the places of the second.
+        """
         out = np.zeros(len(self.sorted), bool)
-        if not len(earlier.sorted):
-            return out
-        for a in range(0, len(out), block):
-            mine = self.sorted[a : a + block]
-            low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(earlier.sorted), np.int64)
-            while (live := np.flatnonzero(low < high)).size:
-                middle = (low[live] + high[live]) // 2
-                above = self.compare(mine[live], earlier, earlier.sorted[middle]) > 0
-                low[live[above]], high[live[~above]] = middle[above] + 1, middle[~above]
-            inside = np.flatnonzero(low < len(earlier.sorted))
-            out[a + inside] = self.compare(mine[inside], earlier, earlier.sorted[low[inside]]) == 0
+        keys, mine = earlier.words[earlier.sorted], self.words[self.sorted]
+        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+        asked = np.flatnonzero(low < high)
+        mine, low, high = self.sorted[asked], low[asked], high[asked]
+        live = np.arange(len(asked))
+        while len(live):
+            middle = (low[live] + high[live]) // 2
+            sign = self.compare(mine[live], earlier, earlier.sorted[middle])
+            out[asked[live[sign == 0]]] = True
+            low[live] = np.where(sign > 0, middle + 1, low[live])
+            high[live] = np.where(sign < 0, middle, high[live])
+            live = live[(sign != 0) & (low[live] < high[live])]
         return out
 
 
 class Bytes:
-    """Windows of ``k`` bytes, minimisers over parts of 16 bytes; a packed string is the bytes themselves."""
+    """Windows of ``k`` bytes, minimisers over parts of 32 bytes; a packed string is the bytes themselves.
+
+    Shorter parts would make longer runs, but phrases of 16 bytes are too often in unrelated texts.
+    """
 
     by_key = False
 
     def __init__(self, k: int = 100, shard_bytes: int = 2 << 20):
-        if k < 16:
-            raise ValueError("windows are at least 16 bytes")
+        if k < 32:
+            raise ValueError("windows are at least 32 bytes")
         self.k, self.shard_bytes = k, shard_bytes
 
     def read(self, raw: np.ndarray, at: np.ndarray):
-        if len(raw) < 16:
+        if len(raw) < 32:
             return at, None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        words = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), 0, (1,))
-        parts = words[:-8] * np.uint64(0x9E3779B97F4A7C15) + words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        words = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), 0, (1,)).astype(np.uint64)
+        n = len(raw) - 31
+        parts = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+        for i, odd in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0x27D4EB2F165667C5)):
+            parts += words[i : i + n] * np.uint64(odd)
         parts ^= parts >> np.uint64(29)
         parts *= np.uint64(0xBF58476D1CE4E5B9)
         parts ^= parts >> np.uint64(32)
-        return at, None, sliding_min(parts, self.k - 15), parts
+        return at, None, sliding_min(parts, self.k - 31), parts
 
     def cutter(self, raw: np.ndarray, units):
         data = raw.tobytes()
