@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -62,14 +63,20 @@ def joined_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Which bytes belong to words: all but white space; and letters, digits and what isn't ASCII.
+NOT_SPACE = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of joined texts: their starts and ends in ``raw``, and the first word of each of n + 1 rows.
 
-    A word ends at white space and at the end of its row.
+    A word ends at a byte that ``kind`` leaves out and at the end of its row.
     """
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    inside = kind[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[at] = True
     begins = inside.copy()
@@ -91,30 +98,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Words longer than this are hashed one by one.
+LONG_WORD = 1024
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes, eight bytes at a time."""
     out = np.zeros(len(start), np.uint64)
     if not len(start):
         return out
-    longest = int((end - start).max())
-    power = np.ones(min(longest, 1 << 16), np.uint64)
-    power[1:] = _BASE
-    power = np.multiply.accumulate(power)
     length = end - start
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    for k in range(0, longest):
-        live = np.flatnonzero(length > k) if k else slice(None)
-        if k >= 24:  # the few very long words, each on its own
-            for i in live:
-                body = raw[start[i] + k : end[i]].astype(np.uint64) + np.uint64(1)
-                where = np.arange(k, k + len(body)) % len(power)
-                out[i : i + 1] += (body * power[where] * (np.arange(k, k + len(body), dtype=np.uint64) // np.uint64(len(power)) * np.uint64(2) + np.uint64(1))).sum()
-            break
-        out[live] += (padded[start[live] + k].astype(np.uint64) + np.uint64(1)) * power[k]
-    return mixed(out ^ (length.astype(np.uint64) << np.uint64(48)))
+    eights = np.ndarray((len(raw),), "<u8", raw.tobytes() + bytes(8), 0, (1,)).astype(np.uint64)
+    masks = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(9)], np.uint64)
+    live = np.arange(len(start))
+    for k in range(0, LONG_WORD, 8):
+        if k:
+            live = live[length[live] > k]
+            if not len(live):
+                break
+        part = eights[start[live] + k] & masks[np.minimum(length[live] - k, 8)]
+        h = (out[live] ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        out[live] = h ^ (h >> np.uint64(29))
+    for i in np.flatnonzero(length > LONG_WORD):
+        out[i] = np.frombuffer(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return mixed(out + length.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -24,16 +24,18 @@ def eights(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw),), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64)
 
 
-def suffix_array(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Positions sorted by their suffixes.
+def suffix_array(raw: np.ndarray, words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Positions sorted by their suffixes; which of them share their first ``known`` bytes with the one before; known.
+
+    ``known`` is the longest prefix up to ``depth`` bytes that a round leaves behind, 8 or a double of it.
 
     Larsson-Sadakane: a suffix's rank is where its group of equal prefixes begins; each round sorts only the
     members of unsorted groups, by the rank of the suffix ``have`` bytes on, and doubles the known prefix.
     """
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.int64)
-    order = np.argsort(words, kind="stable")
+        return np.zeros(0, np.int64), np.zeros(0, bool), 8
+    order = np.argsort(words)
     key = words[order]
     head = np.ones(n, bool)
     head[1:] = key[1:] != key[:-1]
@@ -47,57 +49,63 @@ def suffix_array(raw: np.ndarray, words: np.ndarray) -> np.ndarray:
         head[a + 1 : z] |= left[1:] != left[:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    have = 8
+    have = known = 8
+    tied = ~head
     open_ = np.flatnonzero(~(head & np.append(head[1:], True)))  # places of unsorted groups
     while len(open_):
         members = order[open_]
         ahead = members + have
         nxt = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         pair = rank[members].astype(np.uint64) * np.uint64(n + 1) + nxt.astype(np.uint64)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         pair, members = pair[by], members[by]
         order[open_] = members
         new = np.ones(len(pair), bool)
         new[1:] = pair[1:] != pair[:-1]
         rank[members] = np.maximum.accumulate(np.where(new, open_, 0))
+        at = open_
         open_ = open_[~(new & np.append(new[1:], True))]
         have *= 2
-    return order
+        if have <= depth:
+            known = have
+            tied = np.zeros(n, bool)
+            tied[at] = ~new
+    return order, tied, known
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, most: int, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(words: np.ndarray, order: np.ndarray, tied: np.ndarray, known: int, most: int, lanes: int = 8192) -> np.ndarray:
     """Kasai: for each place of the suffix array, the prefix it shares with the place before, up to ``most`` bytes.
 
-    In text order the shared prefix shrinks by at most one from a position to the next, so it is kept and
-    only extended. Many stretches of the text go side by side. The last 8 positions' words are padded with
-    zeros, so nothing past the end counts.
+    Only tied places are asked, those that share ``known`` bytes at least; the others count 0. In text order
+    the shared prefix shrinks by at most one from a position to the next, so it is kept and only extended.
+    Many stretches of the text go side by side.
     """
     n = len(order)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
-    lanes = max(1, min(lanes, n // 16))
-    size = -(-n // lanes)
-    start = np.arange(lanes, dtype=np.int64) * size
-    h = np.zeros(lanes, np.int64)
+    before = np.full(n, -1, np.int64)
+    at = np.flatnonzero(tied)
+    before[order[at]] = order[at - 1]
+    place = np.flatnonzero(before >= 0)  # in text order
+    if not len(place):
+        return shared
+    lanes = max(1, min(lanes, len(place) // 16))
+    size = -(-len(place) // lanes)
+    h, last = np.zeros(lanes, np.int64), np.full(lanes, -2, np.int64)
     for step in range(size):
-        at = start + step
-        at[at >= n] = n - 1
-        other = before[at]
-        h = np.maximum(h - 1, 0)
-        h[other < 0] = 0
-        live = np.flatnonzero((other >= 0) & (h < most))
+        i = np.arange(step, len(place), size)
+        p = place[i]
+        q, k = before[p], len(i)
+        h[:k] = np.maximum(np.where(p == last[:k] + 1, h[:k] - 1, 0), known)
+        last[:k] = p
+        live = np.flatnonzero(h[:k] < most)
         while len(live):
-            a, b = at[live] + h[live], other[live] + h[live]
+            a, b = p[live] + h[live], q[live] + h[live]
             inside = (a < n) & (b < n)
             live, a, b = live[inside], a[inside], b[inside]
-            differ = words[a] ^ words[b]
-            same = _leading_equal(differ)
-            room = np.minimum(np.minimum(n - a, n - b), 8)
-            grown = np.minimum(same, room)
+            grown = np.minimum(_leading_equal(words[a] ^ words[b]), np.minimum(n - a, n - b))
             h[live] += grown
             live = live[(grown == 8) & (h[live] < most)]
-        shared[at] = np.minimum(h, most)
+        shared[p] = np.minimum(h[:k], most)
     return shared[order]
 
 
@@ -123,8 +131,8 @@ class Shard:
         self.string = np.repeat(np.arange(len(strings)), count)
         self.offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         self.window = first[self.string] + self.offset
-        order = suffix_array(self.raw, self.words)
-        shared = common_prefixes(self.words, order, k)
+        order, tied, known = suffix_array(self.raw, self.words, k)
+        shared = common_prefixes(self.words, order, tied, known, k)
         number = np.full(len(self.raw), -1, np.int64)
         number[self.window] = np.arange(len(self.window))
         group = np.cumsum(shared < k)
@@ -182,7 +190,7 @@ class Bytes:
 
     by_key = False
 
-    def __init__(self, k: int = 100, shard_bytes: int = 2 << 20):
+    def __init__(self, k: int = 100, shard_bytes: int = 3 << 20):
         if k < 32:
             raise ValueError("windows are at least 32 bytes")
         self.k, self.shard_bytes = k, shard_bytes
@@ -245,4 +253,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 100
     bytes, keep all. Rows with one key are one after another by their text; a null key comes first. Other
     columns are not read.
     """
-    return Repeats(Bytes(k), **how).run(docs, key, text).select(F.col("k").alias(key), "n_units", "n_removed", "spans", "kept")
+    return Repeats(Bytes(k), **({"bucket_bytes": 8 << 20} | how)).run(docs, key, text).select(F.col("k").alias(key), "n_units", "n_removed", "spans", "kept")
