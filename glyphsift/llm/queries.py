@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, quality, sharding, substrings, suffixes, tokens, urls
+from . import contamination, jaccard, mixing, quality, sharding, substrings, suffixes, tokens, toxicity, urls
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents, with the probabilities of the chain's categories: low quality, then toxic."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    categories = {"low_quality": F.when(F.col("quality") == 0, 1).otherwise(0), "toxic": F.col("toxic")}
+    chain = toxicity.train(docs, labels, categories)
+    return toxicity.score(docs, chain, list(categories)).where("toxic")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +46,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contamination.Decontaminator(docs, benchmark).matches(docs)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
 
