@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -31,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing."""
+    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing.
+
+    Spark drops the shuffle files of finished steps when the driver collects its garbage, so that is done here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

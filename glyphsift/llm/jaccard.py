@@ -48,25 +48,34 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def signatures(found: np.ndarray, rank: np.ndarray, percent: int, boundary: int) -> np.ndarray:
-    """Of a set: hashes of which it shares one with every different set that it links to.
+def signatures(found: np.ndarray, rank: np.ndarray, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set: hashes of which it shares one with every different set that it links to, and their rests.
 
     ``rank`` orders the set's shingles, rare ones first, alike for all sets. Two linked sets of size up to
     ``boundary`` share two shingles of their prefixes one longer than needed for one: the light scheme takes
     all pairs of it. A set that may link to one above the boundary, or is above it, takes the shingles of
-    its prefix as they are: the heavy scheme, scanned as inverted lists.
+    its prefix as they are: the heavy scheme, scanned as inverted lists. A rest bounds what sets can share
+    whose first common signature it is: the signature's own shingles and all later ones in order.
     """
-    size, out = len(found), []
+    size = len(found)
     need = least_overlap(size, percent)
     if size < 4:  # sets this small link only to equal ones
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     prefix = found[np.lexsort((found, rank))][: size - need + 2]
+    sig, rest = [], []
     if 100 * size > percent * boundary:
-        out.append(mixed(prefix[: size - need + 1]))
+        sig.append(mixed(prefix[: size - need + 1]))
+        rest.append(size - np.arange(size - need + 1))
     if size <= boundary:
         i, j = np.triu_indices(len(prefix), 1)
-        out.append(mixed(np.minimum(prefix[i], prefix[j]) * np.uint64(3) + np.maximum(prefix[i], prefix[j])))
-    return np.unique(np.concatenate(out))
+        sig.append(mixed(np.minimum(prefix[i], prefix[j]) * np.uint64(3) + np.maximum(prefix[i], prefix[j])))
+        rest.append(size - j + 1)
+    return np.concatenate(sig), np.concatenate(rest).astype(np.int32)
+
+
+def may_link(size_a, rest_a, size_b, rest_b, percent: int):
+    """Whether sets that share a signature can still share enough, by their sizes and rests."""
+    return (100 + percent) * np.minimum(rest_a, rest_b).astype(np.int64) >= percent * (size_a.astype(np.int64) + size_b)
 
 
 def cheapest_boundary(histogram: list[tuple[int, int]], percent: int, scan: float) -> int:
@@ -161,7 +170,7 @@ class Join:
         return self.spark.sparkContext.broadcast((values[by], count[by]))
 
     def entries(self, frequent, boundary: int) -> DataFrame:
-        """(b, blob of signature, place, size): the signatures of each batch's entities."""
+        """(b, blob of signature, place, size, rest): the signatures of each batch's entities."""
         width, percent = self.width, self.percent
 
         def f(rows):
@@ -169,7 +178,7 @@ class Join:
             for batch in rows:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     _, _, length, raw = unpacked(blob, ["<i8", "u1", "<i4", "u1"])
-                    sig, owner, size, seen = [], [], [], set()
+                    sig, owner, size, rest, seen = [], [], [], [], set()
                     for i, s in enumerate(shingle_sets(raw, offsets_of(length), width)):
                         if len(s) < 4 or (mark := s.tobytes()) in seen:
                             continue
@@ -178,11 +187,13 @@ class Join:
                         if len(values):
                             where = np.minimum(np.searchsorted(values, s), len(values) - 1)
                             rank = np.where(values[where] == s, count[where], 0)
-                        sig.append(signatures(s, rank, percent, boundary))
+                        got, left = signatures(s, rank, percent, boundary)
+                        sig.append(got)
+                        rest.append(left)
                         owner.append(np.full(len(sig[-1]), i, np.int32))
                         size.append(np.full(len(sig[-1]), len(s), np.int32))
                     if sig:
-                        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([packed([np.concatenate(x) for x in (sig, owner, size)])], pa.binary())], ["b", "blob"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([packed([np.concatenate(x) for x in (sig, owner, size, rest)])], pa.binary())], ["b", "blob"])
 
         return self.batches.mapInArrow(f, "b long, blob binary")
 
@@ -197,21 +208,21 @@ class Join:
         def local(batches):
             for batch in batches:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    sig, owner, size = unpacked(blob, ["<u8", "<i4", "<i4"])
+                    sig, owner, size, rest = unpacked(blob, ["<u8", "<i4", "<i4", "<i4"])
                     e = owner.astype(np.int64) + b * PLACES
-                    head, pairs = star(sig, e, size, percent)
+                    head, pairs = star(sig, e, size, rest, percent)
                     out = [(None, packed(pairs))]
                     bucket = (sig[head] % np.uint64(n)).astype(np.int32)
                     by = np.argsort(bucket, kind="stable")
                     cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
                     for i, j in zip(cut[:-1], cut[1:], strict=True):
                         at = head[by[i:j]]
-                        out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at]])))
+                        out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at], rest[at]])))
                     q, x = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(x, pa.binary())], ["bucket", "blob"])
 
         def across(rows: pa.Table) -> pa.Table:
-            got = [unpacked(x, ["<u8", "<i8", "<i4"]) for x in blobs(rows.column("blob"))]
+            got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4"]) for x in blobs(rows.column("blob"))]
             _, pairs = star(*(np.concatenate(x) for x in zip(*got, strict=True)), percent)
             return pa.table([[packed(pairs)]], schema=pa.schema([("blob", pa.binary())]))
 
@@ -272,7 +283,7 @@ class Join:
 
         def of(rows: pa.Table, said: pa.Table):
             b = rows.column("b")[0].as_py()
-            sig, owner, size = unpacked(rows.column("blob")[0].as_py(), ["<u8", "<i4", "<i4"])
+            sig, owner, size, rest = unpacked(rows.column("blob")[0].as_py(), ["<u8", "<i4", "<i4", "<i4"])
             e = owner.astype(np.int64) + b * PLACES
             rep, root = e.copy(), e.copy()
             if len(said):
@@ -281,7 +292,7 @@ class Join:
                 node = node[by]
                 at = np.minimum(np.searchsorted(node, e), len(node) - 1)
                 rep, root = (np.where(node[at] == e, said.column(c).to_numpy()[by][at], e) for c in ("rep", "root"))
-            return b, sig, rep, size, root
+            return b, sig, rep, size, rest, root
 
         told = pa.schema([("bucket", pa.int32()), ("b", pa.int64()), ("blob", pa.binary())])
 
@@ -294,7 +305,7 @@ class Join:
         def announce(rows: pa.Table, said: pa.Table) -> pa.Table:
             if not len(rows):
                 return told.empty_table()
-            b, sig, _, _, root = of(rows, said)
+            b, sig, _, _, _, root = of(rows, said)
             by = np.lexsort((root, sig))
             sig, root = sig[by], root[by]
             cut = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
@@ -321,13 +332,13 @@ class Join:
             mix = [unpacked(x, ["<u8"])[0] for x in blobs(said.column("mixed"))] if len(said) else []
             if not len(rows) or not mix:
                 return told.empty_table()
-            b, sig, e, size, root = of(rows, said.filter(pc.is_valid(said.column("e"))))
-            keep = np.isin(sig, np.concatenate(mix))
-            sig, e, size, root = sig[keep], e[keep], size[keep], root[keep]
-            return spread(b, (sig % np.uint64(n)).astype(np.int64), [sig, e, size, root])
+            b, *of_each = of(rows, said.filter(pc.is_valid(said.column("e"))))
+            keep = np.isin(of_each[0], np.concatenate(mix))
+            of_each = [x[keep] for x in of_each]
+            return spread(b, (of_each[0] % np.uint64(n)).astype(np.int64), of_each)
 
         def pair(rows: pa.Table) -> pa.Table:
-            got = [unpacked(x, ["<u8", "<i8", "<i4", "<i8"]) for x in blobs(rows.column("blob"))]
+            got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4", "<i8"]) for x in blobs(rows.column("blob"))]
             found = unlike(*(np.concatenate(x) for x in zip(*got, strict=True)), percent)
             return pa.table([[packed(found)]], schema=pa.schema([("blob", pa.binary())]))
 
@@ -340,33 +351,28 @@ class Join:
         return rows_of(sent.groupBy("bucket").applyInArrow(pair, "blob binary"))
 
 
-def star(sig: np.ndarray, e: np.ndarray, size: np.ndarray, percent: int):
-    """(place of each signature's first entity, [a, b] of the pairs with it that sizes allow)."""
+def star(sig: np.ndarray, e: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: int):
+    """(place of each signature's first entity, [a, b] of the pairs with it that sizes and rests allow)."""
     by = np.lexsort((e, sig))
     new = np.concatenate([[True], sig[by][1:] != sig[by][:-1]]) if len(by) else np.zeros(0, bool)
     head = by[new]
     first = head[np.cumsum(new) - 1] if len(by) else by
-    low, high = np.minimum(size[by], size[first]).astype(np.int64), np.maximum(size[by], size[first]).astype(np.int64)
-    keep = (e[by] != e[first]) & (100 * low >= percent * high)
+    keep = (e[by] != e[first]) & may_link(size[by], rest[by], size[first], rest[first], percent)
     pairs = np.unique(np.stack([e[first][keep], e[by][keep]], 1), axis=0)
     return head, [pairs[:, 0], pairs[:, 1]]
 
 
-def unlike(sig, e, size, root, percent: int):
-    """[a, b] of all pairs of one signature in different components that sizes allow."""
+def unlike(sig, e, size, rest, root, percent: int):
+    """[a, b] of all pairs of one signature in different components that sizes and rests allow."""
     by = np.lexsort((e, size, sig))
-    sig, e, size, root = sig[by], e[by], size[by].astype(np.int64), root[by]
+    sig, e, size, rest, root = sig[by], e[by], size[by].astype(np.int64), rest[by], root[by]
     end = np.searchsorted(sig, sig, side="right")
-    out = []
-    step = 1
-    live = np.arange(len(sig))
+    out, step, live = [], 1, np.arange(len(sig))
     while len(live):
+        live = live[live + step < end[live]]
+        live = live[100 * size[live] >= percent * size[live + step]]  # sizes ascend, so further ones are larger still
         other = live + step
-        inside = other < end[live]
-        live, other = live[inside], other[inside]
-        inside = 100 * size[live] >= percent * size[other]  # sizes ascend, so further ones are larger still
-        live, other = live[inside], other[inside]
-        keep = root[live] != root[other]
+        keep = (root[live] != root[other]) & may_link(size[live], rest[live], size[other], rest[other], percent)
         out.append(np.stack([np.minimum(e[live], e[other]), np.maximum(e[live], e[other])], 1)[keep])
         step += 1
         if sum(map(len, out)) > 1 << 20:
@@ -416,10 +422,12 @@ def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
             pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    near = saved(join.verified(saved(merged(join.stars(entries)))))
+    asked = saved(merged(join.stars(entries)))
+    near = saved(join.verified(asked))
     roots = components(near)
     placed = names.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root"))
-    far = saved(join.verified(saved(join.crossing(entries, placed.where("e <> root")))))
+    rest = join.crossing(entries, placed.where("e <> root")).join(asked, ["a", "b"], "left_anti")
+    far = saved(join.verified(saved(rest)))
     if not far.isEmpty():
         roots = components(near.unionByName(far))
     placed = names.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("e", F.coalesce("root", "rep").alias("root"))
