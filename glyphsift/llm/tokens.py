@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import fresh_dir
 
 #: Chunks of text whose ids a worker remembers, in each of two generations; bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 class Remembered:
@@ -93,6 +95,17 @@ class ChunkEncoder:
         return out
 
 
+def encoder_of(path: str, dtype: str, end_id: int | None) -> ChunkEncoder:
+    """This worker's encoder: what one task has learned serves the next."""
+    state = sys.modules.setdefault("_glyphsift_worker", types.ModuleType("_glyphsift_worker"))
+    kept = state.__dict__.setdefault("encoders", {})
+    key = (path, dtype, end_id)
+    if key not in kept:
+        kept.clear()
+        kept[key] = ChunkEncoder(path, dtype, end_id)
+    return kept[key]
+
+
 def _parts(sizes: list[int], most: int = 2_000_000):
     """Runs of rows of about ``most`` bytes."""
     begin = size = 0
@@ -137,7 +150,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", te
             for batch in batches:
                 nulls += batch.column(0).null_count
                 keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-                encoder = encoder or ChunkEncoder(vocabulary, dtype, end_id)
+                encoder = encoder or encoder_of(vocabulary, dtype, end_id)
                 sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
                 for a, b in _parts(sizes.tolist()):
                     got = encoder.encode(batch.column(1).slice(a, b - a).to_pylist())
