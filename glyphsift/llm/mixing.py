@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, mixed, saved
+from .common import WORD_PATTERN, mixed, saved, words_of
 
 WEIGHTS = (1, 2, 3)
 
@@ -74,6 +74,11 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash of the text, to tell rows of one key apart."""
+    return F.xxhash64(text)
+
+
 class Mix:
     """The plan of one mix.
 
@@ -84,7 +89,7 @@ class Mix:
     def __init__(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", block: int = 128, slots: int = 4096, seed: int = 7, weights=WEIGHTS, most: int = 3, most_sources: int = 100_000):
         self.spark, self.block, self.seed, self.key = docs.sparkSession, block, seed, key
         body = F.coalesce(F.col(text), F.lit(""))
-        named = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), source_key(F.col(source)).alias("key"), F.regexp_count(body, F.lit(WORD_PATTERN)).cast("long").alias("size"))
+        named = docs.select(F.col(key).alias("k"), F.col(source).alias("source"), source_key(F.col(source)).alias("key"), F.regexp_count(body, F.lit(WORD_PATTERN)).cast("long").alias("size"), text_mark(F.col(text)).alias("mark"))
         # rows of one key (repeated rows) follow each other; "nth" tells them apart
         sized = saved(named)
         chunks = max(256, -(-sized.count() // 50_000))
@@ -101,9 +106,9 @@ class Mix:
         self.sources = {r["key"]: (i, sizes[i], aims[i], blocks[i], int(owed[i])) for i, r in enumerate(totals)}
         self.drawn = draws(owed, max(slots, -(-int(owed.sum()) // slots)), seed)
         bases = by_chunk.select("key", "chunk", (F.sum("n").over(Window.partitionBy("key").orderBy("chunk")) - F.col("n")).alias("base"))
-        inside = Window.partitionBy("key", "chunk").orderBy("k", "size")
-        placed = sized.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nth", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("k", "size")))
-        self.docs = placed.join(bases, ["key", "chunk"]).select("k", "key", "chunk", "nth", "source", "size", (F.col("base") + F.coalesce("before", F.lit(0))).alias("start"))
+        inside = Window.partitionBy("key", "chunk").orderBy("k", "size", "mark")
+        placed = sized.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nth", F.row_number().over(inside))
+        self.docs = placed.join(bases, ["key", "chunk"]).select("k", "key", "chunk", "nth", "source", "size", "mark", (F.col("base") + F.coalesce("before", F.lit(0))).alias("start"))
 
     def slots(self) -> DataFrame:
         """One row for each block of the output: shard, key, block, repeat (how often the block came before)."""
@@ -152,3 +157,31 @@ def mix_sizes(docs: DataFrame, **how) -> DataFrame:
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("k", "chunk", "nth", "key")]
     out = mix.docs.alias("d").join(taken.alias("t").hint("merge"), same[0] & same[1] & same[2] & same[3], "left").select("d.k", "d.key", "d.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
     return out.join(known, "key").select(F.col("k").alias(mix.key), "size", "source_size", "target", "taken")
+
+
+def mix_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The mix as documents: all columns of ``docs``, a row for each document and repeat of which words are taken.
+
+    The text holds the taken words of that repeat in order, joined by one space; a document taken whole keeps
+    its text as it is. Documents without words aren't taken. Rows that agree in key, source and number of
+    words are told apart by their text; rows that agree in that too give equal rows. An empty table gives none.
+    """
+    columns, source = docs.columns, how.get("source", "source")
+    mix = Mix(docs, key=key, text=text, **how)
+    pieces = mix.joined().groupBy("k", "chunk", "nth", "key", "repeat").agg(F.sort_array(F.collect_list(F.struct("begin", "stop"))).alias("cuts"), F.sum(F.col("stop") - F.col("begin")).alias("n"))
+    sized = mix.docs.select("k", "chunk", "nth", "key", "size", "mark")
+    names = ("k", "chunk", "nth", "key")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in names]
+    row_id = F.xxhash64("k", "key", "mark")
+    # rows that agree in key, source and text are numbered on both sides, and each takes the cuts of one
+    ranked = sized.withColumn("id", row_id).withColumn("same", F.row_number().over(Window.partitionBy("id").orderBy("nth")))
+    taken = pieces.alias("p").join(ranked.alias("s").hint("merge"), same[0] & same[1] & same[2] & same[3]).select("s.id", "s.same", "s.size", "p.cuts", "p.n")
+    t = f"c{columns.index(text)}"
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = rows.withColumn("id", F.xxhash64(F.col(f"c{columns.index(key)}"), source_key(F.col(f"c{columns.index(source)}")), text_mark(F.col(t)))).withColumn("same", F.row_number().over(Window.partitionBy("id").orderBy("id")))
+    # the numbers are compared by their difference, so that the join keeps the texts where the numbering put them
+    both = rows.alias("d").join(taken.alias("t").hint("merge"), (F.col("d.id") == F.col("t.id")) & (F.col("d.same") - F.col("t.same") == 0))
+    words = F.col("w")
+    cut = F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c["begin"] + 1).cast("int"), (c["stop"] - c["begin"]).cast("int")))), " ")
+    made = both.select(*[f"d.c{i}" for i in range(len(columns))], "t.n", "t.size", "t.cuts").withColumn("w", F.when(F.col("n") < F.col("size"), words_of(F.col(t)))).withColumn("made", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col(t)))
+    return made.select(*[F.col("made" if c == text else f"c{i}").alias(c) for i, c in enumerate(columns)])

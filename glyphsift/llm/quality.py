@@ -23,22 +23,22 @@ def ordered_windows(hashes: Column) -> Column:
 
 
 def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shout, stratum.
+    """Counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shout, stratum, text_mark.
 
     A null text has no words and no lines. Windows are compared by a 64-bit hash of their three words.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = docs.select(F.col(key).alias("k"), F.col(stratum).alias("stratum"), body.alias("t"), words_of(F.col(text)).alias("w"))
+    a = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("text_mark"), F.col(stratum).alias("stratum"), body.alias("t"), words_of(F.col(text)).alias("w"))
     n = F.size("w")
     windows = F.transform(F.sequence(F.lit(0), n - F.lit(3)), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     b = a.select(
-        "k", "stratum", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "k", "text_mark", "stratum", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("t", "[^A-Z!]+", "")).cast("long").alias("n_shout"),
         lines.alias("lines"), F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
-    c = b.select("k", "stratum", "n_words", "word_chars", "n_symbols", "n_shout", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), ordered_windows(F.col("h")).alias("s"))
+    c = b.select("k", "text_mark", "stratum", "n_words", "word_chars", "n_symbols", "n_shout", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), ordered_windows(F.col("h")).alias("s"))
     like = lambda x, i: F.coalesce(F.get("s", i)["h"] == x["h"], F.lit(False))
     positions = F.sort_array(F.transform(F.filter("s", lambda x, i: like(x, i - 1) | like(x, i + 1)), lambda x: x["i"]))
     d = c.withColumn("p", positions).drop("s")
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Counts of each document, base_failed and kept.
 
     A document is kept if it passes the base rules and its rule bin is under its stratum's certified cutoff.
-    Null and empty texts have no words and fail. A null stratum is one of its own. Repeated rows are judged
+    Rows of one key are told apart by text_mark, a hash of the text. Null and empty texts have no words and fail. A null stratum is one of its own. Repeated rows are judged
     alike, each with its row; an empty table gives none; without labels only the base rules reject. Other
     columns are not read.
     """
@@ -109,4 +109,4 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         raise ValueError(f"more than {most_strata} strata")
     cut = reduce(lambda rest, r: F.when(F.col("stratum").eqNullSafe(F.lit(r["stratum"])), F.lit(r["cut"])).otherwise(rest), cuts, F.lit(BINS + 1))
     out = measured.withColumn("rule_bin", rule_bin()).withColumn("cut", cut.cast("int")).withColumn("base_failed", base_failed())
-    return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule_bin") < F.col("cut"))).alias("kept"), "rule_bin", "cut")
+    return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule_bin") < F.col("cut"))).alias("kept"), "rule_bin", "cut", "text_mark")

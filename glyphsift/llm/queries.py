@@ -60,8 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     own = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-    return own
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
