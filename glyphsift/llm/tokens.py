@@ -9,6 +9,7 @@ import types
 import uuid
 import zlib
 from array import array
+from itertools import filterfalse
 from urllib.parse import urlparse
 
 import numpy as np
@@ -30,19 +31,34 @@ class Remembered:
     """Ids of chunks, in two generations: when the newer one is full it becomes the older, and the older goes."""
 
     def __init__(self, encode, space: str):
-        self.encode, self.space, self.newer, self.older = encode, space, {"": None}, {}
+        self.encode, self.space, self.newer, self.older, self.marks = encode, space, {"": None}, {}, {}
 
     def learn(self, chunks: set) -> None:
-        missing = chunks - self.newer.keys()
+        missing = self._unknown(chunks)
         if len(self.newer) > REMEMBERED:
             self.newer, self.older = {"": None}, self.newer
-            missing = chunks - self.newer.keys()
-        known = missing & self.older.keys()
-        self.newer.update((c, self.older[c]) for c in known)
-        missing = list(missing - known)
-        self.newer.update(zip(missing, self.encode([self.space + c for c in missing]), strict=True))
+            missing = self._unknown(chunks)
+        # the pattern also cuts between a letter and the marks behind it, so such a chunk is two
+        split = [(c, core) for c in missing if (core := c.rstrip(".,;:!?")) != c and core and core[-1].isalpha()]
+        whole = missing.difference([c for c, _ in split]) | self._unknown({core for _, core in split})
+        whole = list(whole)
+        self.newer.update(zip(whole, self.encode([self.space + c for c in whole]), strict=True))
+        for c, core in split:
+            if (mark := c[len(core) :]) not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {}
+                (self.marks[mark],) = self.encode([mark])
+            self.newer[c] = (self.newer[core] or b"") + self.marks[mark]
+        missing = [c for c in whole if c.split() != [c]] + [c for c, _ in split if c.split() != [c]]
         # a chunk with white space of another kind leaves its text to be encoded whole
-        self.newer.update((c, None) for c in missing if c.split() != [c])
+        self.newer.update((c, None) for c in missing)
+
+    def _unknown(self, chunks: set) -> set:
+        """Those not remembered; those of the older generation move to the newer."""
+        missing = set(filterfalse(self.newer.__contains__, chunks))
+        known = [c for c in missing if c in self.older]
+        self.newer.update((c, self.older[c]) for c in known)
+        return missing.difference(known)
 
 
 class ChunkEncoder:
@@ -86,7 +102,8 @@ class ChunkEncoder:
             cut.append(lines)
         self.first.learn(firsts)
         self.later.learn(laters)
-        first, later, out = self.first.newer, self.later.newer.__getitem__, []
+        first, out = self.first.newer, []
+        later = {w: self.later.newer[w] for w in laters}.__getitem__  # small enough for the caches
         for lines, t in zip(cut, texts, strict=True):
             try:
                 out.append(self.feed.join([first[w] + b"".join(map(later, words)) for w, words in lines]) + self.end)
