@@ -197,8 +197,9 @@ class Join:
 
         return self.batches.mapInArrow(f, "b long, blob binary")
 
-    def stars(self, entries: DataFrame) -> DataFrame:
-        """Pairs (a, b) of each signature's first set with the others that may link to it by size.
+    def stars(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b, c) of each signature's first set with the others that may link to it, c times; and the
+        signatures (b, shared) of each batch that other batches have too, with the least size there is.
 
         Within a batch at once; then only the first of each batch goes to the signature's bucket, so that a
         bucket gets a signature at most once from a batch.
@@ -212,37 +213,81 @@ class Join:
                     e = owner.astype(np.int64) + b * PLACES
                     head, pairs = star(sig, e, size, rest, percent)
                     out = [(None, packed(pairs))]
+                    # for a batch's entries of one signature: the least size and the largest rest
+                    _, where = np.unique(sig, return_inverse=True)
+                    least, most = np.full(len(head), np.iinfo(np.int32).max, np.int32), np.zeros(len(head), np.int32)
+                    np.minimum.at(least, where, size)
+                    np.maximum.at(most, where, rest)
                     bucket = (sig[head] % np.uint64(n)).astype(np.int32)
                     by = np.argsort(bucket, kind="stable")
                     cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
                     for i, j in zip(cut[:-1], cut[1:], strict=True):
                         at = head[by[i:j]]
-                        out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at], rest[at]])))
+                        out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at], rest[at], least[by[i:j]], most[by[i:j]]])))
                     q, x = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(x, pa.binary())], ["bucket", "blob"])
 
         def across(rows: pa.Table) -> pa.Table:
-            got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4"]) for x in blobs(rows.column("blob"))]
-            _, pairs = star(*(np.concatenate(x) for x in zip(*got, strict=True)), percent)
-            return pa.table([[packed(pairs)]], schema=pa.schema([("blob", pa.binary())]))
+            got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4", "<i4", "<i4"]) for x in blobs(rows.column("blob"))]
+            sig, e, size, rest, least, most = (np.concatenate(x) for x in zip(*got, strict=True))
+            out = [(None, packed(star(sig, e, size, rest, percent)[1]))]
+            _, where, count = np.unique(sig, return_inverse=True, return_counts=True)
+            low = np.full(len(count), np.iinfo(np.int32).max, np.int32)
+            np.minimum.at(low, where, least)
+            low = low[where]
+            again = (count[where] > 1) & hopeful(least, most, low, percent)
+            sig, low, batch = sig[again], low[again], e[again] // PLACES
+            by = np.argsort(batch, kind="stable")
+            cut = np.append(np.flatnonzero(np.diff(batch[by], prepend=-1)), len(by))
+            out += [(int(batch[by[i]]), packed([sig[by[i:j]], low[by[i:j]]])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            q, x = zip(*out, strict=True)
+            return pa.table([pa.array(q, pa.int64()), pa.array(x, pa.binary())], schema=pa.schema([("b", pa.int64()), ("shared", pa.binary())]))
 
         firsts = saved(entries.mapInArrow(local, "bucket int, blob binary"))
-        far = firsts.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(across, "blob binary")
-        return rows_of(firsts.where("bucket IS NULL").select("blob").unionByName(far))
+        far = saved(firsts.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(across, "b long, shared binary"))
+        pairs = firsts.where("bucket IS NULL").select("blob").unionByName(far.where("b IS NULL").select(F.col("shared").alias("blob")))
+        return rows_of(pairs, counted=True), far.where("b IS NOT NULL")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets link. Texts travel compressed, each to the pairs that hold it."""
-        width, percent = self.width, self.percent
-        wanted = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
-        wanted = wanted.withColumn("b", F.floor(F.col("e") / F.lit(PLACES)).cast("long"))
+    def shared(self, entries: DataFrame, answers: DataFrame) -> DataFrame:
+        """The entries whose signature another one has with which they may link."""
+        percent = self.percent
+        schema = pa.schema([("b", pa.int64()), ("blob", pa.binary())])
+
+        def narrow(rows: pa.Table, said: pa.Table) -> pa.Table:
+            if not len(rows):
+                return schema.empty_table()
+            all_ = unpacked(rows.column("blob")[0].as_py(), ["<u8", "<i4", "<i4", "<i4"])
+            sig, where, count = np.unique(all_[0], return_inverse=True, return_counts=True)
+            low = np.full(len(sig), np.iinfo(np.int32).max, np.int32)
+            np.minimum.at(low, where, all_[2])
+            low[count < 2] = np.iinfo(np.int32).max
+            for x in blobs(said.column("shared")) if len(said) else ():
+                other, least = unpacked(x, ["<u8", "<i4"])
+                at = np.searchsorted(sig, other)
+                low[at] = np.minimum(low[at], least)
+            low = low[where]
+            keep = (low < np.iinfo(np.int32).max) & hopeful(all_[2], all_[3], low, percent)
+            return pa.table([rows.column("b"), pa.array([packed([x[keep] for x in all_])], pa.binary())], schema=schema)
+
+        return entries.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(narrow, "b long, blob binary")
+
+    def texts(self, entries: DataFrame) -> DataFrame:
+        """(e, t): the compressed texts of the sets that have an entry left."""
         schema = pa.schema([("e", pa.int64()), ("t", pa.binary())])
 
         def cut(rows: pa.Table, said: pa.Table) -> pa.Table:
-            if not len(rows) or not len(said):
+            place = np.unique(np.concatenate([unpacked(x, ["<u8", "<i4", "<i4", "<i4"])[1] for x in blobs(said.column("blob"))])) if len(said) else []
+            if not len(rows) or not len(place):
                 return schema.empty_table()
             _, _, length, raw = unpacked(rows.column("blob")[0].as_py(), ["<i8", "u1", "<i4", "u1"])
-            at, e = offsets_of(length), said.column("e").to_numpy()
-            return pa.table([pa.array(e), pa.array([packed([raw[at[i] : at[i + 1]]]) for i in e % PLACES], pa.binary())], schema=schema)
+            at, b = offsets_of(length), rows.column("b")[0].as_py()
+            return pa.table([pa.array(place.astype(np.int64) + b * PLACES), pa.array([packed([raw[at[i] : at[i + 1]]]) for i in place], pa.binary())], schema=schema)
+
+        return self.batches.groupBy("b").cogroup(entries.groupBy("b")).applyInArrow(cut, "e long, t binary")
+
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs whose sets link."""
+        width, percent = self.width, self.percent
 
         def check(batches):
             known: dict = {}
@@ -265,13 +310,14 @@ class Join:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-        texts = saved(self.batches.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(cut, "e long, t binary"))
         one = pairs.join(texts.select(F.col("e").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
         two = one.join(texts.select(F.col("e").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
         return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
-    def crossing(self, entries: DataFrame, names: DataFrame) -> DataFrame:
-        """All pairs of one signature that may link by size and aren't in one component yet.
+    def crossing(self, entries: DataFrame, names: DataFrame, seed: int | None = None) -> DataFrame:
+        """All pairs of one signature that may link and aren't in one component yet.
+
+        With a seed only a few: each entry with one that follows it in an order by the seed.
 
         names: (e, rep, root) of the entities that another represents or that are in a component.
 
@@ -339,7 +385,8 @@ class Join:
 
         def pair(rows: pa.Table) -> pa.Table:
             got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4", "<i8"]) for x in blobs(rows.column("blob"))]
-            found = unlike(*(np.concatenate(x) for x in zip(*got, strict=True)), percent)
+            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
+            found = unlike(*columns, percent) if seed is None else some_unlike(*columns, percent, seed)
             return pa.table([[packed(found)]], schema=pa.schema([("blob", pa.binary())]))
 
         kind = "bucket int, b long, blob binary"
@@ -351,15 +398,38 @@ class Join:
         return rows_of(sent.groupBy("bucket").applyInArrow(pair, "blob binary"))
 
 
+def hopeful(size: np.ndarray, rest: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
+    """Whether entries may link to others of their signature of which the smallest has size ``low``."""
+    size = size.astype(np.int64)
+    return (100 + percent) * rest.astype(np.int64) >= percent * (size + np.maximum(low, -(-percent * size // 100)))
+
+
 def star(sig: np.ndarray, e: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: int):
-    """(place of each signature's first entity, [a, b] of the pairs with it that sizes and rests allow)."""
+    """(place of each signature's first entity, [a, b, how often] of the pairs with it that sizes and rests allow)."""
     by = np.lexsort((e, sig))
     new = np.concatenate([[True], sig[by][1:] != sig[by][:-1]]) if len(by) else np.zeros(0, bool)
     head = by[new]
     first = head[np.cumsum(new) - 1] if len(by) else by
     keep = (e[by] != e[first]) & may_link(size[by], rest[by], size[first], rest[first], percent)
-    pairs = np.unique(np.stack([e[first][keep], e[by][keep]], 1), axis=0)
-    return head, [pairs[:, 0], pairs[:, 1]]
+    pairs, count = np.unique(np.stack([e[first][keep], e[by][keep]], 1), axis=0, return_counts=True)
+    return head, [pairs[:, 0], pairs[:, 1], count.astype(np.int64)]
+
+
+def some_unlike(sig, e, size, rest, root, percent: int, seed: int, reach: int = 8):
+    """[a, b] of each entry and the first of up to ``reach`` that follow it of which ``unlike`` would pair it."""
+    by = np.lexsort((mixed(e.astype(np.uint64) ^ mixed(np.array([seed], np.uint64))), sig))
+    sig, e, size, rest, root = (x[by] for x in (sig, e, size.astype(np.int64), rest, root))
+    out, live = [], np.arange(len(sig))
+    for step in range(1, reach + 1):
+        live = live[live + step < len(sig)]
+        live = live[sig[live] == sig[live + step]]
+        other = live + step
+        low, high = np.minimum(size[live], size[other]), np.maximum(size[live], size[other])
+        keep = (root[live] != root[other]) & (100 * low >= percent * high) & may_link(size[live], rest[live], size[other], rest[other], percent)
+        out.append(np.stack([np.minimum(e[live], e[other]), np.maximum(e[live], e[other])], 1)[keep])
+        live = live[~keep]
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return [pairs[:, 0], pairs[:, 1]]
 
 
 def unlike(sig, e, size, rest, root, percent: int):
@@ -381,19 +451,20 @@ def unlike(sig, e, size, rest, root, percent: int):
     return [pairs[:, 0], pairs[:, 1]]
 
 
-def rows_of(pairs: DataFrame) -> DataFrame:
-    """Packed pairs as distinct rows (a, b)."""
+def rows_of(pairs: DataFrame, counted: bool = False) -> DataFrame:
+    """Packed pairs as distinct rows (a, b), or (a, b, c) with their counts added up."""
+    names = ["a", "b", "c"] if counted else ["a", "b"]
 
     def split(batches):
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                a, b = unpacked(blob, ["<i8", "<i8"])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(blob, ["<i8"] * len(names))], names)
 
-    return pairs.mapInArrow(split, "a long, b long").distinct()
+    rows = pairs.mapInArrow(split, ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("a", "b").agg(F.sum("c").alias("c")) if counted else rows.distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> DataFrame:
     """Each row's set size and the least key that it reaches by links: key, n_shingles, component_id.
 
     Words are lower-cased (A-Z); a set is the distinct ``width``-word shingles, or the whole of fewer words;
@@ -404,7 +475,8 @@ def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
 
     Shingles are compared by 64-bit hashes, classes by 128-bit digests. First the pairs of each signature's
     first set are checked and joined to components; then all pairs that cross components are, so no link
-    between different components is lost, and a group of near copies is not spread into all its pairs.
+    between different components is lost. In between, at most ``rounds`` rounds of chance pairs keep a large
+    group of near copies from being spread into all its pairs.
     """
     join = Join(docs, key, **how)
     sets = saved(join.sets())
@@ -417,21 +489,45 @@ def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     names = saved(sets.where("own AND n > 0").select("e", "d1", "d2").join(reps.select("d1", "d2", "rep").hint("merge"), ["d1", "d2"]).select("e", "rep"))
     canon = names.where("e <> rep")
 
-    def merged(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    asked = saved(merged(join.stars(entries)))
-    near = saved(join.verified(asked))
-    roots = components(near)
-    placed = names.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root"))
-    rest = join.crossing(entries, placed.where("e <> root")).join(asked, ["a", "b"], "left_anti")
-    far = saved(join.verified(saved(rest)))
+    stars, answers = join.stars(entries)
+    pairs = stars
+    for side in ("a", "b"):
+        pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
+    pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
+    entries = saved(join.shared(entries, answers))
+    texts = saved(join.texts(entries))
+
+    def two(pairs: DataFrame, first, second) -> DataFrame:
+        """Of each set's pairs with earlier ones two at most."""
+        each = pairs.groupBy("b").agg(F.array(first, second).alias("a"))
+        return each.select(F.explode(F.array_distinct("a")).alias("a"), "b")
+
+    def placed(links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("node").alias("rep"), "root")
+        return saved(names.join(roots, "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root")))
+
+    # at first each set asks the one with which it shares most signatures, and the first of all
+    asked = saved(two(pairs.join(texts.select(F.col("e").alias("a")), "a", "left_semi").join(texts.select(F.col("e").alias("b")), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")))
+    links = saved(join.verified(asked, texts))
+    place = placed(links)
+    # then a few rounds of chance partners join what is left of large groups
+    for seed in range(1, rounds + 1):
+        chance = F.xxhash64("a", "b", F.lit(seed))
+        some = join.crossing(entries, place.where("e <> root"), seed).join(asked, ["a", "b"], "left_anti")
+        some = saved(two(some, F.min_by("a", chance), F.max_by("a", chance)))
+        new = saved(join.verified(some, texts))
+        asked, links = saved(asked.unionByName(some)), saved(links.unionByName(new))
+        found, tried = new.count(), some.count()
+        if found:
+            place = placed(links)
+        if found * 50 < tried or not tried:
+            break
+    # and at last all pairs that still cross components
+    far = saved(join.verified(saved(join.crossing(entries, place.where("e <> root")).join(asked, ["a", "b"], "left_anti")), texts))
     if not far.isEmpty():
-        roots = components(near.unionByName(far))
-    placed = names.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("e", F.coalesce("root", "rep").alias("root"))
-    rooted = sets.where("n > 0").select("k", "n", "e").join(placed.hint("merge"), "e").select("k", "n", "root")
+        place = placed(links.unionByName(far))
+    placed_ = place.select("e", "root")
+    rooted = sets.where("n > 0").select("k", "n", "e").join(placed_.hint("merge"), "e").select("k", "n", "root")
     least = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
     out = rooted.join(least.hint("merge"), "root").select("k", "n", "component_id").unionByName(sets.where("n = 0").select("k", "n", F.col("k").alias("component_id")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
