@@ -84,9 +84,10 @@ def weights(start: np.ndarray, windows: np.ndarray, values: np.ndarray, mins: np
     out = np.ones(len(start), np.int64)
     enters = np.concatenate([[0], np.cumsum(parts[width - 1 :] == mins)])
     out[enters[start + windows] > enters[start + 1]] = 2
-    for a in range(0, len(start), 65536):
-        first = parts[start[a : a + 65536, None] + np.arange(width)] == values[a : a + 65536, None]
-        out[a : a + 65536][first.sum(1) > 1] = 2
+    windows_ = np.lib.stride_tricks.sliding_window_view(parts, width)
+    for a in range(0, len(start), 2048):
+        first = windows_[start[a : a + 2048]] == values[a : a + 2048, None]
+        out[a : a + 2048][np.count_nonzero(first, axis=1) > 1] = 2
     return out
 
 
