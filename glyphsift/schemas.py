@@ -16,7 +16,7 @@ ADDRESS = T.DecimalType(20, 0)
 
 BINARIES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
-SECTION = "struct<section_idx:int,name:string,segment:string,flags:bigint,offset:bigint,size:bigint,rva:decimal(20,0),is_executable:boolean,is_writable:boolean>"
+SECTION = "struct<section_idx:int,name:string,segment:string,flags:bigint,offset:bigint,size:bigint,memory_size:bigint,rva:decimal(20,0),is_executable:boolean,is_writable:boolean>"
 IMPORT = "struct<name:string,library:string,address:decimal(20,0)>"
 EXPORT = "struct<name:string,address:decimal(20,0),ordinal:int>"
 TEXT = "struct<kind:string,text:string,encoding:string,offset:bigint>"
