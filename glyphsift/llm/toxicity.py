@@ -1,4 +1,4 @@
-"""Toxicity by a classifier chain of linear models over the words of a text."""
+"""Toxicity by a classifier chain of linear models over the words of a text and their beginnings."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .contamination import words_in
+from .common import LETTERS, LOWER, joined_buffers, mixed, word_hashes, word_spans
 
 #: Folds for out-of-fold predictions.
 FOLDS = 5
+#: Bytes of the word beginnings that are features beside whole words: stems of compounds.
+PREFIXES = (4, 5)
 
 
 class Linear:
-    """Logistic regression on whether chosen words occur, and on the log-odds of earlier categories."""
+    """Logistic regression on whether chosen words occur, and on the probabilities of earlier categories."""
 
     def __init__(self, words: int = 256, penalty: float = 1.0, least: int = 5):
         self.most, self.penalty, self.least = words, penalty, least
@@ -40,15 +42,19 @@ class Linear:
         return np.clip(self._design(rows, words, n, earlier) @ self.weights, -30, 30)
 
     def _chosen(self, rows, words, y) -> np.ndarray:
-        """The words whose counts differ most between the classes, by the z of their log odds."""
+        """The features that tell most about the class, by their log-likelihood ratio."""
         distinct, where = np.unique(words, return_inverse=True)
-        total = np.bincount(where, minlength=len(distinct))
+        total = np.bincount(where, minlength=len(distinct)).astype(float)
         of = np.bincount(where, y[rows], len(distinct))
-        a, b, n1, n0 = of + 0.5, total - of + 0.5, y.sum() + 1, len(y) - y.sum() + 1
-        z = (np.log(a / (n1 - of)) - np.log(b / (n0 - total + of))) / np.sqrt(1 / a + 1 / b)
-        z[total < self.least] = 0
-        best = np.lexsort((distinct, -np.abs(z)))[: self.most]
-        return np.sort(distinct[best[z[best] != 0]])
+        n, n1 = len(y), float(y.sum())
+
+        def part(seen, expected):
+            return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+        g = part(of, total * n1 / n) + part(total - of, total * (n - n1) / n) + part(n1 - of, (n - total) * n1 / n) + part(n - n1 - total + of, (n - total) * (n - n1) / n)
+        g[total < self.least] = 0
+        best = np.lexsort((distinct, -g))[: self.most]
+        return np.sort(distinct[best[g[best] > 0]])
 
     def _design(self, rows, words, n, earlier) -> np.ndarray:
         x = np.zeros((n, len(self.words) + earlier.shape[1] + 1))
@@ -62,10 +68,10 @@ class Linear:
 
 
 class Chain:
-    """One linear model for each category in order, each fed the log-odds of those before it."""
+    """One linear model for each category in order, each fed the probabilities of those before it."""
 
     def fit(self, rows: np.ndarray, words: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
-        """y: a column for each category. A later model learns from earlier categories' out-of-fold log-odds."""
+        """y: a column for each category. A later model learns from earlier categories' out-of-fold probabilities."""
         n = len(y)
         earlier, self.models, self.cuts = np.zeros((n, 0)), [], []
         for c in range(y.shape[1]):
@@ -81,15 +87,21 @@ class Chain:
                 out[test] = model.score(new[rows[~ours]], words[~ours], int(test.sum()), earlier[test])
             self.models.append(Linear().fit(rows, words, n, y[:, c], earlier))
             self.cuts.append(best_cut(out, y[:, c]))
-            earlier = np.column_stack([earlier, out])
+            earlier = np.column_stack([earlier, probability(out)])
         self.held_out = earlier
         return self
 
     def score(self, rows, words, n) -> np.ndarray:
-        earlier = np.zeros((n, 0))
+        """Log-odds of each category."""
+        earlier, out = np.zeros((n, 0)), np.zeros((n, 0))
         for model in self.models:
-            earlier = np.column_stack([earlier, model.score(rows, words, n, earlier)])
-        return earlier
+            odds = model.score(rows, words, n, earlier)
+            out, earlier = np.column_stack([out, odds]), np.column_stack([earlier, probability(odds)])
+        return out
+
+
+def probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
 
 
 def best_cut(score: np.ndarray, y: np.ndarray) -> float:
@@ -105,10 +117,23 @@ def best_cut(score: np.ndarray, y: np.ndarray) -> float:
     return float((score[order][i] + below) / 2)
 
 
-def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, word hash) of each different word of each text."""
-    hashes, first = words_in(column)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word of each text, and of the first 4 and 5 bytes of longer words."""
+    raw, at = joined_buffers(column)
+    raw = LOWER[raw]
+    start, end, first = word_spans(raw, at, LETTERS)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    rows, hashes = [row], [word_hashes(raw, start, end)]
+    for n in PREFIXES:
+        long_ = np.flatnonzero(end - start > n)
+        rows.append(row[long_])
+        hashes.append(mixed(word_hashes(raw, start[long_], start[long_] + n) + np.uint64(n)))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
+def distinct_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same without repeats, in order of rows."""
+    row, hashes = features(column)
     order = np.lexsort((hashes, row))
     row, hashes = row[order], hashes[order]
     new = np.ones(len(row), bool)
@@ -116,7 +141,7 @@ def word_pairs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[new], hashes[new]
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", most_rows: int = 20_000) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", most_rows: int = 8_000) -> Chain | None:
     """A chain over ``categories`` (name -> 0/1 expression on ``labels``, in order) from labelled texts.
 
     ``most_rows`` bounds the labelled rows that the driver gathers, those whose key has the least hash. A row
@@ -132,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key
 
     def f(batches):
         for batch in batches:
-            row, words = word_pairs(batch.column(1))
+            row, words = distinct_features(batch.column(1))
             at = np.searchsorted(row, np.arange(len(batch) + 1))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], ["k", "w", *[f"y{i}" for i in range(len(names))]])
@@ -166,8 +191,8 @@ def score(docs: DataFrame, chain: Chain | None, names: list[str], key: str = "do
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.slice(a, 512)
-                odds = chain.score(*word_pairs(part.column(1)), len(part))
-                p = [pa.array(np.round(1 / (1 + np.exp(-odds[:, i])), 6)) for i in range(odds.shape[1])]
+                odds = chain.score(*features(part.column(1)), len(part))
+                p = [pa.array(np.round(probability(odds[:, i]), 6)) for i in range(odds.shape[1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *p, pa.array(odds[:, -1] >= chain.cuts[-1])], [key, *[f"p_{n}" for n in names], "toxic"])
 
     return rows.mapInArrow(f, f"{key} long, " + ", ".join(f"p_{n} double" for n in names) + ", toxic boolean")
