@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_buffers, mixed, saved, word_hashes, word_spans
-from .components import components
+from .components import components, joined
 from .repeats import blobs, packed, unpacked
 
 #: An entity is its batch and its place there: batch * PLACES + place.
 PLACES = 1 << 24
+#: Kinds of the columns of crossing entries: signature, entity, size, rest, root.
+CROSSING = ["<u8", "<i8", "<i4", "<i4", "<i8"]
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -314,10 +316,8 @@ class Join:
         two = one.join(texts.select(F.col("e").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
         return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
-    def crossing(self, entries: DataFrame, names: DataFrame, seed: int | None = None) -> DataFrame:
-        """All pairs of one signature that may link and aren't in one component yet.
-
-        With a seed only a few: each entry with one that follows it in an order by the seed.
+    def crossing(self, entries: DataFrame, names: DataFrame) -> DataFrame:
+        """(bucket, b, blob): the entries of signatures whose sets aren't in one component yet.
 
         names: (e, rep, root) of the entities that another represents or that are in a component.
 
@@ -383,19 +383,41 @@ class Join:
             of_each = [x[keep] for x in of_each]
             return spread(b, (of_each[0] % np.uint64(n)).astype(np.int64), of_each)
 
-        def pair(rows: pa.Table) -> pa.Table:
-            got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4", "<i8"]) for x in blobs(rows.column("blob"))]
-            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
-            found = unlike(*columns, percent) if seed is None else some_unlike(*columns, percent, seed)
-            return pa.table([[packed(found)]], schema=pa.schema([("blob", pa.binary())]))
-
         kind = "bucket int, b long, blob binary"
         announced = entries.groupBy("b").cogroup(named.groupBy("b")).applyInArrow(announce, kind)
         mixed_ = announced.groupBy("bucket").applyInArrow(answer, "b long, mixed binary")
         nothing = [F.lit(None).cast("long").alias(c) for c in ("e", "rep", "root")]
         said = named.select("b", "e", "rep", "root", F.lit(None).cast("binary").alias("mixed")).unionByName(mixed_.select("b", *nothing, "mixed"))
-        sent = entries.groupBy("b").cogroup(said.groupBy("b")).applyInArrow(send, kind)
-        return rows_of(sent.groupBy("bucket").applyInArrow(pair, "blob binary"))
+        return entries.groupBy("b").cogroup(said.groupBy("b")).applyInArrow(send, kind)
+
+    def many(self, crossing: DataFrame) -> bool:
+        """Whether all pairs of the crossing entries could be more than a few for each."""
+        schema = pa.schema([("entries", pa.int64()), ("pairs", pa.int64())])
+
+        def count(rows: pa.Table) -> pa.Table:
+            got = [unpacked(x, CROSSING) for x in blobs(rows.column("blob"))]
+            sig, _, _, _, root = (np.concatenate(x) for x in zip(*got, strict=True))
+            each = np.unique(sig, return_counts=True)[1]
+            own = np.unique(np.stack([sig, root.astype(np.uint64)], 1), axis=0, return_counts=True)[1]
+            return pa.table([[len(sig)], [int((each * each).sum() - (own * own).sum()) // 2]], schema=schema)
+
+        r = crossing.groupBy("bucket").applyInArrow(count, "entries long, pairs long").agg(F.sum("entries").alias("n"), F.sum("pairs").alias("pairs")).first()
+        return (r["pairs"] or 0) > 8 * (r["n"] or 0)
+
+    def pairs(self, crossing: DataFrame, seed: int | None = None) -> DataFrame:
+        """All pairs of one signature that may link and aren't in one component yet.
+
+        With a seed only some: each entry with one that follows it in an order by the seed.
+        """
+        percent = self.percent
+
+        def pair(rows: pa.Table) -> pa.Table:
+            got = [unpacked(x, CROSSING) for x in blobs(rows.column("blob"))]
+            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
+            found = unlike(*columns, percent) if seed is None else some_unlike(*columns, percent, seed)
+            return pa.table([[packed(found)]], schema=pa.schema([("blob", pa.binary())]))
+
+        return rows_of(crossing.groupBy("bucket").applyInArrow(pair, "blob binary"))
 
 
 def hopeful(size: np.ndarray, rest: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
@@ -492,7 +514,7 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
     stars, answers = join.stars(entries)
     pairs = stars
     for side in ("a", "b"):
-        pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
+        pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")).hint("merge"), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
     pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
     entries = saved(join.shared(entries, answers))
     texts = saved(join.texts(entries))
@@ -502,32 +524,29 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
         each = pairs.groupBy("b").agg(F.array(first, second).alias("a"))
         return each.select(F.explode(F.array_distinct("a")).alias("a"), "b")
 
-    def placed(links: DataFrame) -> DataFrame:
-        roots = components(links).select(F.col("node").alias("rep"), "root")
-        return saved(names.join(roots, "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root")))
+    def placed(roots: DataFrame) -> DataFrame:
+        named = roots.select(F.col("node").alias("rep"), "root").hint("merge")
+        return saved(names.join(named, "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root")))
 
     # at first each set asks the one with which it shares most signatures, and the first of all
-    asked = saved(two(pairs.join(texts.select(F.col("e").alias("a")), "a", "left_semi").join(texts.select(F.col("e").alias("b")), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")))
-    links = saved(join.verified(asked, texts))
-    place = placed(links)
-    # then a few rounds of chance partners join what is left of large groups
+    asked = saved(two(pairs.join(texts.select(F.col("e").alias("a")).hint("merge"), "a", "left_semi").join(texts.select(F.col("e").alias("b")).hint("merge"), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")))
+    roots = components(saved(join.verified(asked, texts)))
+    place = placed(roots)
+    left = saved(join.crossing(entries, place.where("e <> root")))
+    # while groups are large, a round of chance partners joins more of them
     for seed in range(1, rounds + 1):
+        if not join.many(left):
+            break
         chance = F.xxhash64("a", "b", F.lit(seed))
-        some = join.crossing(entries, place.where("e <> root"), seed).join(asked, ["a", "b"], "left_anti")
+        some = join.pairs(left, seed).join(asked.hint("merge"), ["a", "b"], "left_anti")
         some = saved(two(some, F.min_by("a", chance), F.max_by("a", chance)))
-        new = saved(join.verified(some, texts))
-        asked, links = saved(asked.unionByName(some)), saved(links.unionByName(new))
-        found, tried = new.count(), some.count()
-        if found:
-            place = placed(links)
-        if found * 50 < tried or not tried:
-            break
+        asked, roots = saved(asked.unionByName(some)), joined(roots, saved(join.verified(some, texts)))
+        place = placed(roots)
+        left = saved(join.crossing(entries, place.where("e <> root")))
     # and at last all pairs that still cross components
-    far = saved(join.verified(saved(join.crossing(entries, place.where("e <> root")).join(asked, ["a", "b"], "left_anti")), texts))
-    if not far.isEmpty():
-        place = placed(links.unionByName(far))
-    placed_ = place.select("e", "root")
-    rooted = sets.where("n > 0").select("k", "n", "e").join(placed_.hint("merge"), "e").select("k", "n", "root")
+    rest = saved(join.pairs(left).join(asked.hint("merge"), ["a", "b"], "left_anti"))
+    place = placed(joined(roots, saved(join.verified(rest, texts)))).select("e", "root")
+    rooted = sets.where("n > 0").select("k", "n", "e").join(place.hint("merge"), "e").select("k", "n", "root")
     least = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
     out = rooted.join(least.hint("merge"), "root").select("k", "n", "component_id").unionByName(sets.where("n = 0").select("k", "n", F.col("k").alias("component_id")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
