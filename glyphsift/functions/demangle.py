@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Escapes of the legacy mangling (fixed values).
 ESCAPES = {"$SP$": "@", "$BP$": "*", "$RF$": "&", "$LT$": "<", "$GT$": ">", "$LP$": "(", "$RP$": ")", "$C$": ","}
@@ -39,7 +40,7 @@ def demangled(name: str | None) -> str | None:
     return re.sub(r"(^|::)_(?=<)", r"\1", text.replace("..", "::"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _demangle(names: pd.Series) -> pd.Series:
     return names.map(demangled)
 
