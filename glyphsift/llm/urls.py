@@ -52,12 +52,13 @@ def entropy(text: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def suffixes(host: str) -> tuple[str, str]:
+def suffixes(host: str, path: str) -> dict[str, str]:
+    """What statistics are kept of: the host's last label, its last two, and the first part of the path."""
     parts = host.split(".")
-    return parts[-1], ".".join(parts[-2:])
+    return {"top": parts[-1], "domain": ".".join(parts[-2:]), "segment": path.split("/")[1] if "/" in path else ""}
 
 
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "top_rate", "top_count", "domain_rate", "domain_count")
+FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "top_rate", "top_count", "domain_rate", "domain_count", "segment_rate", "segment_count")
 
 
 def features(urls, stats: dict) -> np.ndarray:
@@ -66,18 +67,18 @@ def features(urls, stats: dict) -> np.ndarray:
     for i, url in enumerate(urls):
         url = url if isinstance(url, str) else ""
         host, path, query = parsed(url)
-        top, domain = suffixes(host)
-        a, b = stats.get(("top", top), (0.5, 0)), stats.get(("domain", domain), (0.5, 0))
-        out[i] = (len(url), path.count("/"), sum(c in "0123456789" for c in url) / max(1, len(url)), entropy(url), (query.count("&") + 1) if query else 0, len(host), host.count(".") + 1 if host else 0, url.count("-"), a[0], np.log1p(a[1]), b[0], np.log1p(b[1]))
+        known = [stats.get(x, (0.5, 0)) for x in suffixes(host, path).items()]
+        shape = (len(url), path.count("/"), sum(c in "0123456789" for c in url) / max(1, len(url)), entropy(url), (query.count("&") + 1) if query else 0, len(host), host.count(".") + 1 if host else 0, url.count("-"))
+        out[i] = (*shape, *(v for share, n in known for v in (share, np.log1p(n))))
     return out
 
 
 def suffix_stats(urls, blocked: np.ndarray, most: int = 4096) -> dict:
-    """Smoothed share of blocked URLs for the most frequent host suffixes: (share, count)."""
+    """Smoothed share of blocked URLs for the most frequent suffixes and path beginnings: (share, count)."""
     seen: dict = {}
     for url, bad in zip(urls, blocked, strict=True):
-        for kind, suffix in zip(("top", "domain"), suffixes(parsed(url)[0]), strict=True):
-            n = seen.setdefault((kind, suffix), [0, 0])
+        for part in suffixes(*parsed(url)[:2]).items():
+            n = seen.setdefault(part, [0, 0])
             n[0] += int(bad)
             n[1] += 1
     kept = sorted(seen.items(), key=lambda x: (-x[1][1], x[0]))[:most]
