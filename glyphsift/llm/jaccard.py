@@ -208,26 +208,32 @@ class Join:
         """
         n, percent = self.n_buckets, self.percent
 
-        def local(batches):
+        def each(batches):
             for batch in batches:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     sig, owner, size, rest = unpacked(blob, ["<u8", "<i4", "<i4", "<i4"])
-                    e = owner.astype(np.int64) + b * PLACES
-                    head, pairs = star(sig, e, size, rest, percent)
-                    out = [(None, packed(pairs))]
-                    # for a batch's entries of one signature: the least size and the largest rest
-                    _, where = np.unique(sig, return_inverse=True)
-                    least, most = np.full(len(head), np.iinfo(np.int32).max, np.int32), np.zeros(len(head), np.int32)
-                    np.minimum.at(least, where, size)
-                    np.maximum.at(most, where, rest)
-                    bucket = (sig[head] % np.uint64(n)).astype(np.int32)
-                    by = np.argsort(bucket, kind="stable")
-                    cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
-                    for i, j in zip(cut[:-1], cut[1:], strict=True):
-                        at = head[by[i:j]]
-                        out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at], rest[at], least[by[i:j]], most[by[i:j]]])))
-                    q, x = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(x, pa.binary())], ["bucket", "blob"])
+                    yield sig, owner.astype(np.int64) + b * PLACES, size, rest
+
+        def near(batches):
+            for columns in each(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([packed(star(*columns, percent)[1])], pa.binary())], ["blob"])
+
+        def firsts(batches):
+            for sig, e, size, rest in each(batches):
+                head, _ = star(sig, e, size, rest, percent)
+                # for a batch's entries of one signature: the least size and the largest rest
+                _, where = np.unique(sig, return_inverse=True)
+                least, most = np.full(len(head), np.iinfo(np.int32).max, np.int32), np.zeros(len(head), np.int32)
+                np.minimum.at(least, where, size)
+                np.maximum.at(most, where, rest)
+                bucket, out = (sig[head] % np.uint64(n)).astype(np.int32), []
+                by = np.argsort(bucket, kind="stable")
+                cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
+                for i, j in zip(cut[:-1], cut[1:], strict=True):
+                    at = head[by[i:j]]
+                    out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at], rest[at], least[by[i:j]], most[by[i:j]]])))
+                q, x = zip(*out, strict=True) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(x, pa.binary())], ["bucket", "blob"])
 
         def across(rows: pa.Table) -> pa.Table:
             got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4", "<i4", "<i4"]) for x in blobs(rows.column("blob"))]
@@ -245,10 +251,9 @@ class Join:
             q, x = zip(*out, strict=True)
             return pa.table([pa.array(q, pa.int64()), pa.array(x, pa.binary())], schema=pa.schema([("b", pa.int64()), ("shared", pa.binary())]))
 
-        firsts = saved(entries.mapInArrow(local, "bucket int, blob binary"))
-        far = saved(firsts.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(across, "b long, shared binary"))
-        pairs = firsts.where("bucket IS NULL").select("blob").unionByName(far.where("b IS NULL").select(F.col("shared").alias("blob")))
-        return rows_of(pairs, counted=True), far.where("b IS NOT NULL")
+        far = saved(entries.mapInArrow(firsts, "bucket int, blob binary").groupBy("bucket").applyInArrow(across, "b long, shared binary"))
+        pairs = entries.mapInArrow(near, "blob binary").unionByName(far.where("b IS NULL").select(F.col("shared").alias("blob")))
+        return saved(rows_of(pairs, counted=True)), far.where("b IS NOT NULL")
 
     def shared(self, entries: DataFrame, answers: DataFrame) -> DataFrame:
         """The entries whose signature another one has with which they may link."""
@@ -390,19 +395,18 @@ class Join:
         said = named.select("b", "e", "rep", "root", F.lit(None).cast("binary").alias("mixed")).unionByName(mixed_.select("b", *nothing, "mixed"))
         return entries.groupBy("b").cogroup(said.groupBy("b")).applyInArrow(send, kind)
 
-    def many(self, crossing: DataFrame) -> bool:
-        """Whether all pairs of the crossing entries could be more than a few for each."""
-        schema = pa.schema([("entries", pa.int64()), ("pairs", pa.int64())])
+    def many(self, crossing: DataFrame, each: int = 4) -> bool:
+        """Whether the pairs of crossing entries are more than ``each`` for a set; the count ends there."""
+        percent, schema = self.percent, pa.schema([("sets", pa.int64()), ("pairs", pa.int64())])
 
         def count(rows: pa.Table) -> pa.Table:
             got = [unpacked(x, CROSSING) for x in blobs(rows.column("blob"))]
-            sig, _, _, _, root = (np.concatenate(x) for x in zip(*got, strict=True))
-            each = np.unique(sig, return_counts=True)[1]
-            own = np.unique(np.stack([sig, root.astype(np.uint64)], 1), axis=0, return_counts=True)[1]
-            return pa.table([[len(sig)], [int((each * each).sum() - (own * own).sum()) // 2]], schema=schema)
+            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
+            sets = len(np.unique(columns[1]))
+            return pa.table([[sets], [len(unlike(*columns, percent, each * sets)[0])]], schema=schema)
 
-        r = crossing.groupBy("bucket").applyInArrow(count, "entries long, pairs long").agg(F.sum("entries").alias("n"), F.sum("pairs").alias("pairs")).first()
-        return (r["pairs"] or 0) > 8 * (r["n"] or 0)
+        r = crossing.groupBy("bucket").applyInArrow(count, "sets long, pairs long").agg(F.sum("sets").alias("n"), F.sum("pairs").alias("pairs")).first()
+        return (r["pairs"] or 0) > each // 2 * (r["n"] or 0)
 
     def pairs(self, crossing: DataFrame, seed: int | None = None) -> DataFrame:
         """All pairs of one signature that may link and aren't in one component yet.
@@ -454,8 +458,11 @@ def some_unlike(sig, e, size, rest, root, percent: int, seed: int, reach: int =
     return [pairs[:, 0], pairs[:, 1]]
 
 
-def unlike(sig, e, size, rest, root, percent: int):
-    """[a, b] of all pairs of one signature in different components that sizes and rests allow."""
+def unlike(sig, e, size, rest, root, percent: int, limit: int | None = None):
+    """[a, b] of all pairs of one signature in different components that sizes and rests allow.
+
+    With a limit the search ends once it has more, for a count.
+    """
     by = np.lexsort((e, size, sig))
     sig, e, size, rest, root = sig[by], e[by], size[by].astype(np.int64), rest[by], root[by]
     end = np.searchsorted(sig, sig, side="right")
@@ -467,8 +474,10 @@ def unlike(sig, e, size, rest, root, percent: int):
         keep = (root[live] != root[other]) & may_link(size[live], rest[live], size[other], rest[other], percent)
         out.append(np.stack([np.minimum(e[live], e[other]), np.maximum(e[live], e[other])], 1)[keep])
         step += 1
-        if sum(map(len, out)) > 1 << 20:
+        if sum(map(len, out)) > (1 << 20 if limit is None else 4 * limit):
             out = [np.unique(np.concatenate(out), axis=0)]
+            if limit is not None and len(out[0]) > limit:
+                break
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return [pairs[:, 0], pairs[:, 1]]
 
@@ -518,6 +527,7 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
     pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
     entries = saved(join.shared(entries, answers))
     texts = saved(join.texts(entries))
+    join.batches = answers = stars = None  # their files can go
 
     def two(pairs: DataFrame, first, second) -> DataFrame:
         """Of each set's pairs with earlier ones two at most."""
@@ -540,9 +550,13 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
         chance = F.xxhash64("a", "b", F.lit(seed))
         some = join.pairs(left, seed).join(asked.hint("merge"), ["a", "b"], "left_anti")
         some = saved(two(some, F.min_by("a", chance), F.max_by("a", chance)))
-        asked, roots = saved(asked.unionByName(some)), joined(roots, saved(join.verified(some, texts)))
+        new = saved(join.verified(some, texts))
+        asked, roots = saved(asked.unionByName(some)), joined(roots, new)
         place = placed(roots)
+        fruitless = new.count() * 10 < some.count()
         left = saved(join.crossing(entries, place.where("e <> root")))
+        if fruitless:
+            break
     # and at last all pairs that still cross components
     rest = saved(join.pairs(left).join(asked.hint("merge"), ["a", "b"], "left_anti"))
     place = placed(joined(roots, saved(join.verified(rest, texts)))).select("e", "root")
