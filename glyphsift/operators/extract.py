@@ -58,6 +58,16 @@ def text_container(df: DataFrame, key: str, text: str, name: str, section_type:
     return df.select(F.concat(F.lit(f"{name}/"), F.col(key).cast("string")).alias("path"), F.lit("Unknown").alias("format"), F.lit(name).alias("section"), F.lit(section_type).alias("section_type"), F.lit(0).cast("long").alias("base_offset"), F.lit(None).cast("decimal(20,0)").alias("base_rva"), F.lit("SectionData").alias("source"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out over the cores where the input has fewer splits than that; larger inputs stay as they are.
+
+    A scan costs far more than moving its input once, but only while moving makes idle cores work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < 2 * cores else df
+
+
 def wanted_sections(sections: DataFrame, how: Extraction) -> DataFrame:
     """Sections that are scanned; the choice is made before any byte is read.
 

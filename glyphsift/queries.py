@@ -51,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def container(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, key, column, section, kind = CONTAINERS[name]
     rows = table(spark, sf_dir, source).select(F.expr(key).alias("key"), F.col(column).alias("text"))
-    return extract.text_container(rows, "key", "text", section, kind)
+    return extract.text_container(extract.spread(rows), "key", "text", section, kind)
 
 
 def runs(spark: SparkSession, sf_dir: str, *names: str, config: Config = TEXT) -> DataFrame:
