@@ -357,6 +357,8 @@ class Join:
             if not len(rows):
                 return told.empty_table()
             b, sig, _, _, _, root = of(rows, said)
+            if not len(sig):
+                return told.empty_table()
             by = np.lexsort((root, sig))
             sig, root = sig[by], root[by]
             cut = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
