@@ -444,11 +444,11 @@ def star(sig: np.ndarray, e: np.ndarray, size: np.ndarray, rest: np.ndarray, per
 
 
 def some_unlike(sig, e, size, rest, root, percent: int, seed: int, reach: int = 8):
-    """[a, b] of an eighth of the entries, by the seed, each with the first of up to ``reach`` that follow it and
+    """[a, b] of half of the entries, by the seed, each with the first of up to ``reach`` that follow it and
     that ``unlike`` would pair with it."""
     by = np.lexsort((mixed(e.astype(np.uint64) ^ mixed(np.array([seed], np.uint64))), sig))
     sig, e, size, rest, root = (x[by] for x in (sig, e, size.astype(np.int64), rest, root))
-    out, live = [], np.flatnonzero(mixed(sig ^ mixed(e.astype(np.uint64) + np.uint64(seed))) % np.uint64(8) == 0)
+    out, live = [], np.flatnonzero(mixed(sig ^ mixed(e.astype(np.uint64) + np.uint64(seed))) % np.uint64(2) == 0)
     for step in range(1, reach + 1):
         live = live[live + step < len(sig)]
         live = live[sig[live] == sig[live + step]]
@@ -556,7 +556,7 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
         new = saved(join.verified(some, texts))
         asked, roots = saved(asked.unionByName(some)), joined(roots, new)
         place = placed(roots)
-        fruitless = new.count() * 10 < some.count()
+        fruitless = new.count() * 50 < some.count()
         left = saved(join.crossing(entries, place.where("e <> root")))
         if fruitless:
             break
