@@ -7,27 +7,10 @@ raises ParseError, which becomes data.
 
 from __future__ import annotations
 
-import struct
-from dataclasses import dataclass, field
 from typing import Protocol
 
-#: No table of a file may have more entries.
-MOST_ROWS = 1_000_000
-
-
-class ParseError(Exception):
-    """A file that can't be parsed."""
-
-
-@dataclass
-class Parsed:
-    """Rows as tuples in the order of the schemas; ``arch_offset`` is where a slice begins in its file."""
-
-    sections: list = field(default_factory=list)
-    imports: list = field(default_factory=list)
-    exports: list = field(default_factory=list)
-    texts: list = field(default_factory=list)
-    arch_offset: int = 0
+from . import elf, macho, pe
+from .base import ParseError, Parsed
 
 
 class Parser(Protocol):
@@ -38,27 +21,6 @@ class Parser(Protocol):
     def parse(self, data: bytes) -> Parsed: ...
 
 
-class Reader:
-    """Bounded reads of packed values."""
-
-    def __init__(self, data: bytes, order: str = "<"):
-        self.data, self.order = data, order
-
-    def get(self, at: int, kinds: str) -> tuple:
-        size = struct.calcsize(self.order + kinds)
-        if at < 0 or at + size > len(self.data):
-            raise ParseError(f"{size} bytes at {at} are outside the file")
-        return struct.unpack_from(self.order + kinds, self.data, at)
-
-    def name(self, at: int, end: int | None = None) -> str | None:
-        """A NUL-terminated string, or None outside the buffer."""
-        end = len(self.data) if end is None else min(end, len(self.data))
-        if not 0 <= at < end:
-            return None
-        stop = self.data.find(b"\0", at, end)
-        return self.data[at : stop if stop >= 0 else end].decode("utf-8", "replace")
-
-
 REGISTRY: list = []
 
 
@@ -75,8 +37,6 @@ def parser_for(name: str) -> Parser:
     raise ParseError("Unsupported file format")
 
 
-from . import elf, macho, pe  # noqa: E402
-
 for _parser in (elf.Elf(), pe.Pe(), macho.MachO()):
     register(_parser)
 

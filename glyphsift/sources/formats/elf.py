@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .base import MOST_ROWS, ParseError, Parsed, Reader
+
 # Of the public format (fixed values).
 MAGIC = b"\x7fELF"
 DYNSYM, NOBITS = 11, 8
@@ -16,8 +18,6 @@ class Elf:
         return data[:4] == MAGIC and len(data) >= 52
 
     def parse(self, data: bytes):
-        from . import MOST_ROWS, ParseError, Parsed, Reader
-
         if not self.detect(data) or data[4] not in (1, 2) or data[5] not in (1, 2):
             raise ParseError("not an ELF header")
         wide = data[4] == 2
@@ -51,8 +51,6 @@ class Elf:
         return out
 
     def _symbols(self, r, table, rows, wide: bool, out) -> None:
-        from . import MOST_ROWS, ParseError
-
         offset, length, link = table[4], table[5], table[6]
         if link >= len(rows):
             raise ParseError("symbols without names")

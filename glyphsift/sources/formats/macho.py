@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .base import MOST_ROWS, ParseError, Parsed, Reader
+
 # Of the public format (fixed values).
 THIN = {0xFEEDFACE: (">", False), 0xCEFAEDFE: ("<", False), 0xFEEDFACF: (">", True), 0xCFFAEDFE: ("<", True)}
 FAT, FAT_64 = 0xCAFEBABE, 0xCAFEBABF
@@ -19,8 +21,6 @@ class MachO:
 
     def slices(self, data: bytes) -> list[tuple[int, int]]:
         """(offset, size) of each architecture; a thin file is one."""
-        from . import ParseError, Reader
-
         magic = int.from_bytes(data[:4], "big")
         if magic in THIN:
             return [(0, len(data))]
@@ -33,8 +33,6 @@ class MachO:
         return out
 
     def parse(self, data: bytes, which: int = 0):
-        from . import ParseError
-
         if not self.detect(data):
             raise ParseError("not a Mach-O header")
         offset, size = self.slices(data)[which]
@@ -45,8 +43,6 @@ class MachO:
         return out
 
     def _thin(self, data: bytes):
-        from . import MOST_ROWS, ParseError, Parsed, Reader
-
         magic = int.from_bytes(data[:4], "big")
         if magic not in THIN:
             raise ParseError("not a Mach-O header")
@@ -76,8 +72,6 @@ class MachO:
         return out
 
     def _sections(self, r, at: int, wide: bool, index: int, out) -> int:
-        from . import ParseError
-
         count = r.get(at + (64 if wide else 48), "I")[0]
         first, step = at + (72 if wide else 56), 80 if wide else 68
         for i in range(count):
@@ -94,8 +88,6 @@ class MachO:
         return index
 
     def _symbols(self, r, at: int, wide: bool, out) -> None:
-        from . import MOST_ROWS, ParseError
-
         table, count, names, size = r.get(at + 8, "IIII")
         if count > MOST_ROWS:
             raise ParseError("too many symbols")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from .base import MOST_ROWS, ParseError, Parsed, Reader
+
 # Of the public format (fixed values).
 CODE, WRITE = 0x20, 0x80000000
 STRING_TABLE, VERSION, MANIFEST = 6, 16, 24
@@ -16,8 +20,6 @@ class Pe:
         return data[:2] == b"MZ" and len(data) >= 64 and data[at : at + 4] == b"PE\0\0"
 
     def parse(self, data: bytes):
-        from . import ParseError, Parsed, Reader
-
         if not self.detect(data):
             raise ParseError("not a PE header")
         r = Reader(data)
@@ -58,8 +60,6 @@ class Pe:
         return out
 
     def _imports(self, r, at_rva, rva: int, wide: bool, out) -> None:
-        from . import MOST_ROWS
-
         at, kind, size, flag = at_rva(rva), "Q" if wide else "I", 8 if wide else 4, 1 << (63 if wide else 31)
         while at is not None:
             lookup, _, _, library, address = r.get(at, "IIIII")
@@ -79,8 +79,6 @@ class Pe:
                     out.imports.append((r.name(hint + 2), dll, value & 0x7FFFFFFF))
 
     def _exports(self, r, at_rva, rva: int, out) -> None:
-        from . import MOST_ROWS, ParseError
-
         at = at_rva(rva)
         if at is None:
             return
@@ -145,6 +143,4 @@ class Pe:
     @staticmethod
     def _wide(body: bytes, place: int) -> list:
         """Runs of UTF-16LE text in a version block."""
-        import re
-
         return [("ResourceString", m[0].decode("utf-16-le"), "utf-16le", place + m.start()) for m in re.finditer(rb"(?:[\x20-\x7E]\x00){3,}", body) if m.start() % 2 == 0]
