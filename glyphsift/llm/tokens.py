@@ -25,34 +25,35 @@ from pyspark.sql import functions as F
 from .common import fresh_dir
 
 #: Chunks of text whose ids a worker remembers, in each of two generations; bounds its memory.
-REMEMBERED = 700_000
+REMEMBERED = 800_000
 
 
 class Remembered:
     """Ids of chunks, in two generations: when the newer one is full it becomes the older, and the older goes."""
 
-    def __init__(self, encode, space: str):
-        self.encode, self.space, self.newer, self.older, self.marks = encode, space, {"": None}, {}, {}
+    def __init__(self, encode, feed: bytes):
+        self.encode, self.feed, self.newer, self.older, self.marks = encode, feed, {"": None}, {}, {}
 
     def learn(self, chunks: set) -> None:
+        """A chunk that begins with a line feed stands at the beginning of a line, any other after a space."""
         missing = self._unknown(chunks)
         if len(self.newer) > REMEMBERED:
             self.newer, self.older = {"": None}, self.newer
             missing = self._unknown(chunks)
         # the pattern also cuts between a letter and the marks behind it, so such a chunk is two
         split = [(c, core) for c in missing if (core := c.rstrip(".,;:!?")) != c and core and core[-1].isalpha()]
-        whole = missing.difference([c for c, _ in split]) | self._unknown({core for _, core in split})
-        whole = list(whole)
-        self.newer.update(zip(whole, self.encode([self.space + c for c in whole]), strict=True))
+        whole = list(missing.difference([c for c, _ in split]) | self._unknown({core for _, core in split}))
+        ids = self.encode([c[1:] if c[0] == "\n" else " " + c for c in whole])
+        self.newer.update((c, self.feed + x if c[0] == "\n" else x) for c, x in zip(whole, ids, strict=True))
         for c, core in split:
             if (mark := c[len(core) :]) not in self.marks:
                 if len(self.marks) > 10_000:
                     self.marks = {}
                 (self.marks[mark],) = self.encode([mark])
             self.newer[c] = (self.newer[core] or b"") + self.marks[mark]
-        missing = [c for c in whole if c.split() != [c]] + [c for c, _ in split if c.split() != [c]]
         # a chunk with white space of another kind leaves its text to be encoded whole
-        self.newer.update((c, None) for c in missing)
+        odd = [c for group in (whole, [c for c, _ in split]) for c in group if (c[1:] if c[0] == "\n" else c).split() != [c[1:] if c[0] == "\n" else c]]
+        self.newer.update((c, None) for c in odd)
 
     def _unknown(self, chunks: set) -> set:
         """Those not remembered; those of the older generation move to the newer."""
@@ -78,8 +79,8 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if np.dtype(dtype).itemsize == 2 else "I"
-        self.first, self.later = Remembered(self._plain, ""), Remembered(self._plain, " ")
         (self.feed,) = self._plain(["\n"])
+        self.memory = Remembered(self._plain, self.feed)
         self.end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -103,23 +104,19 @@ class ChunkEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut, firsts, laters = [], set(), set()
+        cut, chunks = [], set()
         for t in texts:
-            lines = []
-            for line in t.split("\n"):
-                words = line.split(" ")
-                w = words.pop(0)
-                lines.append((w, words))
-                firsts.add(w)
-                laters.update(words)
-            cut.append(lines)
-        self.first.learn(firsts)
-        self.later.learn(laters)
-        first, out = self.first.newer, []
-        later = {w: self.later.newer[w] for w in laters}.__getitem__  # small enough for the caches
-        for lines, t in zip(cut, texts, strict=True):
+            words = t.replace("\n", " \n").split(" ")
+            if words[0]:
+                words[0] = "\n" + words[0]  # a text begins as a line does
+            cut.append(words)
+            chunks.update(words)
+        self.memory.learn(chunks)
+        ids = {c: self.memory.newer[c] for c in chunks}.__getitem__  # small enough for the caches
+        out, feed = [], len(self.feed)
+        for words, t in zip(cut, texts, strict=True):
             try:
-                out.append(self.feed.join([first[w] + b"".join(map(later, words)) for w, words in lines]) + self.end)
+                out.append(b"".join(map(ids, words))[feed:] + self.end)
             except TypeError:  # a chunk that is remembered as None
                 out.append((self._plain([t])[0] if t else b"") + self.end)
         return out
