@@ -172,11 +172,11 @@ def ext_2(spark, d):
     return each.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "n", "n_bytes")
 
 
-def wide(spark, d, encoding: str, codec: str) -> DataFrame:
+def wide(spark, d, encoding: str, codec: str, *others: str) -> DataFrame:
     """The benchmark as UTF-16 bytes, between two NULs so that runs end."""
     body = F.concat(F.lit(b"\x00\x00").cast("binary"), F.encode(F.regexp_replace("text", r"[^\x20-\x7E]", "\n"), codec), F.lit(b"\x00\x00").cast("binary"))
     rows = table(spark, d, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), F.lit("Unknown").alias("format"), F.lit("benchmark").alias("section"), F.lit("StringData").alias("section_type"), F.lit(0).cast("long").alias("base_offset"), F.lit(None).cast("decimal(20,0)").alias("base_rva"), F.lit("SectionData").alias("source"), body.alias("content"))
-    how = extract.Extraction(encodings=(encoding,), drop_padding=False)
+    how = extract.Extraction(encodings=(encoding, *others), drop_padding=False)
     return extract.bounded(extract.scan(rows, how), how).select("path", "text", "offset", "length")
 
 
@@ -202,6 +202,12 @@ def ext_5(spark, d):
     return rows.withColumn("confidence", extract.wide_confidence(F.col("p"), F.col("t"), F.col("n")))
 
 
+@query("ext_6_interleaved", WIDE_SQL)
+def ext_6(spark, d):
+    """With ASCII wanted too, a wide run isn't found a second time as plain text."""
+    return wide(spark, d, "utf-16le", "UTF-16LE", "ascii")
+
+
 @query("ext_7_length_bounds", runs_sql(least=6, most=64) + " SELECT length, count(*) AS n FROM runs GROUP BY length")
 def ext_7(spark, d):
     return runs(spark, d, config=merged(TEXT, {"extraction": {"min_length": 6, "max_length": 64}})).groupBy("length").agg(F.count("*").alias("n"))
@@ -363,6 +369,12 @@ def rnk_10(spark, d):
     return found(spark, d, "documents", "urls", "html", "conversations", "events").select("path", "offset", "score")
 
 
+@query("rnk_11_multipliers", f"{runs_sql('urls', 'conversations', entropy=True)}, tagged AS (SELECT *, {SQL_TAGS} AS tags FROM stats) SELECT path, \"offset\", CAST(least(100, greatest(0, CASE section_type WHEN 'StringData' THEN 20 ELSE 30 END + {SQL_ENCODING} + {SQL_CONTEXT} + 2 * ({SQL_ENTROPY} + {SQL_LENGTH} + {SQL_REPEAT} + {SQL_NOISE}))) AS INTEGER) AS score FROM tagged")
+def rnk_11(spark, d):
+    own = rank.Ranking(section_weights={"StringData": 20, "ReadOnlyData": 30}, noise_multiplier=2.0)
+    return found(spark, d, "urls", "conversations", config=merged(TEXT, {"ranking": own})).select("path", "offset", "score")
+
+
 @query("rnk_12_bands", found_sql("documents", "urls", "conversations", then="SELECT CASE " + " ".join(f"WHEN score >= {low} THEN '{n}'" for low, n in rank.BANDS) + " END AS band, count(*) AS n FROM {t} GROUP BY ALL"))
 def rnk_12(spark, d):
     return aggregate.by_band(found(spark, d, "documents", "urls", "conversations"))
@@ -379,6 +391,21 @@ def agg_1(spark, d):
     return groups.select("path", "canonical_text", "best_section", "primary_encoding", F.size("occurrences").cast("long").alias("n_occurrences"), F.get("occurrences", F.lit(0))["offset"].alias("first_offset"))
 
 
+@query("agg_2_canonical", runs_sql("documents", "html") + f' SELECT path, "offset", {SQL_CANON} AS canonical_text FROM runs')
+def agg_2(spark, d):
+    return runs(spark, d, "documents", "html").select("path", "offset", dedup.canonical(F.col("text")).alias("canonical_text"))
+
+
+@query("agg_3_best_section", runs_sql("urls", "html") + f" SELECT {SQL_CANON} AS canonical_text, arg_max(section, {SQL_WEIGHT} * 100000000000 - \"offset\") AS best_section FROM runs GROUP BY path, {SQL_CANON}")
+def agg_3(spark, d):
+    return dedup.deduplicate(runs(spark, d, "urls", "html")).select("canonical_text", "best_section")
+
+
+@query("agg_8_no_dedup", found_sql("urls", "conversations", then="SELECT path, text, count(*) AS n FROM {t} GROUP BY ALL"))
+def agg_8(spark, d):
+    return found(spark, d, "urls", "conversations").groupBy("path", "text").agg(F.count("*").alias("n"))
+
+
 @query("agg_4_count_by_tag", tagged_sql("documents", "urls", "html", then="SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM {t}) GROUP BY tag"))
 def agg_4(spark, d):
     return aggregate.count_by_tag(pipeline.tagged(runs(spark, d, "documents", "urls", "html")))
