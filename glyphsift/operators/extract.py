@@ -190,11 +190,12 @@ def wide_confidence(printable: Column, terminated: Column, n_chars: Column) -> C
     return F.when((printable > 0.90) & terminated, "high").when((printable > 0.70) & (n_chars >= 3), "medium").when(printable > 0.50, "low").otherwise("none")
 
 
-def symbol_strings(symbols: DataFrame, source: str) -> DataFrame:
-    """Imported or exported names as strings of no section."""
+def named_strings(names: DataFrame) -> DataFrame:
+    """Names and resource texts (path, format, source, name, address, offset) as strings of no section."""
     text = F.col("name")
     stats = F.pandas_udf(_stats, "printable double, entropy double, top_share double")(text)
-    return symbols.where(text != "").select("path", "format", F.lit(None).cast("string").alias("section"), F.lit("Other").alias("section_type"), F.lit(None).cast("decimal(20,0)").alias("base_rva"), F.lit(source).alias("source"), text.alias("text"), F.when(text.rlike(r"^[\x00-\x7F]*$"), "ascii").otherwise("utf-8").alias("encoding"), F.lit(None).cast("long").alias("offset"), F.octet_length(text).cast("long").alias("length"), stats.alias("s"), F.col("address").alias("rva")).select("*", "s.printable", "s.entropy", "s.top_share").drop("s")
+    kind = F.when(F.col("source") == "ResourceString", "Resources").otherwise("Other")
+    return names.where(text != "").select("path", "format", F.lit(None).cast("string").alias("section"), kind.alias("section_type"), F.lit(None).cast("decimal(20,0)").alias("base_rva"), "source", text.alias("text"), F.when(text.rlike(r"^[\x00-\x7F]*$"), "ascii").otherwise("utf-8").alias("encoding"), "offset", F.octet_length(text).cast("long").alias("length"), stats.alias("s"), F.col("address").alias("rva")).select("*", "s.printable", "s.entropy", "s.top_share").drop("s")
 
 
 def _stats(texts: pd.Series) -> pd.DataFrame:

@@ -16,22 +16,17 @@ from glyphsift.sources.config import Config
 def strings_of_files(files: DataFrame, config: Config = Config()) -> DataFrame:
     """Raw strings of executables: sections, symbols, resources and load commands.
 
-    The parsed rows are used by several branches; the content goes through the parser once for each.
+    The content never moves: one pass cuts and scans sections where the file is read, another reads names.
     """
-    parsed = binaries.parse(files, config.all_architectures)
     how = config.extraction
-    sections = extract.wanted_sections(binaries.section_bytes(files, parsed), how)
+    sections = extract.wanted_sections(binaries.section_bytes(files, config.all_architectures), how)
     found = extract.bounded(extract.scan(sections, how), how).withColumn("rva", F.col("base_rva") + (F.col("offset") - F.col("base_offset")).cast("decimal(20,0)")).drop("base_offset")
-    if how.include_symbols:
-        formats = binaries.containers(parsed).select("path", "format")
-        for table, source in ((binaries.imports(parsed), "ImportName"), (binaries.exports(parsed), "ExportName")):
-            name = demangle(F.col("name")) if config.output.demangle else F.col("name")
-            found = found.unionByName(extract.symbol_strings(table.join(formats, "path").withColumn("name", name), source))
-    if how.include_resources:
-        texts = binaries.resource_texts(parsed)
-        as_names = extract.symbol_strings(texts.withColumnRenamed("text", "name").withColumn("address", F.lit(None).cast("decimal(20,0)")), "ResourceString")
-        found = found.unionByName(as_names.withColumn("section_type", F.lit("Resources")))
-    return found
+    if not how.include_symbols and not how.include_resources:
+        return found
+    names = binaries.named_texts(binaries.parse(files, config.all_architectures), how.include_symbols, how.include_resources)
+    if config.output.demangle:
+        names = names.withColumn("name", demangle(F.col("name")))
+    return found.unionByName(extract.named_strings(names))
 
 
 def strings_of_texts(sections: DataFrame, config: Config = Config()) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from glyphsift import schemas
 from glyphsift.functions.sections import section_type
@@ -25,53 +28,71 @@ def distinct_files(files: DataFrame, seen: DataFrame | None = None) -> DataFrame
 
 
 def _schema():
-    from pyspark.sql.types import StructType
-
     return StructType.fromDDL(schemas.PARSED)
 
 
+def _reader(all_architectures: bool):
+    """A function of a file's bytes: its format, what is wrong with it, and its parsed architectures."""
+    parsers, error = list(formats.REGISTRY), formats.ParseError
+
+    def read(data: bytes):
+        failed = "Unsupported file format"
+        for parser in parsers:
+            try:
+                if not parser.detect(data):
+                    continue
+                many = len(parser.slices(data)) if all_architectures and hasattr(parser, "slices") else 1
+                return parser.name, None, [parser.parse(data, i) if i else parser.parse(data) for i in range(many)]
+            except error as e:
+                failed = str(e)
+        return "Unknown", failed, []
+
+    return read
+
+
 def parse(files: DataFrame, all_architectures: bool = False) -> DataFrame:
     """path, format, parse_error, arch_offset and the arrays sections, imports, exports, texts of each file.
 
     What isn't one of the formats is Unknown with an error, never a failed job. The parsers run where the
-    content is, once; only their rows leave.
+    content is; only their rows leave.
     """
     schema = _schema()
     arrow = to_arrow_schema(schema)
     kinds = {f.name: [x.name for x in f.dataType.elementType.fields] for f in schema.fields[4:]}
-    parsers = list(formats.REGISTRY)
-    error = formats.ParseError
-
-    def rows(path: str, data: bytes):
-        failed = "Unsupported file format"
-        for parser in parsers:
-            if not parser.detect(data):
-                continue
-            try:
-                many = len(parser.slices(data)) if all_architectures and hasattr(parser, "slices") else 1
-                got = [parser.parse(data, i) if i else parser.parse(data) for i in range(many)]
-            except error as e:
-                failed = str(e)
-                continue
-            for p in got:
-                yield {"path": path, "format": parser.name, "parse_error": None, "arch_offset": p.arch_offset, **{k: [dict(zip(names, x, strict=True)) for x in getattr(p, k)] for k, names in kinds.items()}}
-            return
-        yield {"path": path, "format": "Unknown", "parse_error": failed, "arch_offset": 0, "sections": [], "imports": [], "exports": [], "texts": []}
+    read = _reader(all_architectures)
 
     def each(batches):
-        from decimal import Decimal
-
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows(path, data or b""):
-                    for k, name in (("sections", "rva"), ("imports", "address"), ("exports", "address")):
+                name, failed, got = read(data or b"")
+                rows = [{"path": path, "format": name, "parse_error": failed, "arch_offset": p.arch_offset if p else 0, **{k: [dict(zip(names, x, strict=True)) for x in getattr(p, k)] if p else [] for k, names in kinds.items()}} for p in got or [None]]
+                for row in rows:
+                    for k, column in (("sections", "rva"), ("imports", "address"), ("exports", "address")):
                         for x in row[k]:
-                            x[name] = None if x[name] is None else Decimal(x[name])
-                    yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                            x[column] = None if x[column] is None else Decimal(x[column])
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return files.select("path", "content").mapInArrow(each, schema)
 
 
+def section_bytes(files: DataFrame, all_architectures: bool = False) -> DataFrame:
+    """The sections as scan input, each with its own bytes, cut where the file is read: no content is shuffled."""
+    read = _reader(all_architectures)
+    arrow = pa.schema([("path", pa.string()), ("format", pa.string()), ("section", pa.string()), ("segment", pa.string()), ("flags", pa.int64()), ("base_offset", pa.int64()), ("base_rva", pa.decimal128(20, 0)), ("content", pa.binary())])
+
+    def cut(batches):
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name, _, got = read(data or b"")
+                rows = [(path, name, s[1], s[2], s[3], s[4] + p.arch_offset, Decimal(s[7]), data[s[4] + p.arch_offset : s[4] + p.arch_offset + s[5]]) for p in got for s in p.sections if s[5] > 0]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    cuts = files.select("path", "content").mapInArrow(cut, "path string, format string, section string, segment string, flags long, base_offset long, base_rva decimal(20,0), content binary")
+    kind = section_type(F.col("format"), F.col("section"), F.col("segment"), F.col("flags"))
+    return cuts.select("path", "format", "section", kind.alias("section_type"), "base_offset", "base_rva", F.lit("SectionData").alias("source"), "content")
+
+
 def containers(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", "format", "parse_error")
 
@@ -91,14 +112,17 @@ def exports(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode("exports").alias("e")).select("path", "e.*")
 
 
-def resource_texts(parsed: DataFrame) -> DataFrame:
-    """Strings of resources and load commands, with offsets in the file."""
-    return parsed.select("path", "format", "arch_offset", F.explode("texts").alias("t")).select("path", "format", F.col("t.kind").alias("source"), "t.text", "t.encoding", (F.col("t.offset") + F.col("arch_offset")).alias("offset"))
+def _named(source: str):
+    return lambda x: F.struct(F.lit(source), x["name"], x["address"], F.lit(None))
 
 
-def section_bytes(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """The sections as scan input: each with its own bytes, cut within the file's bounds."""
-    of = sections(parsed).where("file_size > 0")
-    cut = files.select("path", "content").join(of, "path")
-    start = F.col("offset") + F.col("arch_offset")
-    return cut.select("path", "format", F.col("name").alias("section"), "section_type", start.alias("base_offset"), F.col("rva").alias("base_rva"), F.lit("SectionData").alias("source"), F.substring("content", (start + 1).cast("int"), F.col("file_size").cast("int")).alias("content"))
+def named_texts(parsed: DataFrame, symbols: bool = True, resources: bool = True) -> DataFrame:
+    """(path, format, source, name, address, offset) of imports, exports, resources and load commands, in one pass."""
+    kind = "array<struct<source:string,name:string,address:decimal(20,0),offset:bigint>>"
+    nothing = F.lit(None)
+    parts = []
+    if symbols:
+        parts += [F.transform(c, _named(s)).cast(kind) for c, s in (("imports", "ImportName"), ("exports", "ExportName"))]
+    if resources:
+        parts.append(F.transform("texts", lambda x: F.struct(x["kind"], x["text"], nothing, x["offset"] + F.col("arch_offset"))).cast(kind))
+    return parsed.select("path", "format", F.explode(F.concat(*parts)).alias("x")).select("path", "format", "x.*")
