@@ -17,6 +17,8 @@ from .repeats import blobs, packed, unpacked
 
 #: An entity is its batch and its place there: batch * PLACES + place.
 PLACES = 1 << 24
+#: A signature that so many sets have is one of a frequent shingle.
+LONG_LIST = 16
 #: Kinds of the columns of crossing entries: signature, entity, size, rest, root.
 CROSSING = ["<u8", "<i8", "<i4", "<i4", "<i8"]
 
@@ -155,9 +157,11 @@ class Join:
 
         return self.batches.mapInArrow(f, "e long, own boolean, k long, n long, d1 long, d2 long, frequent binary")
 
-    def frequent(self, sets: DataFrame):
-        """The most frequent shingles by what the batches saw, at most ``most_frequent``: they come last in the
-        order. Only speed depends on them: any order that all sets share finds every link."""
+    def frequent(self, sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent shingles by what the batches saw, at most ``most_frequent``, as (mixed hash, count).
+
+        They come last in the order. Only speed depends on it: any order that all sets share finds every link.
+        """
 
         def split(batches):
             for batch in batches:
@@ -168,8 +172,39 @@ class Join:
         seen = sets.where("frequent IS NOT NULL").select("frequent").mapInArrow(split, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 8")
         top = seen.orderBy(F.col("c").desc(), "h").limit(self.most_frequent).toArrow()
         values, count = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-        by = np.argsort(values)
-        return self.spark.sparkContext.broadcast((values[by], count[by]))
+        return ranks_of(mixed(values), count)
+
+    def ranks(self, sets: DataFrame, boundary: int):
+        """The order of shingles: (mixed hash, rank), for those that come last, the most frequent at the end.
+
+        What several sets of a batch share comes from ``frequent``. Under that order the prefixes' lists are
+        counted once, and shingles with long lists come last too: passages too rare to be seen in one batch.
+        """
+        n, most = self.n_buckets, self.most_frequent
+        values, count = self.frequent(sets)
+
+        def count_lists(batches):
+            for batch in batches:
+                for blob in batch.column(1).to_pylist():
+                    sig, many = np.unique(unpacked(blob, ["<u8", "<i4", "<i4", "<i4"])[0], return_counts=True)
+                    bucket = (sig % np.uint64(n)).astype(np.int32)
+                    by = np.argsort(bucket, kind="stable")
+                    cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
+                    out = [packed([sig[by[i:j]], many[by[i:j]].astype("<i4")]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[by[cut[:-1]]]), pa.array(out, pa.binary())], ["bucket", "blob"])
+
+        schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+
+        def long_lists(rows: pa.Table) -> pa.Table:
+            got = [unpacked(x, ["<u8", "<i4"]) for x in blobs(rows.column("blob"))]
+            sig, where = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            total = np.bincount(where, np.concatenate([g[1] for g in got]).astype(float), len(sig)).astype(np.int64)
+            return pa.table([sig[total >= LONG_LIST].view(np.int64), total[total >= LONG_LIST]], schema=schema)
+
+        first = self.spark.sparkContext.broadcast((values, count))
+        lists = self.entries(first, boundary).mapInArrow(count_lists, "bucket int, blob binary").groupBy("bucket").applyInArrow(long_lists, "h long, c long")
+        top = lists.orderBy(F.col("c").desc(), "h").limit(most).toArrow()
+        return self.spark.sparkContext.broadcast(ranks_of(np.concatenate([values, top.column("h").to_numpy().view(np.uint64)]), np.concatenate([count, top.column("c").to_numpy()])))
 
     def entries(self, frequent, boundary: int) -> DataFrame:
         """(b, blob of signature, place, size, rest): the signatures of each batch's entities."""
@@ -187,8 +222,9 @@ class Join:
                         seen.add(mark)
                         rank = np.zeros(len(s), np.int64)
                         if len(values):
-                            where = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                            rank = np.where(values[where] == s, count[where], 0)
+                            m = mixed(s)
+                            where = np.minimum(np.searchsorted(values, m), len(values) - 1)
+                            rank = np.where(values[where] == m, count[where], 0)
                         got, left = signatures(s, rank, percent, boundary)
                         sig.append(got)
                         rest.append(left)
@@ -426,6 +462,14 @@ class Join:
         return rows_of(crossing.groupBy("bucket").applyInArrow(pair, "blob binary"))
 
 
+def ranks_of(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, each with its largest count."""
+    out, where = np.unique(values, return_inverse=True)
+    most = np.zeros(len(out), np.int64)
+    np.maximum.at(most, where, count)
+    return out, most
+
+
 def hopeful(size: np.ndarray, rest: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
     """Whether entries may link to others of their signature of which the smallest has size ``low``."""
     size = size.astype(np.int64)
@@ -518,7 +562,7 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
     log = F.floor(F.log(F.col("n")) / F.lit(0.05))
     histogram = [(int(r["n"]), r["c"]) for r in reps.groupBy(log.alias("bin")).agg(F.avg("n").alias("n"), F.count("*").alias("c")).collect()]
     boundary = cheapest_boundary(histogram, join.percent, join.scan)
-    entries = saved(join.entries(join.frequent(sets), boundary))
+    entries = saved(join.entries(join.ranks(sets, boundary), boundary))
     # equal sets of different batches count as one entity from here on
     names = saved(sets.where("own AND n > 0").select("e", "d1", "d2").join(reps.select("d1", "d2", "rep").hint("merge"), ["d1", "d2"]).select("e", "rep"))
     canon = names.where("e <> rep")
