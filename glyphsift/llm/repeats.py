@@ -5,23 +5,26 @@ of its ``m``-unit parts, and consecutive windows with one minimiser are a run, p
 windows have equal minimisers, so they meet wherever runs are dealt by minimiser. The steps, each a
 shuffle of bounded groups:
 
-1. ``batches``: texts are dealt into batches of about ``batch_bytes`` by a hash of their key.
+1. ``batches``: texts are dealt into batches of about ``batch_bytes`` by a hash of their key and text.
 2. ``announce``: each batch sends its minimisers, each once with its count, to the minimiser's bucket.
 3. ``answer``: a bucket tells the batches which of their minimisers occur twice or more in the corpus, and
    which are frequent. A window with any other minimiser occurs once and needs no further work.
 4. ``pack``: a batch cuts the runs of repeated minimisers out as packed strings. Equal strings within the
-   batch are settled there. The rest go to the minimiser's bucket, but runs of frequent minimisers are cut
-   into single windows that go by their own content, so no key can fill a bucket.
+   batch are settled there. The rest go to the minimiser's bucket. Runs of frequent minimisers are cut into
+   single windows, which repeats within the batch leave at once; each different one goes by its 96-bit
+   digest to the digest's bucket, so a batch sends a window at most once, and a bucket gets it at most once
+   from a batch.
 5. ``settle``: a bucket finds every window's first occurrence, by the operator's own method, and returns the
-   windows that start later.
+   windows that start later. Of digests it takes the least place.
 6. ``remove``: each batch deletes the units covered by those windows.
 
-Nothing is collected, and every step can be computed again from the one before it.
+A window is earlier than another in a row with a larger key; rows of one key are in order of their batch, and
+in the batch of their text. Nothing is collected, and every step can be computed again from the one before it.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +94,75 @@ def weights(start: np.ndarray, windows: np.ndarray, values: np.ndarray, mins: np
     return out
 
 
+def stretches(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as (row, first place, windows) of those that follow each other."""
+    by = np.lexsort((place, row))
+    row, place = row[by], place[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    head = np.flatnonzero(new)
+    return row[head], place[head], np.diff(np.append(head, len(row)))
+
+
+class Singles:
+    """The single windows of one batch, added in order of occurrence.
+
+    The first of equal windows stands for all. Later ones start later; but where only a smaller key counts,
+    those of the first one's key share its fate, and only their places are kept with it.
+    """
+
+    def __init__(self, by_key: bool):
+        self.by_key, self.known, self.keys, self.which, self.places, self.late = by_key, {}, [], [], [], []
+
+    def add(self, window: bytes, key: int, row: int, place: int) -> None:
+        digest = hashlib.blake2b(window, digest_size=12).digest()
+        i = self.known.setdefault(digest, len(self.keys))
+        if i == len(self.keys):
+            self.keys.append(key)
+        elif not self.by_key or key != self.keys[i]:
+            self.late.append((row, place))
+            return
+        self.which.append(i)
+        self.places.append((row, place))
+
+    def later(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array(self.late, np.int64).reshape(-1, 2).T)
+
+    def dealt(self, n: int):
+        """(bucket, packed digests, keys and, by number of the digest, places), what ascends as differences."""
+        digests = np.frombuffer(b"".join(self.known), "<u4").reshape(-1, 3)
+        bucket = digests[:, 0].astype(np.int64) % n
+        which, places, keys = np.array(self.which, np.int64), np.array(self.places, "<i4").reshape(-1, 2), np.array(self.keys, "<i8")
+        by, at = np.argsort(bucket, kind="stable"), np.argsort(bucket[which], kind="stable")
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        for q in np.unique(bucket).tolist():
+            a, z = np.searchsorted(bucket[by], [q, q + 1])
+            own = at[slice(*np.searchsorted(bucket[which][at], [q, q + 1]))]
+            steps = [np.diff(x, prepend=x.dtype.type(0)) for x in (keys[by[a:z]], (number[which[own]] - a).astype("<i4"), places[own, 0])]
+            yield q, packed([digests[by[a:z]], *steps, places[own, 1]])
+
+
+def later_singles(parts: list, by_key: bool):
+    """(batch, packed stretches) of the single windows that start earlier elsewhere; see ``Singles.dealt``."""
+    if not parts:
+        return
+    batch = np.concatenate([np.full(len(x[1]), b, np.int64) for b, x in parts])
+    digests, keys = np.concatenate([x[0] for _, x in parts]), np.concatenate([x[1] for _, x in parts])
+    by = np.lexsort((batch, keys, *digests.T))
+    new = np.ones(len(by), bool)
+    new[1:] = (digests[by[1:]] != digests[by[:-1]]).any(1)
+    first = by[new][np.cumsum(new) - 1]
+    late = np.zeros(len(by), bool)
+    late[by] = keys[by] != keys[first] if by_key else by != first
+    at = 0
+    for b, (_, own, which, row, place) in parts:
+        gone = late[at : at + len(own)][which]
+        at += len(own)
+        if gone.any():
+            yield b, packed([x.astype("<i4") for x in stretches(row[gone], place[gone])])
+
+
 class Batch:
     """The rows of one batch in order of their key and text, as buffers."""
 
@@ -122,8 +194,8 @@ class Repeats:
     def batches(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         total = text_bytes(docs, text)
         self.n_batches = max(64, total // self.batch_bytes)
-        self.n_buckets = max(64, total // self.bucket_bytes)
-        return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.n_batches)).cast("int").alias("b"))
+        self.n_buckets = max(8, total // self.bucket_bytes)
+        return docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text)), F.lit(self.n_batches)).cast("int").alias("b"))
 
     def announce(self, batches: DataFrame) -> DataFrame:
         scheme, n = self.scheme, self.n_buckets
@@ -167,10 +239,10 @@ class Repeats:
 
     def pack(self, batches: DataFrame, answers: DataFrame) -> DataFrame:
         scheme, n, k, by_key = self.scheme, self.n_buckets, self.scheme.k, self.scheme.by_key
-        schema = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("strings", pa.binary()), ("later", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("strings", pa.binary()), ("singles", pa.binary()), ("later", pa.binary())])
 
         def f(rows: pa.Table, said: pa.Table) -> pa.Table:
-            empty = pa.table([[], [], [], []], schema=schema)
+            empty = schema.empty_table()
             if not len(rows) or not len(said):
                 return empty
             b = rows.column("b")[0].as_py()
@@ -187,34 +259,34 @@ class Repeats:
             bucket = (value % np.uint64(n)).astype(np.int64)
             # rows go by key and runs by their place, so the first of equal strings is the earliest
             seen: dict = {}
-            later, out = [], {}
+            later, out, single = [], {}, Singles(by_key)
             keys = batch.keys.tolist()
             cut = scheme.cutter(batch.raw, batch.units)
             for i, (s, w, many, r, p, q) in enumerate(zip(start.tolist(), windows.tolist(), often.tolist(), row.tolist(), local.tolist(), bucket.tolist(), strict=True)):
                 string = cut(s, s + w + k - 1)
                 if seen.setdefault(string, keys[r] if by_key else i) != (keys[r] if by_key else i):
                     later.append(i)
-                    continue
-                if not many:
-                    out.setdefault(q, []).append((string, r, p))
-                else:
+                elif many:
                     for j in range(w):
-                        single = cut(s + j, s + j + k)
-                        out.setdefault(zlib.crc32(single) % n, []).append((single, r, p + j))
+                        single.add(cut(s + j, s + j + k), keys[r], r, p + j)
+                else:
+                    out.setdefault(q, []).append((string, r, p))
             found = []
             for q, items in out.items():
                 strings, r, p = zip(*items, strict=True)
                 r = np.array(r, np.int32)
-                found.append((q, packed([np.array([len(s) for s in strings], "<i4"), np.frombuffer(b"".join(strings), "u1"), batch.keys[r], r, np.array(p, "<i4")]), None))
-            if later:
-                i = np.array(later)
-                found.append((b % n, None, packed([row[i].astype("<i4"), local[i].astype("<i4"), windows[i].astype("<i4")])))
+                found.append((q, packed([np.array([len(s) for s in strings], "<i4"), np.frombuffer(b"".join(strings), "u1"), batch.keys[r], r, np.array(p, "<i4")]), None, None))
+            found += [(q, None, blob, None) for q, blob in single.dealt(n)]
+            i = np.array(later, np.int64)
+            late = [np.concatenate([x.astype(np.int64), y]) for x, y in zip((row[i], local[i], windows[i]), stretches(*single.later()), strict=True)]
+            if len(late[0]):
+                found.append((b % n, None, None, packed([x.astype("<i4") for x in late])))
             if not found:
                 return empty
-            q, strings, late = zip(*found, strict=True)
-            return pa.table([pa.array(q, pa.int32()), pa.array([b] * len(q), pa.int32()), pa.array(strings, pa.binary()), pa.array(late, pa.binary())], schema=schema)
+            q, *columns = zip(*found, strict=True)
+            return pa.table([pa.array(q, pa.int32()), pa.array([b] * len(q), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
 
-        return batches.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(f, "bucket int, b int, strings binary, later binary")
+        return batches.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(f, "bucket int, b int, strings binary, singles binary, later binary")
 
     def settle(self, packs: DataFrame) -> DataFrame:
         """scheme.later(strings, keys) gets packed strings in order of their occurrence, and the keys of their
@@ -223,18 +295,21 @@ class Repeats:
         schema = pa.schema([("b", pa.int32()), ("blob", pa.binary())])
 
         def f(rows: pa.Table) -> pa.Table:
-            out_b, out, parts = [], [], []
-            for b, strings, late in zip(*(rows.column(c).to_pylist() for c in ("b", "strings", "later")), strict=True):
+            out_b, out, parts, singles = [], [], [], []
+            for b, strings, single, late in zip(*(rows.column(c).to_pylist() for c in ("b", "strings", "singles", "later")), strict=True):
                 if late is not None:
                     out_b.append(b)
                     out.append(late)
+                if single is not None:
+                    digests, *steps, place = unpacked(single, ["<u4", "<i8", "<i4", "<i4", "<i4"])
+                    singles.append((b, [digests.reshape(-1, 3), *(np.cumsum(x, dtype=x.dtype) for x in steps), place]))
                 if strings is not None:
                     parts.append((b, unpacked(strings, ["<i4", "u1", "<i8", "<i4", "<i4"])))
             if parts:
                 batch = np.concatenate([np.full(len(x[0]), b, np.int32) for b, x in parts])
                 length, data, keys, row, place = (np.concatenate([x[i] for _, x in parts]) for i in range(5))
                 end = np.cumsum(length, dtype=np.int64)
-                order = np.lexsort((place, row, keys))
+                order = np.lexsort((place, row, batch, keys))
                 raw, seen, kept, late = data.tobytes(), {}, [], []
                 same = keys if scheme.by_key else np.arange(len(keys))
                 for i, who, s, e in zip(order.tolist(), same[order].tolist(), (end - length)[order].tolist(), end[order].tolist(), strict=True):
@@ -254,6 +329,9 @@ class Repeats:
                 for a, z in zip(cut[:-1], cut[1:], strict=True):
                     out_b.append(int(batch[i[a]]))
                     out.append(packed([row[i[a:z]], place_at[a:z].astype("<i4"), many[a:z].astype("<i4")]))
+            for b, late in later_singles(singles, scheme.by_key):
+                out_b.append(b)
+                out.append(late)
             return pa.table([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], schema=schema)
 
         return packs.groupBy("bucket").applyInArrow(f, "b int, blob binary")

@@ -97,7 +97,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 13,
 
     Earlier means: in a document with a smaller key. A window that repeats only inside its own document stays.
     Returns key, n_units (words), n_removed, spans of removed words, kept (words left, joined by one space).
-    Windows are judged on the input. Null and empty texts, and those under ``k`` words, keep all. Rows with
-    one key are one after another by their text; a null key comes first. Other columns are not read.
+    Windows are judged on the input. Null and empty texts, and those under ``k`` words, keep all; very long
+    texts are read whole. Null keys are one key, the first; repeated rows are judged alike. An empty table gives
+    no rows. Other columns are not read, whatever their names.
     """
     return Repeats(Words(k), **how).run(docs, key, text).select(F.col("k").alias(key), "n_units", "n_removed", "spans", F.col("kept").cast("string").alias("kept"))

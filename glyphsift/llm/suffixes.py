@@ -190,7 +190,7 @@ class Bytes:
 
     by_key = False
 
-    def __init__(self, k: int = 100, shard_bytes: int = 3 << 20):
+    def __init__(self, k: int = 100, shard_bytes: int = 1 << 20):
         if k < 32:
             raise ValueError("windows are at least 32 bytes")
         self.k, self.shard_bytes = k, shard_bytes
@@ -259,7 +259,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 100
     Earlier means: in a document with a smaller key, or further left in the same one. Texts are UTF-8 bytes
     and matches never cross documents; strings are judged on the input. Returns key, n_units (bytes),
     n_removed, spans of removed bytes, kept (the bytes left). Null and empty texts, and those under ``k``
-    bytes, keep all. Rows with one key are one after another by their text; a null key comes first. Other
-    columns are not read.
+    bytes, keep all; very long texts are read whole. Rows with one key go by a hash of their key and text,
+    repeated rows one after another; a null key comes first. An empty table gives no rows. Other columns are
+    not read, whatever their names.
     """
     return Repeats(Bytes(k), **({"bucket_bytes": 2 << 20} | how)).run(docs, key, text).select(F.col("k").alias(key), "n_units", "n_removed", "spans", "kept")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from glyphsift.llm import substrings, suffixes
+from glyphsift.llm import repeats, substrings, suffixes
 from glyphsift.llm.common import GAP_PATTERN, sliding_min
 
 import re
@@ -56,11 +56,55 @@ def test_bytes(edges, how):
     assert sorted(got, key=plain) == sorted(brute_bytes(ordered(edges), 100), key=plain)
 
 
-def test_words(edges):
-    got = [(r["doc_id"], r["n_units"], r["n_removed"], r["kept"]) for r in substrings.dedup(edges, frequent=1, batch_bytes=2000, bucket_bytes=1000).collect()]
+@pytest.mark.parametrize("how", [{}, {"frequent": 1, "batch_bytes": 2000, "bucket_bytes": 1000}])
+def test_words(edges, how):
+    got = [(r["doc_id"], r["n_units"], r["n_removed"], r["kept"]) for r in substrings.dedup(edges, **how).collect()]
     assert sorted(got, key=plain) == sorted(brute_words(ordered(edges), 13), key=plain)
 
 
+PASSAGE = " ".join(f"hot{i}" for i in range(30))
+
+
+def hot_rows(n, keys):
+    """Texts with one passage in the middle of words of their own."""
+    rng = random.Random(5)
+    own = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    return [(keys(i), f"{own(35)} {PASSAGE} {own(35)}") for i in range(n)]
+
+
+def test_null_keys_meet_in_several_batches(spark):
+    """Rows without a key: for words they are one key; for bytes one of them is first, whichever it is."""
+    rows = hot_rows(300, lambda i: None) + hot_rows(40, lambda i: i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_units"], r["n_removed"], r["kept"]) for r in substrings.dedup(df, frequent=4, batch_bytes=3000).collect()]
+    assert sorted(got, key=plain) == sorted(brute_words(ordered(df), 13), key=plain)
+    removed = [r["n_removed"] for r in suffixes.dedup(df, frequent=4, batch_bytes=3000).collect()]
+    # the first is whole, the others lose the passage and the bytes beside it that an earlier row has too; 40 are copies
+    whole = [n for n in removed if n > 2 * len(PASSAGE)]
+    assert len(whole) == 40 and sorted(removed)[:2] == [0, len(PASSAGE) + 3]
+
+
+def test_a_hot_passage_is_not_multiplied(spark):
+    df = spark.createDataFrame(hot_rows(6000, int), "doc_id long, text string")
+    size = df.selectExpr("sum(octet_length(text))").first()[0]
+    for scheme in (suffixes.Bytes(), substrings.Words()):
+        steps = repeats.Repeats(scheme)
+        batches = steps.batches(df, "doc_id", "text")
+        packs = steps.pack(batches, steps.answer(steps.announce(batches))).selectExpr("sum(coalesce(length(strings), 0) + coalesce(length(singles), 0) + coalesce(length(later), 0)) AS sent", "max(length(singles)) AS most").first()
+        assert packs["sent"] < 2 * size and packs["most"] < size / 20
+
+
+def test_buckets_have_several_shards(spark, monkeypatch):
+    """With the query's own settings windows are looked up in earlier shards."""
+    texts = [r["text"].encode() for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(1500).collect()]
+    asked = []
+    found_in = suffixes.Shard.found_in
+    monkeypatch.setattr(suffixes.Shard, "found_in", lambda self, other: asked.append(found_in(self, other)) or asked[-1])
+    strings = [t for t in texts if len(t) >= 100]
+    suffixes.Bytes().later(strings, np.arange(len(strings)))
+    assert len(asked) > 1 and any(x.any() for x in asked)
+
+
 def test_both_on_documents(documents):
     got = [(r["doc_id"], r["n_units"], r["n_removed"], r["kept"]) for r in substrings.dedup(documents).collect()]
     assert sorted(got, key=plain) == sorted(brute_words(ordered(documents), 13), key=plain)
