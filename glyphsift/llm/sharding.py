@@ -46,7 +46,7 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
     Returns ``key``, size (UTF-8 bytes of the text plus 1), text_crc32, law = 'key', shard, slot and
     grown_shard, the shard if there were one more. Only the key and the number of shards decide the shard;
     rows with equal keys share one, and a null key counts as a key of its own. A null text counts as empty.
-    An empty table gives no rows. Other columns are not read.
+    Repeated rows have a slot each. An empty table gives no rows. Other columns are not read.
 
     Slots are numbered without gathering a shard in one task: rows are numbered within small buckets of
     each shard, and a prefix sum over the buckets' counts gives where each bucket begins.
@@ -55,9 +55,8 @@ def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = F.xxhash64(F.col(key))
     keyed = docs.select(F.col(key).alias("k"), hashed.alias("h"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    placed = keyed.withColumn("shard", jump_column(F.col("h"), shards)).withColumn("grown_shard", jump_column(F.col("h"), shards + 1)).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
-    thin = docs.select(hashed.alias("h")).withColumn("shard", jump_column(F.col("h"), shards)).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
-    counts = thin.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    placed = keyed.withColumn("shard", jump_column(F.col("h"), shards)).withColumn("grown_shard", jump_column(F.col("h"), shards + 1)).withColumn("bucket", F.pmod(F.xxhash64("h", "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     begins = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("base"))
     numbered = placed.withColumn("r", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("k", "size", "text_crc32")))
     out = numbered.join(begins, ["shard", "bucket"])
