@@ -144,9 +144,9 @@ def distinct_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text", most_rows: int = 8_000) -> Chain | None:
     """A chain over ``categories`` (name -> 0/1 expression on ``labels``, in order) from labelled texts.
 
-    ``most_rows`` bounds the labelled rows that the driver gathers, those whose key has the least hash. A row
-    with a null category is not used; of several labels for a key the largest holds, of several texts each.
-    None if no labelled text is found.
+    ``most_rows`` bounds the labelled keys that the driver gathers, those with the least hash, and twice as many
+    their texts, as a key may have several rows: those with the least keys. A row with a null category is not
+    used; of several labels for a key the largest holds, of several texts each. None if no labelled text is found.
     """
     names = list(categories)
     marks = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *[e.cast("int").alias(f"y{i}") for i, e in enumerate(categories.values())]).groupBy("k").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))]).dropna()
@@ -180,7 +180,7 @@ def score(docs: DataFrame, chain: Chain | None, names: list[str], key: str = "do
 
     The cut gives the best F1 on out-of-fold predictions. Null and empty texts have no words and are scored
     by the intercepts; without a chain probabilities are null and nothing is toxic. Repeated rows score
-    alike; an empty table gives no rows. Other columns are not read.
+    alike, and a score at the cut counts as toxic; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     if chain is None:

@@ -165,7 +165,8 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
 
     The trees learn from the urls that a rule labels. ``block_score`` is null where a rule decides. A null
     url, an empty one or one without ``://`` has an empty host and path, fits no rule and is judged like any
-    other. Repeated rows each keep their row; an empty table gives none. Other columns are not read.
+    other, very long ones as a whole. Repeated rows each keep their row and are judged alike; an empty table
+    gives none. Other columns are not read, whatever their names.
     """
     host, path = host_of(F.col("u")), path_of(F.col("u"))
     base = pages.select(F.col(key).alias("k"), F.col(url).alias("u")).select("k", "u", host.alias("host"), path.alias("path"))
@@ -174,8 +175,11 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     model, stats, otherwise = train(ruled, "u", "said", most_rows)
 
     @F.pandas_udf("double")
-    def scored(urls: pd.Series) -> pd.Series:
-        return pd.Series(model.score(features(urls, stats)) if model else np.full(len(urls), float(otherwise == "block")))
+    def scored(urls: pd.Series, ruled: pd.Series) -> pd.Series:
+        out = np.full(len(urls), np.nan)
+        asked = np.flatnonzero(ruled.isna())  # Spark calls this for all rows, whatever stands around it
+        out[asked] = model.score(features(urls.iloc[asked], stats)) if model else float(otherwise == "block")
+        return pd.Series(out)
 
-    score = F.when(F.col("rule").isNull(), scored(F.col("u")))
+    score = F.when(F.col("rule").isNull(), scored(F.col("u"), F.col("rule")))
     return ruled.withColumn("block_score", score).select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("said", F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.round("block_score", 6).alias("block_score"))
