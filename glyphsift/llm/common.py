@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -22,22 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a session without one (tests) gets a temporary folder of its own."""
+    """The cluster's shared folder. A local session without one, as in tests, gets a temporary folder of its own."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="glyphsift-"))
     return jsc.getCheckpointDir().get()
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing.
+    """``df`` computed once and kept in the shared folder, so that a lost executor loses nothing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    Spark drops the shuffle files of finished steps when the driver collects its garbage, so that is done here.
+def swept(df: DataFrame) -> DataFrame:
+    """Like ``saved``, for large steps: lets Spark drop the shuffle files of finished steps now.
+
+    It does so when the driver collects its garbage, which on a driver with little to do may be far too late.
     """
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    out = saved(df)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_buffers, mixed, saved, word_hashes, word_spans
+from .common import joined_buffers, mixed, saved, swept, word_hashes, word_spans
 from .components import components, joined
 from .repeats import blobs, packed, unpacked
 
@@ -19,8 +19,12 @@ from .repeats import blobs, packed, unpacked
 PLACES = 1 << 24
 #: A signature that so many sets have is one of a frequent shingle.
 LONG_LIST = 16
-#: Kinds of the columns of crossing entries: signature, entity, size, rest, root.
-CROSSING = ["<u8", "<i8", "<i4", "<i4", "<i8"]
+#: Kinds of the columns of entries: signature, place, size, rest; and of each different place its set's bitmap.
+ENTRIES = ["<u8", "<i4", "<i4", "<i4", "<i4", "<u8"]
+#: Kinds of the columns of crossing entries: signature, entity, size, rest, root; and of each entity its bitmap.
+CROSSING = ["<u8", "<i8", "<i4", "<i4", "<i8", "<i8", "<u8"]
+#: 64-bit numbers of a set's bitmap.
+LANES = 16
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -47,6 +51,37 @@ def offsets_of(length: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """A bit for each hash of a set, by its highest bits."""
+    bits = np.zeros(64 * LANES, bool)
+    bits[found >> np.uint64(64 - (64 * LANES).bit_length() + 1)] = True
+    return np.packbits(bits).view("<u8")
+
+
+class Bitmaps:
+    """The bitmaps and sizes of some entities; ``link`` tells which pairs may link by them.
+
+    A bit that only one set has stands for a shingle that only it has, so what two sets share is at most either
+    size less such bits. Pairs that link always pass.
+    """
+
+    def __init__(self, e: np.ndarray, size: np.ndarray, node: np.ndarray, bits: np.ndarray, percent: int):
+        self.node, first = np.unique(node, return_index=True)
+        self.bits, self.percent = bits.reshape(-1, LANES)[first], percent
+        self.ones = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+        self.size = np.zeros(len(self.node), np.int64)
+        self.size[np.searchsorted(self.node, e)] = size
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for i in range(0, len(a), 1 << 13):
+            x, y = np.searchsorted(self.node, a[i : i + (1 << 13)]), np.searchsorted(self.node, b[i : i + (1 << 13)])
+            both = np.bitwise_count(self.bits[x] & self.bits[y]).sum(1, dtype=np.int64)
+            most = both + np.minimum(self.size[x] - self.ones[x], self.size[y] - self.ones[y])
+            out[i : i + len(x)] = (100 + self.percent) * most >= self.percent * (self.size[x] + self.size[y])
+        return out
+
+
 def least_overlap(size: int, percent: int) -> int:
     """What a set of ``size`` shares at least with any set it links to."""
     return -(-percent * size // 100)
@@ -186,7 +221,7 @@ class Join:
         def count_lists(batches):
             for batch in batches:
                 for blob in batch.column(1).to_pylist():
-                    sig, many = np.unique(unpacked(blob, ["<u8", "<i4", "<i4", "<i4"])[0], return_counts=True)
+                    sig, many = np.unique(unpacked(blob, ENTRIES)[0], return_counts=True)
                     bucket = (sig % np.uint64(n)).astype(np.int32)
                     by = np.argsort(bucket, kind="stable")
                     cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
@@ -207,7 +242,7 @@ class Join:
         return self.spark.sparkContext.broadcast(ranks_of(np.concatenate([values, top.column("h").to_numpy().view(np.uint64)]), np.concatenate([count, top.column("c").to_numpy()])))
 
     def entries(self, frequent, boundary: int) -> DataFrame:
-        """(b, blob of signature, place, size, rest): the signatures of each batch's entities."""
+        """(b, blob): the signatures of each batch's entities; see ENTRIES."""
         width, percent = self.width, self.percent
 
         def f(rows):
@@ -215,7 +250,7 @@ class Join:
             for batch in rows:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     _, _, length, raw = unpacked(blob, ["<i8", "u1", "<i4", "u1"])
-                    sig, owner, size, rest, seen = [], [], [], [], set()
+                    sig, owner, size, rest, place, bits, seen = [], [], [], [], [], [], set()
                     for i, s in enumerate(shingle_sets(raw, offsets_of(length), width)):
                         if len(s) < 4 or (mark := s.tobytes()) in seen:
                             continue
@@ -230,8 +265,11 @@ class Join:
                         rest.append(left)
                         owner.append(np.full(len(sig[-1]), i, np.int32))
                         size.append(np.full(len(sig[-1]), len(s), np.int32))
+                        place.append(i)
+                        bits.append(bitmap(s))
                     if sig:
-                        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([packed([np.concatenate(x) for x in (sig, owner, size, rest)])], pa.binary())], ["b", "blob"])
+                        columns = [*(np.concatenate(x) for x in (sig, owner, size, rest)), np.array(place, "<i4"), np.concatenate(bits)]
+                        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([packed(columns)], pa.binary())], ["b", "blob"])
 
         return self.batches.mapInArrow(f, "b long, blob binary")
 
@@ -247,15 +285,18 @@ class Join:
         def each(batches):
             for batch in batches:
                 for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    sig, owner, size, rest = unpacked(blob, ["<u8", "<i4", "<i4", "<i4"])
-                    yield sig, owner.astype(np.int64) + b * PLACES, size, rest
+                    sig, owner, size, rest, place, bits = unpacked(blob, ENTRIES)
+                    e = owner.astype(np.int64) + b * PLACES
+                    yield sig, e, size, rest, place.astype(np.int64) + b * PLACES, bits
 
         def near(batches):
-            for columns in each(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([packed(star(*columns, percent)[1])], pa.binary())], ["blob"])
+            for sig, e, size, rest, node, bits in each(batches):
+                _, pairs = star(sig, e, size, rest, percent)
+                keep = Bitmaps(e, size, node, bits, percent).link(pairs[0], pairs[1])
+                yield pa.RecordBatch.from_arrays([pa.array([packed([x[keep] for x in pairs])], pa.binary())], ["blob"])
 
         def firsts(batches):
-            for sig, e, size, rest in each(batches):
+            for sig, e, size, rest, _, _ in each(batches):
                 head, _ = star(sig, e, size, rest, percent)
                 # for a batch's entries of one signature: the least size and the largest rest
                 _, where = np.unique(sig, return_inverse=True)
@@ -287,9 +328,9 @@ class Join:
             q, x = zip(*out, strict=True)
             return pa.table([pa.array(q, pa.int64()), pa.array(x, pa.binary())], schema=pa.schema([("b", pa.int64()), ("shared", pa.binary())]))
 
-        far = saved(entries.mapInArrow(firsts, "bucket int, blob binary").groupBy("bucket").applyInArrow(across, "b long, shared binary"))
+        far = swept(entries.mapInArrow(firsts, "bucket int, blob binary").groupBy("bucket").applyInArrow(across, "b long, shared binary"))
         pairs = entries.mapInArrow(near, "blob binary").unionByName(far.where("b IS NULL").select(F.col("shared").alias("blob")))
-        return saved(rows_of(pairs, counted=True)), far.where("b IS NOT NULL")
+        return swept(rows_of(pairs, counted=True)), far.where("b IS NOT NULL")
 
     def shared(self, entries: DataFrame, answers: DataFrame) -> DataFrame:
         """The entries whose signature another one has with which they may link."""
@@ -299,7 +340,7 @@ class Join:
         def narrow(rows: pa.Table, said: pa.Table) -> pa.Table:
             if not len(rows):
                 return schema.empty_table()
-            all_ = unpacked(rows.column("blob")[0].as_py(), ["<u8", "<i4", "<i4", "<i4"])
+            *all_, place, bits = unpacked(rows.column("blob")[0].as_py(), ENTRIES)
             sig, where, count = np.unique(all_[0], return_inverse=True, return_counts=True)
             low = np.full(len(sig), np.iinfo(np.int32).max, np.int32)
             np.minimum.at(low, where, all_[2])
@@ -310,7 +351,8 @@ class Join:
                 low[at] = np.minimum(low[at], least)
             low = low[where]
             keep = (low < np.iinfo(np.int32).max) & hopeful(all_[2], all_[3], low, percent)
-            return pa.table([rows.column("b"), pa.array([packed([x[keep] for x in all_])], pa.binary())], schema=schema)
+            left = np.isin(place, all_[1][keep])
+            return pa.table([rows.column("b"), pa.array([packed([*(x[keep] for x in all_), place[left], bits.reshape(-1, LANES)[left]])], pa.binary())], schema=schema)
 
         return entries.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(narrow, "b long, blob binary")
 
@@ -319,7 +361,7 @@ class Join:
         schema = pa.schema([("e", pa.int64()), ("t", pa.binary())])
 
         def cut(rows: pa.Table, said: pa.Table) -> pa.Table:
-            place = np.unique(np.concatenate([unpacked(x, ["<u8", "<i4", "<i4", "<i4"])[1] for x in blobs(said.column("blob"))])) if len(said) else []
+            place = np.unique(np.concatenate([unpacked(x, ENTRIES)[1] for x in blobs(said.column("blob"))])) if len(said) else []
             if not len(rows) or not len(place):
                 return schema.empty_table()
             _, _, length, raw = unpacked(rows.column("blob")[0].as_py(), ["<i8", "u1", "<i4", "u1"])
@@ -370,7 +412,7 @@ class Join:
 
         def of(rows: pa.Table, said: pa.Table):
             b = rows.column("b")[0].as_py()
-            sig, owner, size, rest = unpacked(rows.column("blob")[0].as_py(), ["<u8", "<i4", "<i4", "<i4"])
+            sig, owner, size, rest, place, bits = unpacked(rows.column("blob")[0].as_py(), ENTRIES)
             e = owner.astype(np.int64) + b * PLACES
             rep, root = e.copy(), e.copy()
             if len(said):
@@ -379,20 +421,25 @@ class Join:
                 node = node[by]
                 at = np.minimum(np.searchsorted(node, e), len(node) - 1)
                 rep, root = (np.where(node[at] == e, said.column(c).to_numpy()[by][at], e) for c in ("rep", "root"))
-            return b, sig, rep, size, rest, root
+            return (b, sig, rep, size, rest, root), bits.reshape(-1, LANES)[np.searchsorted(place, owner)]
 
         told = pa.schema([("bucket", pa.int32()), ("b", pa.int64()), ("blob", pa.binary())])
 
-        def spread(b, bucket, arrays) -> pa.Table:
+        def spread(b, bucket, arrays, bits=None) -> pa.Table:
             by = np.argsort(bucket, kind="stable")
-            cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
-            out = [packed([x[by[i:j]] for x in arrays]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            cut, out = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by)), []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                columns = [x[by[i:j]] for x in arrays]
+                if bits is not None:
+                    node, one = np.unique(columns[1], return_index=True)
+                    columns += [node, bits[by[i:j][one]]]
+                out.append(packed(columns))
             return pa.table([pa.array(bucket[by[cut[:-1]]].astype(np.int32)), pa.array([b] * len(out), pa.int64()), pa.array(out, pa.binary())], schema=told)
 
         def announce(rows: pa.Table, said: pa.Table) -> pa.Table:
             if not len(rows):
                 return told.empty_table()
-            b, sig, _, _, _, root = of(rows, said)
+            (b, sig, _, _, _, root), _ = of(rows, said)
             if not len(sig):
                 return told.empty_table()
             by = np.lexsort((root, sig))
@@ -421,10 +468,10 @@ class Join:
             mix = [unpacked(x, ["<u8"])[0] for x in blobs(said.column("mixed"))] if len(said) else []
             if not len(rows) or not mix:
                 return told.empty_table()
-            b, *of_each = of(rows, said.filter(pc.is_valid(said.column("e"))))
+            (b, *of_each), bits = of(rows, said.filter(pc.is_valid(said.column("e"))))
             keep = np.isin(of_each[0], np.concatenate(mix))
             of_each = [x[keep] for x in of_each]
-            return spread(b, (of_each[0] % np.uint64(n)).astype(np.int64), of_each)
+            return spread(b, (of_each[0] % np.uint64(n)).astype(np.int64), of_each, bits[keep])
 
         kind = "bucket int, b long, blob binary"
         announced = entries.groupBy("b").cogroup(named.groupBy("b")).applyInArrow(announce, kind)
@@ -438,10 +485,9 @@ class Join:
         percent, schema = self.percent, pa.schema([("sets", pa.int64()), ("pairs", pa.int64())])
 
         def count(rows: pa.Table) -> pa.Table:
-            got = [unpacked(x, CROSSING) for x in blobs(rows.column("blob"))]
-            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
-            sets = len(np.unique(columns[1]))
-            return pa.table([[sets], [len(unlike(*columns, percent, each * sets)[0])]], schema=schema)
+            columns, maps = crossing_of(rows, percent)
+            sets = len(maps.node)
+            return pa.table([[sets], [len(unlike(*columns, maps, percent, each * sets)[0])]], schema=schema)
 
         r = crossing.groupBy("bucket").applyInArrow(count, "sets long, pairs long").agg(F.sum("sets").alias("n"), F.sum("pairs").alias("pairs")).first()
         return (r["pairs"] or 0) > each // 2 * (r["n"] or 0)
@@ -454,9 +500,8 @@ class Join:
         percent = self.percent
 
         def pair(rows: pa.Table) -> pa.Table:
-            got = [unpacked(x, CROSSING) for x in blobs(rows.column("blob"))]
-            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
-            found = unlike(*columns, percent) if seed is None else some_unlike(*columns, percent, seed)
+            columns, maps = crossing_of(rows, percent)
+            found = unlike(*columns, maps, percent) if seed is None else some_unlike(*columns, maps, percent, seed)
             return pa.table([[packed(found)]], schema=pa.schema([("blob", pa.binary())]))
 
         return rows_of(crossing.groupBy("bucket").applyInArrow(pair, "blob binary"))
@@ -487,7 +532,14 @@ def star(sig: np.ndarray, e: np.ndarray, size: np.ndarray, rest: np.ndarray, per
     return head, [pairs[:, 0], pairs[:, 1], count.astype(np.int64)]
 
 
-def some_unlike(sig, e, size, rest, root, percent: int, seed: int, reach: int = 8):
+def crossing_of(rows: pa.Table, percent: int):
+    """The columns of a bucket's crossing entries, and the bitmaps of their entities."""
+    got = [unpacked(x, CROSSING) for x in blobs(rows.column("blob"))]
+    *columns, node, bits = (np.concatenate(x) for x in zip(*got, strict=True))
+    return columns, Bitmaps(columns[1], columns[2], node, bits, percent)
+
+
+def some_unlike(sig, e, size, rest, root, maps: Bitmaps, percent: int, seed: int, reach: int = 8):
     """[a, b] of half of the entries, by the seed, each with the first of up to ``reach`` that follow it and
     that ``unlike`` would pair with it."""
     by = np.lexsort((mixed(e.astype(np.uint64) ^ mixed(np.array([seed], np.uint64))), sig))
@@ -499,34 +551,34 @@ def some_unlike(sig, e, size, rest, root, percent: int, seed: int, reach: int =
         other = live + step
         low, high = np.minimum(size[live], size[other]), np.maximum(size[live], size[other])
         keep = (root[live] != root[other]) & (100 * low >= percent * high) & may_link(size[live], rest[live], size[other], rest[other], percent)
+        keep[keep] = maps.link(e[live[keep]], e[other[keep]])
         out.append(np.stack([np.minimum(e[live], e[other]), np.maximum(e[live], e[other])], 1)[keep])
         live = live[~keep]
     pairs = np.unique(np.concatenate(out), axis=0)
     return [pairs[:, 0], pairs[:, 1]]
 
 
-def unlike(sig, e, size, rest, root, percent: int, limit: int | None = None):
-    """[a, b] of all pairs of one signature in different components that sizes and rests allow.
+def unlike(sig, e, size, rest, root, maps: Bitmaps, percent: int, limit: int | None = None):
+    """[a, b] of all pairs of one signature in different components that sizes, rests and bitmaps allow.
 
     With a limit the search ends once it has more, for a count.
     """
     by = np.lexsort((e, size, sig))
     sig, e, size, rest, root = sig[by], e[by], size[by].astype(np.int64), rest[by], root[by]
     end = np.searchsorted(sig, sig, side="right")
-    out, step, live = [], 1, np.arange(len(sig))
-    while len(live):
+    pairs, out, step, live = np.zeros((0, 2), np.int64), [], 1, np.arange(len(sig))
+    while True:
         live = live[live + step < end[live]]
         live = live[100 * size[live] >= percent * size[live + step]]  # sizes ascend, so further ones are larger still
         other = live + step
         keep = (root[live] != root[other]) & may_link(size[live], rest[live], size[other], rest[other], percent)
         out.append(np.stack([np.minimum(e[live], e[other]), np.maximum(e[live], e[other])], 1)[keep])
         step += 1
-        if sum(map(len, out)) > (1 << 20 if limit is None else 4 * limit):
-            out = [np.unique(np.concatenate(out), axis=0)]
-            if limit is not None and len(out[0]) > limit:
-                break
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return [pairs[:, 0], pairs[:, 1]]
+        if not len(live) or sum(map(len, out)) > (1 << 20 if limit is None else 1 << 16):
+            new = np.unique(np.concatenate(out), axis=0)
+            pairs, out = np.unique(np.concatenate([pairs, new[maps.link(new[:, 0], new[:, 1])]]), axis=0), []
+            if not len(live) or limit is not None and len(pairs) > limit:
+                return [pairs[:, 0], pairs[:, 1]]
 
 
 def rows_of(pairs: DataFrame, counted: bool = False) -> DataFrame:
@@ -557,14 +609,14 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
     group of near copies from being spread into all its pairs.
     """
     join = Join(docs, key, **how)
-    sets = saved(join.sets())
+    sets = swept(join.sets())
     reps = sets.where("own AND n > 0").groupBy("d1", "d2").agg(F.min("e").alias("rep"), F.max("n").alias("n"))
     log = F.floor(F.log(F.col("n")) / F.lit(0.05))
     histogram = [(int(r["n"]), r["c"]) for r in reps.groupBy(log.alias("bin")).agg(F.avg("n").alias("n"), F.count("*").alias("c")).collect()]
     boundary = cheapest_boundary(histogram, join.percent, join.scan)
-    entries = saved(join.entries(join.ranks(sets, boundary), boundary))
+    entries = swept(join.entries(join.ranks(sets, boundary), boundary))
     # equal sets of different batches count as one entity from here on
-    names = saved(sets.where("own AND n > 0").select("e", "d1", "d2").join(reps.select("d1", "d2", "rep").hint("merge"), ["d1", "d2"]).select("e", "rep"))
+    names = swept(sets.where("own AND n > 0").select("e", "d1", "d2").join(reps.select("d1", "d2", "rep").hint("merge"), ["d1", "d2"]).select("e", "rep"))
     canon = names.where("e <> rep")
 
     stars, answers = join.stars(entries)
@@ -572,8 +624,8 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
     for side in ("a", "b"):
         pairs = pairs.join(canon.select(F.col("e").alias(side), F.col("rep").alias("r")).hint("merge"), side, "left").withColumn(side, F.coalesce("r", side)).drop("r")
     pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
-    entries = saved(join.shared(entries, answers))
-    texts = saved(join.texts(entries))
+    entries = swept(join.shared(entries, answers))
+    texts = swept(join.texts(entries))
     join.batches = answers = stars = None  # their files can go
 
     def two(pairs: DataFrame, first, second) -> DataFrame:
@@ -586,10 +638,10 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
         return saved(names.join(named, "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root")))
 
     # at first each set asks the one with which it shares most signatures, and the first of all
-    asked = saved(two(pairs.join(texts.select(F.col("e").alias("a")).hint("merge"), "a", "left_semi").join(texts.select(F.col("e").alias("b")).hint("merge"), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")))
-    roots = components(saved(join.verified(asked, texts)))
+    asked = swept(two(pairs.join(texts.select(F.col("e").alias("a")).hint("merge"), "a", "left_semi").join(texts.select(F.col("e").alias("b")).hint("merge"), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")))
+    roots = components(swept(join.verified(asked, texts)))
     place = placed(roots)
-    left = saved(join.crossing(entries, place.where("e <> root")))
+    left = swept(join.crossing(entries, place.where("e <> root")))
     # while groups are large, a round of chance partners joins more of them
     for seed in range(1, rounds + 1):
         if not join.many(left):
@@ -597,15 +649,15 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
         chance = F.xxhash64("a", "b", F.lit(seed))
         some = join.pairs(left, seed).join(asked.hint("merge"), ["a", "b"], "left_anti")
         some = saved(two(some, F.min_by("a", chance), F.max_by("a", chance)))
-        new = saved(join.verified(some, texts))
+        new = swept(join.verified(some, texts))
         asked, roots = saved(asked.unionByName(some)), joined(roots, new)
         place = placed(roots)
         fruitless = new.count() * 10 < some.count()
-        left = saved(join.crossing(entries, place.where("e <> root")))
+        left = swept(join.crossing(entries, place.where("e <> root")))
         if fruitless:
             break
     # and at last all pairs that still cross components
-    rest = saved(join.pairs(left).join(asked.hint("merge"), ["a", "b"], "left_anti"))
+    rest = swept(join.pairs(left).join(asked.hint("merge"), ["a", "b"], "left_anti"))
     place = placed(joined(roots, saved(join.verified(rest, texts)))).select("e", "root")
     rooted = sets.where("n > 0").select("k", "n", "e").join(place.hint("merge"), "e").select("k", "n", "root")
     least = rooted.groupBy("root").agg(F.min("k").alias("component_id"))
