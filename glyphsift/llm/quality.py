@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,23 +21,26 @@ def ordered_windows(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), ordered)
 
 
-def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Counts of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shout, stratum, text_mark.
+def metrics(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", carry: bool = False) -> DataFrame:
+    """Counts of each whole text: k, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shout.
 
-    A null text has no words and no lines. Windows are compared by a 64-bit hash of their three words.
+    A null text has no words and no lines. Windows are compared by a 64-bit hash of their three words. With
+    ``carry`` each row also has the document itself, as the struct ``row``.
     """
+    held = [F.struct(*docs.columns).alias("row")] if carry else []
+    kept = ["row"] if carry else []
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("text_mark"), F.col(stratum).alias("stratum"), body.alias("t"), words_of(F.col(text)).alias("w"))
+    a = docs.select(*held, F.col(key).alias("k"), F.col(stratum).alias("stratum"), body.alias("t"), words_of(F.col(text)).alias("w"))
     n = F.size("w")
     windows = F.transform(F.sequence(F.lit(0), n - F.lit(3)), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     b = a.select(
-        "k", "text_mark", "stratum", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        *kept, "k", "stratum", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("t", "[^A-Z!]+", "")).cast("long").alias("n_shout"),
         lines.alias("lines"), F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
-    c = b.select("k", "text_mark", "stratum", "n_words", "word_chars", "n_symbols", "n_shout", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), ordered_windows(F.col("h")).alias("s"))
+    c = b.select(*kept, "k", "stratum", "n_words", "word_chars", "n_symbols", "n_shout", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), ordered_windows(F.col("h")).alias("s"))
     like = lambda x, i: F.coalesce(F.get("s", i)["h"] == x["h"], F.lit(False))
     positions = F.sort_array(F.transform(F.filter("s", lambda x, i: like(x, i - 1) | like(x, i + 1)), lambda x: x["i"]))
     d = c.withColumn("p", positions).drop("s")
@@ -81,7 +83,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id
     good documents. A stratum without a certified cutoff has no row and rejects nothing.
     """
     marks = labels.select(F.col(key).alias("k"), F.col(label).alias("q")).where("q IS NOT NULL AND k IS NOT NULL").groupBy("k").agg(F.min("q").alias("q"))
-    judged = measured.where(~base_failed()).select("k", "stratum", rule_bin().alias("bin")).join(marks, "k")
+    judged = measured.where("NOT base_failed").select("k", "stratum", F.col("rule_bin").alias("bin")).join(marks, "k")
     counts = judged.groupBy("stratum", "bin").agg(F.count_if(F.col("q") > 0).alias("good"), F.count_if(F.col("q") <= 0).alias("bad"))
     # bins that hold no labelled document reject what the next higher one does
     whole = Window.partitionBy("stratum")
@@ -95,18 +97,42 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id
     return sure.groupBy("stratum").agg(F.max_by("bin", F.struct(worth.alias("v"), F.col("bin").alias("b"))).alias("cut"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", most_strata: int = 10_000, **how) -> DataFrame:
+def with_rules(measured: DataFrame) -> DataFrame:
+    return measured.withColumn("rule_bin", rule_bin()).withColumn("base_failed", base_failed())
+
+
+def cuts_of(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: str, most_strata: int = 10_000, **how) -> tuple[DataFrame, DataFrame]:
+    """(counts of each document, kept in the shared folder; the certified cutoffs).
+
+    The cutoffs are one row for each stratum that has one, broadcast if they are at most ``most_strata`` rows.
+    """
+    measured = saved(with_rules(metrics(docs, key, text, stratum)))
+    cuts = saved(certified_cutoffs(measured, labels, key, **how).select(F.col("stratum").alias("s"), "cut"))
+    return measured, F.broadcast(cuts) if cuts.count() <= most_strata else cuts
+
+
+def verdicts(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    out = measured.join(cuts, measured["stratum"].eqNullSafe(cuts["s"]), "left").withColumn("cut", F.coalesce("cut", F.lit(BINS + 1)).cast("int"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule_bin") < F.col("cut")))
+
+
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
     """Counts of each document, base_failed and kept.
 
     A document is kept if it passes the base rules and its rule bin is under its stratum's certified cutoff.
-    Rows of one key are told apart by text_mark, a hash of the text. Null and empty texts have no words and fail. A null stratum is one of its own. Repeated rows are judged
+    Null and empty texts have no words and fail. A null stratum is one of its own. Repeated rows are judged
     alike, each with its row; an empty table gives none; without labels only the base rules reject. Other
     columns are not read.
     """
-    measured = saved(metrics(docs, key, text, stratum))
-    cuts = certified_cutoffs(measured, labels, key, **how).limit(most_strata + 1).collect()
-    if len(cuts) > most_strata:
-        raise ValueError(f"more than {most_strata} strata")
-    cut = reduce(lambda rest, r: F.when(F.col("stratum").eqNullSafe(F.lit(r["stratum"])), F.lit(r["cut"])).otherwise(rest), cuts, F.lit(BINS + 1))
-    out = measured.withColumn("rule_bin", rule_bin()).withColumn("cut", cut.cast("int")).withColumn("base_failed", base_failed())
-    return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rule_bin") < F.col("cut"))).alias("kept"), "rule_bin", "cut", "text_mark")
+    out = verdicts(*cuts_of(docs, labels, key, text, stratum, **how))
+    return out.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bin", "cut")
+
+
+def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; each row by its own text.
+
+    Once the cutoffs are known, a row's counts are taken again beside it: so whole rows are neither shuffled nor
+    stored in between.
+    """
+    _, cuts = cuts_of(docs, labels, key, text, stratum, **how)
+    return verdicts(with_rules(metrics(docs, key, text, stratum, carry=True)), cuts).where("kept").select("row.*")
