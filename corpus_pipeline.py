@@ -15,16 +15,21 @@ from glyphsift.llm.common import fresh_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the certified cutoffs keep."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("k"), "text_mark").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["k"]) & (F.xxhash64(docs["text"]) == rejected["text_mark"]), "left_anti")
+    """Documents that the base rules and the certified cutoffs keep.
+
+    Null and empty texts are rejected; repeated rows are judged alike and all stay or go; an empty table stays
+    empty.
+    """
+    return quality.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id; of its rows with one text one."""
+    """Of each group of linked documents the one with the least doc_id; of its rows with one text one.
+
+    Null, empty and wordless texts are linked with nothing and stay. A null doc_id stays only where its group
+    has no other; an empty table stays empty.
+    """
     named = jaccard.classes(docs)
-    # a null doc_id stays only where its component has no other
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     stays = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("name")).distinct()
     held = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), F.col("text").alias("text"))
@@ -34,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found, with all their rows; null and empty texts stay."""
     return contamination.Decontaminator(docs, table(spark, sf_dir, "benchmark")).clean(docs)
 
 
@@ -47,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and slot."""
+    """Each row's shard and slot; a null text counts as empty, a null doc_id as a key of its own."""
     return sharding.assign(docs, shards=16)
 
 
