@@ -132,7 +132,9 @@ def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The rows of ``docs`` that ``judge`` keeps, with all their columns; each row by its own text.
 
     Once the cutoffs are known, a row's counts are taken again beside it: so whole rows are neither shuffled nor
-    stored in between.
+    stored in between. The counts stand behind a column that isn't deterministic, or else Spark would move the
+    filter below them and repeat their expressions in it many times over.
     """
     _, cuts = cuts_of(docs, labels, key, text, stratum, **how)
-    return verdicts(with_rules(metrics(docs, key, text, stratum, carry=True)), cuts).where("kept").select("row.*")
+    counted = metrics(docs, key, text, stratum, carry=True).withColumn("nth", F.monotonically_increasing_id())
+    return verdicts(with_rules(counted), cuts).where(F.col("kept") & (F.col("nth") >= 0)).select("row.*")

@@ -179,7 +179,10 @@ def test_quality_counts(spark, edges, documents, nothing):
     for df in (edges, documents):
         got = sorted((tuple(r)[:7] for r in quality.judge(df, labels).collect()), key=str)
         assert got == sorted(((k, *brute_quality(t)) for k, t in ordered(df)), key=str)
-    assert quality.judge(nothing, labels).count() == 0
+        kept = sorted((r["doc_id"] for r in quality.judge(df, labels).where("kept").collect()), key=str)
+        clean = quality.clean(df, labels)
+        assert clean.columns == df.columns and sorted((r["doc_id"] for r in clean.collect()), key=str) == kept
+    assert quality.judge(nothing, labels).count() == quality.clean(nothing, labels).count() == 0
 
 
 def test_binomial_tail(spark):
