@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphsift import container_queries
 from glyphsift.functions import classify, rank, sections
 from glyphsift.functions.demangle import demangle
 from glyphsift.operators import aggregate, dedup, extract, select
@@ -219,6 +220,13 @@ def ext_8(spark, d):
     return runs(spark, d, "documents", "events", config=how).groupBy("section").agg(F.count("*").alias("n"))
 
 
+@query("ext_9_encoding_filter", runs_sql("urls") + " SELECT path, 'ascii' AS encoding, count(*) AS n FROM runs GROUP BY path")
+def ext_9(spark, d):
+    """Of all encodings wanted by the scan only one is let through by its alias."""
+    how = merged(TEXT, {"extraction": {"encodings": ["a"]}})
+    return runs(spark, d, "urls", config=how).groupBy("path", "encoding").agg(F.count("*").alias("n"))
+
+
 @query("ext_10_section_filter", runs_sql("urls") + " SELECT section, count(*) AS n FROM runs GROUP BY section")
 def ext_10(spark, d):
     how = merged(TEXT, {"extraction": {"include_sections": ["pages.url"]}})
@@ -232,8 +240,17 @@ def ext_12(spark, d):
 
 # --- tags -------------------------------------------------------------------------------------------------
 
-#: Strings of the tags that the tables don't hold.
-SAMPLES = ("https://api.example.com/v1/users", "http://malware.com/payload?d=QUJDREVGR0hJSktMTU5PUFFSU1RVVg==", "api.example.com", "malware-c2.net", "192.168.1.1", "300.1.1.1", "2001:0db8:0000:0000:0000:0000:0000:0001", "2001:db8::1", "/usr/bin/malware", "C:\\Windows\\System32\\evil.dll", "HKEY_LOCAL_MACHINE\\SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Run", "{12345678-1234-1234-1234-123456789abc}", "admin@malware.com", "Error: %s at line %d", "User {0} logged in", "SGVsbG8gV29ybGQ=", "QUJDREVGR0hJSktMTU5PUFFSU1RVVg==", "Mozilla/5.0 (Windows NT 10.0; Win64; x64)", "v1.2.3", "api_key=0123456789abcdef0123456789abcdef", "1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "eyJhbGciOi.eyJzdWIiOi.c2ln", "plain words", "10.0.0.1 à ñ")
+#: Strings of the tags that the tables don't hold: each rule's plain case, its bounds and near misses.
+SAMPLES = (
+    "https://docs.garden.io/beds?row=7", "http://garden.io/?q=Um9zZXMgYW5kIHR1bGlwcyBpbiByb3dz", "ftp://garden.io/beds", "HTTP://GARDEN.IO", "https://",
+    "seeds.garden.org", "garden.invalidtld", "a.de", "x.y", "tool-shed.co.uk/path",
+    "8.8.4.4", "255.255.255.255", "256.1.1.1", "1.2.3", "010.001.000.009", "fe80:0:0:0:1:2:3:4", "fe80::4", "12:34",
+    "/var/lib/garden/beds.db", "/", "relative/path", "D:\\Garden\\beds.txt", "D:", "\\\\server\\share",
+    "HKEY_CURRENT_USER\\Software\\Garden", "HKCU\\Software", "HKEY_CLASSES_ROOT", "{0A1B2C3D-4E5F-6071-8293-A4B5C6D7E8F9}", "0a1b2c3d-4e5f-6071-8293-a4b5c6d7e8f9", "{0A1B2C3D-4E5F}",
+    "gardener@seeds.garden.org", "gardener@", "@garden.org", "%d beds of %s", "100% %", "row {2} of {bed}", "{}",
+    "Um9zZXMgYW5kIHR1bGlwcyBpbiByb3dz", "Um9zZXMgYW5kIHR1bGlwcyBpbiByb3d", "Um9zZXM=", "Opera/9.80 (X11; Linux i686)", "Mozilla/4.0 (compatible)", "4.15.0.2", "v10.4", "release 12",
+    "api_key=fedcba9876543210fedcba9876543210", "token: none", "nothing of the kind", "192.0.2.7 ö ß",
+)
 SAMPLES_SQL = "(SELECT text, section_type FROM (VALUES " + ", ".join(f"({q(s)})" for s in SAMPLES) + ") v(text), (VALUES ('StringData'), ('Resources')) w(section_type))"
 
 
@@ -258,6 +275,13 @@ for _n, _t in (("1", "url"), ("2", "domain"), ("3", "ipv4"), ("4", "ipv6"), ("5"
     _tag_query(_n, _t)
 
 
+@query("cls_6_windows_path", runs_sql("documents", "urls", "html", "conversations") + f", every AS (SELECT section, text FROM runs UNION ALL SELECT 'samples', text FROM {SAMPLES_SQL} s WHERE section_type = 'StringData') SELECT section, text, count(*) AS n FROM every WHERE regexp_matches(text, '[A-Za-z]:' || chr(92) || chr(92) || '[^' || chr(92) || 'x00\\n\\r]*') GROUP BY section, text")
+def cls_6(spark, d):
+    own = samples(spark).where("section_type = 'StringData'").select(F.lit("samples").alias("section"), "text")
+    rows = runs(spark, d, "documents", "urls", "html", "conversations").select("section", "text").unionByName(own)
+    return rows.where(F.col("text").rlike(P["windows_path"])).groupBy("section", "text").agg(F.count("*").alias("n"))
+
+
 @query("cls_13_version", f"SELECT text FROM {SAMPLES_SQL} s WHERE {SQL_TAG['version']}")
 def cls_13(spark, d):
     return samples(spark).where(classify.is_version(F.col("text"), F.col("section_type"))).select("text")
@@ -354,9 +378,9 @@ def rnk_7(spark, d):
     return runs(spark, d).groupBy("length", rank.length_penalty(F.col("length")).alias("penalty")).agg(F.count("*").alias("n"))
 
 
-@query("rnk_8_repetition", runs_sql(entropy=True) + f" SELECT path, \"offset\", {SQL_REPEAT} AS penalty FROM stats WHERE top_share > 0.3")
+@query("rnk_8_repetition", runs_sql(entropy=True) + f" SELECT path, \"offset\", {SQL_REPEAT} AS penalty FROM stats")
 def rnk_8(spark, d):
-    return runs(spark, d).where("top_share > 0.3").select("path", "offset", rank.repetition_penalty(F.col("top_share")).alias("penalty"))
+    return runs(spark, d).select("path", "offset", rank.repetition_penalty(F.col("top_share")).alias("penalty"))
 
 
 @query("rnk_9_noise", runs_sql("documents", "html") + f" SELECT {SQL_NOISE} AS penalty, count(*) AS n FROM runs GROUP BY ALL")
@@ -466,10 +490,11 @@ def joi_1(spark, d):
     return runs(spark, d, "documents", "urls").groupBy("section", rank.section_weight(F.col("section_type")).alias("weight")).agg(F.count("*").alias("n"))
 
 
-@query("joi_3_known_names", runs_sql("conversations") + " SELECT is_known, count(*) AS n FROM (SELECT text, text IN (SELECT text FROM benchmark) AS is_known FROM runs) GROUP BY is_known")
+@query("joi_3_known_names", runs_sql("urls") + " SELECT text, is_known, count(*) AS n FROM (SELECT text, text IN (SELECT url FROM pages WHERE url LIKE 'http:%') AS is_known FROM runs) GROUP BY text, is_known")
 def joi_3(spark, d):
-    names = table(spark, d, "benchmark").select(F.col("text").alias("name"))
-    return select.known_names(runs(spark, d, "conversations"), names).groupBy("is_known").agg(F.count("*").alias("n"))
+    """The urls without encryption are the known names."""
+    names = table(spark, d, "pages").where("url LIKE 'http:%'").select(F.col("url").alias("name"))
+    return select.known_names(runs(spark, d, "urls"), names).groupBy("text", "is_known").agg(F.count("*").alias("n"))
 
 
 @query("joi_4_diff", runs_sql() + f", a AS (SELECT DISTINCT * FROM ({HALVES.format(r=0)})), b AS (SELECT DISTINCT * FROM ({HALVES.format(r=1)})) SELECT text, 'removed' AS change FROM a WHERE text NOT IN (SELECT text FROM b) UNION ALL SELECT text, 'added' FROM b WHERE text NOT IN (SELECT text FROM a)")
@@ -490,9 +515,10 @@ def joi_7(spark, d):
     return select.referenced(strings, pointers, bin_bytes=64)
 
 
-@query("fil_12_mask", runs_sql() + " SELECT path, \"offset\" FROM runs WHERE text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)")
+@query("fil_12_mask", runs_sql("urls") + " SELECT path, \"offset\" FROM runs WHERE text NOT IN (SELECT url FROM pages WHERE url LIKE 'http:%')")
 def fil_12(spark, d):
-    return select.mask(runs(spark, d), table(spark, d, "benchmark")).select("path", "offset")
+    """The urls without encryption are the mask."""
+    return select.mask(runs(spark, d, "urls"), table(spark, d, "pages").where("url LIKE 'http:%'").select(F.col("url").alias("text"))).select("path", "offset")
 
 
 @query("set_1_union", runs_sql("documents", "conversations", "urls") + " SELECT section, count(*) AS n, count(DISTINCT text) AS n_texts FROM runs GROUP BY section")
@@ -544,9 +570,12 @@ def fil_6(spark, d):
     return select.min_score(found(spark, d, "documents", "urls"), 70).select("path", "offset", "score")
 
 
-@query("fil_7_no_debug", runs_sql("documents") + " SELECT count(*) AS n FROM runs WHERE section_type <> 'Debug'")
+@query("fil_7_no_debug", runs_sql("documents", "urls") + " SELECT section, count(*) AS n FROM runs WHERE section <> 'pages.url' GROUP BY section")
 def fil_7(spark, d):
-    return select.without_debug(runs(spark, d)).agg(F.count("*").alias("n"))
+    """Urls play a debug section here."""
+    rows = runs(spark, d, "documents", "urls")
+    rows = rows.withColumn("section_type", F.when(F.col("section") == "pages.url", "Debug").otherwise(F.col("section_type")))
+    return select.without_debug(rows).groupBy("section").agg(F.count("*").alias("n"))
 
 
 _SECURE = "', '".join(PROFILES["security"]["output"]["only"])
@@ -603,9 +632,10 @@ def srt_4(spark, d):
 # --- lines of text ----------------------------------------------------------------------------------------
 
 
-@query("snk_2_jsonl", found_sql("urls", then="SELECT '{{\"text\":\"' || text || '\",\"encoding\":\"ascii\",\"offset\":' || CAST(\"offset\" AS VARCHAR) || ',\"rva\":null,\"section\":\"' || section || '\",\"length\":' || CAST(length AS VARCHAR) || ',\"tags\":[' || array_to_string(list_transform(tags, lambda t: '\"' || t || '\"'), ',') || '],\"score\":' || CAST(score AS VARCHAR) || ',\"source\":\"SectionData\"}}' AS value FROM {t} WHERE NOT regexp_matches(text, '[\"\\\\\\x00-\\x1F]')"))
+@query("snk_2_jsonl", found_sql("urls", "html", "conversations", then="SELECT '{{\"text\":\"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(9), chr(92) || 't') || '\",\"encoding\":\"ascii\",\"offset\":' || CAST(\"offset\" AS VARCHAR) || ',\"rva\":null,\"section\":\"' || section || '\",\"length\":' || CAST(length AS VARCHAR) || ',\"tags\":[' || array_to_string(list_transform(tags, lambda t: '\"' || t || '\"'), ',') || '],\"score\":' || CAST(score AS VARCHAR) || ',\"source\":\"SectionData\"}}' AS value FROM {t}"))
 def snk_2(spark, d):
-    return sinks.json_lines(found(spark, d, "urls").where(~F.col("text").rlike(r'["\\\x00-\x1F]')))
+    """Of ASCII runs JSON escapes quotes, backslashes and tabs."""
+    return sinks.json_lines(found(spark, d, "urls", "html", "conversations"))
 
 
 @query("snk_3_human", found_sql("urls", then="SELECT lpad(CAST(score AS VARCHAR), 5, ' ') || '  ' || rpad('0x' || lower(printf('%x', \"offset\")), 10, ' ') || '  ' || rpad(section, 16, ' ') || '  ' || rpad('ascii', 8, ' ') || '  ' || rpad(array_to_string(tags, ','), CAST(greatest(20, length(array_to_string(tags, ','))) AS INTEGER), ' ') || '  ' || CASE WHEN length(text) > 80 THEN left(text, 77) || '...' ELSE text END AS value FROM {t}"))
@@ -635,9 +665,20 @@ def snk_6_xml(spark, d):
 
 # --- containers -------------------------------------------------------------------------------------------
 
-ELF_ROWS = ((".text", 4, "Code"), (".rodata", 0, "StringData"), (".comment", 0, "StringData"), (".data.rel.ro", 0, "ReadOnlyData"), (".data", 1, "WritableData"), (".debug_info", 0, "Debug"), (".unknown", 0, "Other"), (".dynstr", 0, "Debug"), (".note", 0, "StringData"))
-PE_ROWS = ((".text", 0x20, "Code"), (".rdata", 0, "StringData"), (".data", 0x80000000, "WritableData"), (".data", 0, "ReadOnlyData"), (".rsrc", 0, "Resources"), (".debug", 0, "Debug"), (".pdata", 0, "Debug"), (".unknown", 0, "Other"))
-MACHO_ROWS = (("__TEXT", "__cstring", "StringData"), ("__TEXT", "__const", "StringData"), ("__DATA_CONST", "__cfstring", "StringData"), ("__DATA_CONST", "__const", "ReadOnlyData"), ("__DATA", "__data", "WritableData"), ("__DATA_DIRTY", "__data", "Other"), ("__DWARF", "__debug_info", "Debug"), ("__TEXT", "__text", "Code"), ("__TEXT", "__stubs", "Code"), ("__UNKNOWN", "__unknown", "Other"))
+#: One row for each branch, its bounds, and names that only look like one of it.
+ELF_ROWS = (
+    (".init", 0x6, "Code"), (".rodata", 0x4, "Code"), (".rodata", 0x2, "StringData"), (".rodata.str1.8", 0x32, "StringData"), (".rodata.cst16", 0x12, "Other"), (".note.gnu.build-id", 0x2, "StringData"),
+    (".data.rel.ro.local", 0x3, "ReadOnlyData"), (".data.rel", 0x3, "Other"), (".bss", 0x3, "WritableData"), (".tbss", 0x403, "Other"),
+    (".debug_", 0, "Debug"), (".debug", 0, "Other"), (".symtab", 0, "Debug"), (".strtab", 0x20, "Debug"), ("", 0, "Other"),
+)
+PE_ROWS = (
+    ("CODE", 0x60000020, "Code"), (".rsrc", 0x20, "Code"), (".rodata", 0x40000040, "StringData"), (".rdata", 0xC0000040, "StringData"), (".data", 0x40000040, "ReadOnlyData"), (".data", 0xC0000040, "WritableData"),
+    (".bss", 0x40000080, "WritableData"), (".rsrc", 0x40000040, "Resources"), (".xdata", 0x40000040, "Debug"), (".debug$S", 0x42000040, "Debug"), (".dbg", 0x40000040, "Other"), (".RSRC", 0x40000040, "Other"),
+)
+MACHO_ROWS = (
+    ("__TEXT", "__stub_helper", "Code"), ("__TEXT", "__const", "StringData"), ("__TEXT", "__unwind_info", "Other"), ("__DATA", "__cstring", "WritableData"), ("__DATA", "__text", "WritableData"), ("__DATA_CONST", "__got", "ReadOnlyData"),
+    ("__DATA_CONST", "__cfstring", "StringData"), ("__DATA", "__cfstring", "WritableData"), ("__DWARF", "__apple_names", "Debug"), ("__OTHER", "__debug_line", "Debug"), ("__OTHER", "__text", "Other"), ("__LINKEDIT", "", "Other"),
+)
 
 
 def values_sql(rows, names: str) -> str:
@@ -670,6 +711,10 @@ def con_1(spark, d):
     return binaries.containers(binaries.parse(files)).select(F.col("path").cast("long").alias("doc_id"), "format")
 
 
+QUERIES |= container_queries.QUERIES
+ORACLE |= container_queries.ORACLE
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

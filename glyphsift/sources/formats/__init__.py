@@ -1,7 +1,7 @@
 """Parsers of executable formats: bytes in, plain rows out.
 
 A parser is an object with ``name``, ``detect(data) -> bool`` and ``parse(data) -> Parsed``; ``register`` adds
-one. Input may be hostile: every table is bounded by the buffer and by ``MOST_ROWS``, and what can't be read
+one. Input may be hostile: every table is bounded by the buffer, and what can't be read
 raises ParseError, which becomes data.
 """
 

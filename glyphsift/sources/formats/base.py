@@ -5,10 +5,6 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 
-#: No table of a file may have more entries.
-MOST_ROWS = 1_000_000
-
-
 class ParseError(Exception):
     """A file that can't be parsed."""
 

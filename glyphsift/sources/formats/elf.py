@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import MOST_ROWS, ParseError, Parsed, Reader
+from .base import ParseError, Parsed, Reader
 
 # Of the public format (fixed values).
 MAGIC = b"\x7fELF"
@@ -34,8 +34,8 @@ class Elf:
             first = r.get(table, kinds)
             count = count or first[5]  # large counts stand in the first header
             names = first[6] if names == 0xFFFF else names
-            if count > MOST_ROWS:
-                raise ParseError("too many sections")
+            if count * entry > len(data):
+                raise ParseError("section headers end outside the file")
             rows = [r.get(table + i * entry, kinds) for i in range(count)]
         strings = rows[names] if names < len(rows) else None
         for i, (name, kind, flags, address, offset, length, *_) in enumerate(rows):
@@ -55,15 +55,13 @@ class Elf:
         if link >= len(rows):
             raise ParseError("symbols without names")
         names, size = rows[link], 24 if wide else 16
-        if length // size > MOST_ROWS:
-            raise ParseError("too many symbols")
         for i in range(length // size):
             if wide:
                 name, info, _, section, value, _ = r.get(offset + i * size, "IBBHQQ")
             else:
                 name, value, _, info, _, section = r.get(offset + i * size, "IIIBBH")
             text = r.name(names[4] + name, names[4] + names[5])
-            if info >> 4 != GLOBAL or not text:
+            if info >> 4 != GLOBAL or text is None:
                 continue
             if section == UNDEFINED:
                 if info & 15 == FUNCTION:

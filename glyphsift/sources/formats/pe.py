@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import MOST_ROWS, ParseError, Parsed, Reader
+from .base import ParseError, Parsed, Reader
 
 # Of the public format (fixed values).
 CODE, WRITE = 0x20, 0x80000000
@@ -68,7 +68,9 @@ class Pe:
                 return
             name_at, entry = at_rva(library), at_rva(lookup or address)
             dll = r.name(name_at) if name_at is not None else None
-            while entry is not None and len(out.imports) < MOST_ROWS:
+            while entry is not None:
+                if len(out.imports) * size > len(r.data):
+                    raise ParseError("import tables overlap")
                 value = r.get(entry, kind)[0]
                 entry += size
                 if not value:
@@ -84,8 +86,6 @@ class Pe:
             return
         functions, names = r.get(at + 20, "II")
         table, pointers, ordinals = (at_rva(x) for x in r.get(at + 28, "III"))
-        if max(functions, names) > MOST_ROWS:
-            raise ParseError("too many exports")
         named: dict = {}
         for i in range(names if pointers is not None and ordinals is not None else 0):
             place = at_rva(r.get(pointers + 4 * i, "I")[0])

@@ -1,4 +1,4 @@
-"""Minimal executables, made byte by byte."""
+"""Minimal executables, made byte by byte, for queries and tests."""
 
 import struct
 

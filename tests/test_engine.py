@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from builders import elf64
+from glyphsift.sources.specimens import elf64
 from pyspark.sql import functions as F
 from test_formats import elf
 

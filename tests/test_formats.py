@@ -1,5 +1,5 @@
 import pytest
-from builders import elf64, fat, macho64, pe64
+from glyphsift.sources.specimens import elf64, fat, macho64, pe64
 
 from glyphsift.sources import binaries, formats
 from glyphsift.sources.formats import macho
