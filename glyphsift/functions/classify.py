@@ -29,8 +29,18 @@ CUSTOM = {
     "crypto_address": r"[13][a-km-zA-HJ-NP-Z1-9]{25,34}",
     "jwt_token": r"eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*",
 }
-#: Ours: a top-level domain counts if it has two letters or is one of these.
-GENERIC_TLDS = ("com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "cloud", "online", "site", "xyz", "top", "onion", "local")
+#: Ours: a top-level domain counts if it has two letters or is one of these. ``valid_tld`` takes other lists.
+GENERIC_TLDS = tuple(
+    "com net org edu gov mil int info biz name pro mobi jobs travel museum aero coop asia cat tel post arpa "
+    "app dev page tech cloud online site website web space store shop shopping blog news media live life world today "
+    "xyz top club fun icu vip work works agency academy art bank best bike build business cafe capital care center chat "
+    "church city click coach codes college community company computer cool country credit design digital direct directory "
+    "email energy engineering events exchange expert express family farm finance fit football foundation fund gallery games "
+    "global gold group guide health help host hosting house institute international investments land law legal link loan "
+    "local ltd management market marketing money monster network ninja onion parts photo photos plus press productions "
+    "rest review reviews rocks run sale school science security services social software solutions studio support systems "
+    "team tools tours town trade training university video watch wiki win wine zone".split()
+)
 #: The order in which tags are pushed.
 ORDER = ("url", "domain", "ipv4", "ipv6", "filepath", "regpath", "guid", "email", "fmt", "b64", "user-agent-ish")
 
@@ -39,13 +49,17 @@ def _has(text: Column, name: str) -> Column:
     return text.rlike(PATTERNS[name])
 
 
-def valid_tld(text: Column) -> Column:
+# Each predicate asks first for a character that its pattern needs: most strings have none of them, and looking
+# for one costs a small part of a pattern's time.
+
+
+def valid_tld(text: Column, generic: tuple[str, ...] = GENERIC_TLDS) -> Column:
     tld = F.lower(F.regexp_extract(text, r"[a-zA-Z0-9.-]+\.([a-zA-Z]{2,})", 1))
-    return (F.length(tld) == 2) | tld.isin(*GENERIC_TLDS)
+    return (F.length(tld) == 2) | tld.isin(*generic)
 
 
 def is_url(text: Column) -> Column:
-    return _has(text, "url")
+    return text.contains("://") & _has(text, "url")
 
 
 def is_domain(text: Column) -> Column:
@@ -56,7 +70,7 @@ def is_domain(text: Column) -> Column:
 def is_ipv4(text: Column) -> Column:
     """The first dotted quad has no part over 255."""
     first = F.regexp_extract(text, PATTERNS["ipv4"], 0)
-    return (first != "") & F.forall(F.split(first, r"\."), lambda x: x.try_cast("int") <= 255)
+    return text.contains(".") & (first != "") & F.forall(F.split(first, r"\."), lambda x: x.try_cast("int") <= 255)
 
 
 def is_ipv6(text: Column) -> Column:
@@ -64,7 +78,8 @@ def is_ipv6(text: Column) -> Column:
 
 
 def is_filepath(text: Column) -> Column:
-    return _has(text, "posix_path") | _has(text, "windows_path")
+    """What follows a slash may be nothing, so the slash alone decides."""
+    return text.contains("/") | (text.contains(":\\") & _has(text, "windows_path"))
 
 
 def is_regpath(text: Column) -> Column:
@@ -80,25 +95,25 @@ def is_email(text: Column) -> Column:
 
 
 def is_fmt(text: Column) -> Column:
-    return _has(text, "fmt")
+    return (text.contains("%") | text.contains("{")) & _has(text, "fmt")
 
 
 def is_b64(text: Column) -> Column:
     """The first run of the alphabet has a whole number of groups of four; or a URL's query holds one."""
     first = F.regexp_extract(text, PATTERNS["b64"], 0)
-    return (first != "") & (F.length(first) % 4 == 0)
+    return (F.octet_length(text) >= 20) & (first != "") & (F.length(first) % 4 == 0)
 
 
 def is_b64_query(text: Column) -> Column:
-    return is_url(text) & F.regexp_extract(text, r"\?(.*)$", 1).rlike(PATTERNS["b64"])
+    return text.contains("?") & is_url(text) & F.regexp_extract(text, r"\?(.*)$", 1).rlike(PATTERNS["b64"])
 
 
 def is_user_agent(text: Column) -> Column:
-    return _has(text, "user-agent-ish")
+    return text.contains("/") & _has(text, "user-agent-ish")
 
 
 def is_version(text: Column, section_type: Column) -> Column:
-    return (section_type == "Resources") & _has(text, "version")
+    return (section_type == "Resources") & text.contains(".") & _has(text, "version")
 
 
 PREDICATES = {"url": is_url, "domain": is_domain, "ipv4": is_ipv4, "ipv6": is_ipv6, "filepath": is_filepath, "regpath": is_regpath, "guid": is_guid, "email": is_email, "fmt": is_fmt, "b64": lambda t: is_b64(t) | is_b64_query(t), "user-agent-ish": is_user_agent}

@@ -32,19 +32,26 @@ def test_section_tables(spark):
 @pytest.mark.parametrize(
     ("text", "tags"),
     [
-        ("https://api.example.com/v1/users", ["url", "filepath"]),
-        ("api.example.com", ["domain"]),
-        ("192.168.1.1", ["ipv4"]),
-        ("300.1.1.1", []),
-        ("10.0.0.1é", []),  # a letter beyond ASCII is part of a word
-        ("2001:db8::1", []),
-        ("2001:0db8:0000:0000:0000:0000:0000:0001", ["ipv6"]),
-        ("/usr/bin/malware", ["filepath"]),
-        ("C:\\Windows\\System32\\evil.dll", ["filepath"]),
-        ("{12345678-1234-1234-1234-123456789abc}", ["guid"]),
-        ("Error: %s at line %d", ["fmt"]),
-        ("User {0} logged in", ["fmt"]),
-        ("SGVsbG8gV29ybGQ=", []),
+        ("http://garden.io/beds", ["url", "filepath"]),
+        ("https:/garden.io", ["domain", "filepath"]),  # one slash is no scheme
+        ("beds.garden.tech", ["domain"]),
+        ("beds.garden.invalidtld", []),
+        ("garden.io", ["domain"]),
+        ("9.255.0.31", ["ipv4"]),
+        ("9.256.0.31", []),
+        ("8.8.4.4é", []),  # a letter beyond ASCII is part of a word
+        ("fe80::4", []),
+        ("fe80:0:0:0:1:2:3:4", ["ipv6"]),
+        ("/", ["filepath"]),
+        ("D:\\Garden", ["filepath"]),
+        ("D:Garden", []),
+        ("HKEY_USERS\\Garden", ["regpath"]),
+        ("{0A1B2C3D-4E5F-6071-8293-A4B5C6D7E8F9}", ["guid"]),
+        ("%4d beds", ["fmt"]),
+        ("beds {12}", ["fmt"]),
+        ("100% {}", []),
+        ("Um9zZXMgYW5kIHR1bGlwcyBpbiByb3dz", ["b64"]),
+        ("Um9zZXM=", []),
         ("", []),
     ],
 )
@@ -138,8 +145,9 @@ def test_config(tmp_path):
 
 
 def test_demangle():
-    assert demangle.demangled("_ZN4core3fmt5Write9write_str17h0123456789abcdefE") == "core::fmt::Write::write_str"
-    assert demangle.demangled("main") == "main" and demangle.demangled(None) is None and demangle.demangled("_ZN9short") == "_ZN9short"
+    for name, plain in queries.MANGLED:
+        assert demangle.demangled(name) == plain
+    assert demangle.demangled(None) is None
 
 
 def test_files_stream_and_command_line(spark, tmp_path, capsys):
