@@ -5,6 +5,7 @@ The expected rows are written out from how the files are put together, not from
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,14 @@ MACHO = macho64(
     [("_open_door", 0, 0), ("_run", 1, 0x1000), ("_", 1, 0x2000), ("", 1, 0x3000), ("_at_zero", 2, 0)],
     ["/usr/lib/libDoor.dylib"],
 )
-FILES = (("elf", ELF), ("pe", PE), ("macho", MACHO), ("fat", fat(MACHO, MACHO)), ("cut", ELF[:-64]), ("head", b"\x7fELF"), ("text", b"plain text"), ("none", b""))
+#: Names stand in .dynstr in the order of the symbols, after a NUL: libdoor.so at 1, /opt/doors at 12, hidden at 23.
+NOTE = struct.pack("<III", 4, 4, 3) + b"GNU\0" + b"\xde\xad\xbe\xef" + struct.pack("<III", 5, 2, 9) + b"Door\0\0\0\0" + b"xy\0\0"
+EXTRA = elf64(
+    [(".note.id", 2, NOTE, 7), (".dynamic", 3, struct.pack("<qQqQqQqQqQ", 1, 1, 5, 0, 29, 12, 0, 0, 1, 12), 6), (".symtab", 0, struct.pack("<IBBHQQ", 23, 18, 0, 1, 0x5000, 0), 2)],
+    [("libdoor.so", 0, 0, 0, 0), ("/opt/doors", 0, 0, 0, 0), ("hidden", 0, 0, 0, 0)],
+)
+TWO_CPUS = fat(MACHO, macho64([("__TEXT", "__cstring", b"other\0")], [], []), cpus=(0x0100000C, 0x01000007))
+FILES = (("extra", EXTRA), ("two", TWO_CPUS), ("elf", ELF), ("pe", PE), ("macho", MACHO), ("fat", fat(MACHO, MACHO)), ("cut", ELF[:-64]), ("head", b"\x7fELF"), ("text", b"plain text"), ("none", b""))
 
 
 def files(spark: SparkSession, *names: str) -> DataFrame:
@@ -63,7 +71,7 @@ def section_rows(spark: SparkSession, *names: str) -> DataFrame:
 SECTION = "path, idx, name, section_type, place, size, file_size, rva, is_executable, is_writable"
 
 
-@query("con_1_detect", "path, format", ("elf", "Elf"), ("pe", "Pe"), ("macho", "MachO"), ("fat", "MachO"), ("cut", "Unknown"), ("head", "Unknown"), ("text", "Unknown"), ("none", "Unknown"))
+@query("con_1_detect", "path, format", ("extra", "Elf"), ("two", "MachO"), ("elf", "Elf"), ("pe", "Pe"), ("macho", "MachO"), ("fat", "MachO"), ("cut", "Unknown"), ("head", "Unknown"), ("text", "Unknown"), ("none", "Unknown"))
 def con_1(spark, d):
     return binaries.containers(binaries.parse(files(spark))).select("path", "format")
 
@@ -150,9 +158,35 @@ def con_18(spark, d):
     return every.groupBy(F.col("arch_offset").cast("long").alias("arch_offset")).agg(F.count("*").alias("n_sections"))
 
 
+@query("con_18_fat_named", "path, section", ("two", "__TEXT,__cstring"), *(("macho", r[2]) for r in _macho_sections("macho")))
+def con_18_named(spark, d):
+    """One architecture by name: a fat file without it has no sections, a thin file is read whatever it is."""
+    chosen = binaries.sections(binaries.parse(files(spark, "two", "fat", "macho"), switches={"macho": {"fat": "x86_64"}}))
+    return chosen.select("path", F.col("name").alias("section"))
+
+
+@query("con_21_elf_notes", "source, text", ("DebugInfo", "GNU"), ("DebugInfo", "deadbeef"), ("DebugInfo", "Door"), ("LoadCommand", "libdoor.so"), ("LoadCommand", "/opt/doors"))
+def con_21(spark, d):
+    """Notes and dynamic strings, up to the dynamic section's end mark."""
+    parsed = binaries.parse(files(spark, "extra"), switches={"elf": {"notes": True, "build_id": True, "dynamic": True}})
+    return binaries.named_texts(parsed, symbols=False).select("source", F.col("name").alias("text"))
+
+
+@query("con_23_elf_symtab", "name, address", ("hidden", 0x5000))
+def con_23(spark, d):
+    return binaries.exports(binaries.parse(files(spark, "extra"), switches={"elf": {"symtab": True}})).select("name", F.col("address").cast("long").alias("address"))
+
+
+@query("cfg_4_format_switches", "path, n_texts", ("macho", 0), ("extra", 0))
+def cfg_4(spark, d):
+    """Without load commands Mach-O files give no texts; ELF files give theirs only on request."""
+    parsed = binaries.parse(files(spark, "macho", "extra"), switches={"macho": {"load_commands": False}})
+    return parsed.select("path", F.size("texts").cast("long").alias("n_texts"))
+
+
 @query("con_20_load_commands", "path, text", ("macho", "/usr/lib/libDoor.dylib"), ("fat", "/usr/lib/libDoor.dylib"))
 def con_20(spark, d):
-    rows = binaries.named_texts(binaries.parse(files(spark)), symbols=False)
+    rows = binaries.named_texts(binaries.parse(files(spark, "macho", "fat", "elf", "pe", "extra")), symbols=False)
     return rows.where("source = 'LoadCommand'").select("path", F.col("name").alias("text"))
 
 
@@ -170,5 +204,5 @@ def ext_11(spark, d):
     ("pe", ".rdata", "read only text|"), ("macho", "__TEXT,__cstring", "apple text|"), ("fat", "__TEXT,__cstring", "apple text|"),
 )
 def src_4(spark, d):
-    cut = binaries.section_bytes(files(spark)).where("section_type = 'StringData'")
+    cut = binaries.section_bytes(files(spark, "elf", "pe", "macho", "fat", "cut", "text", "none")).where("section_type = 'StringData'")
     return cut.select("path", "section", F.translate(F.col("content").cast("string"), "\x00", "|").alias("body"))

@@ -21,8 +21,10 @@ class Ranking:
     """Multipliers and overrides of the weights."""
 
     section_weights: dict = field(default_factory=lambda: dict(SECTION_WEIGHTS))
-    boosts: dict = field(default_factory=lambda: dict(BOOSTS))
-    noise_multiplier: float = 1.0
+    semantic_boosts: dict = field(default_factory=lambda: dict(BOOSTS))
+    section_weight_multiplier: float = 1.0
+    semantic_boost_multiplier: float = 1.0
+    noise_penalty_multiplier: float = 1.0
 
     def __hash__(self):
         return id(self)
@@ -83,11 +85,11 @@ def noise_penalty(text: Column) -> Column:
 
 def score(text: Column, encoding: Column, section: Column, section_type: Column, format: Column, source: Column, tags: Column, length: Column, printable: Column, entropy: Column, top_share: Column, ranking: Ranking | None = None) -> Column:
     ranking = ranking or Ranking()
-    gain = section_weight(section_type, ranking.section_weights) + format_bonus(format, section) + encoding_confidence(encoding, printable)
-    boost = context_boost(semantic_boost(tags, ranking.boosts), section_type, source.isin("ImportName", "ExportName"))
+    times = lambda c, by: c if by == 1 else F.floor(c * F.lit(by)).cast("int")
+    gain = times(section_weight(section_type, ranking.section_weights), ranking.section_weight_multiplier) + format_bonus(format, section) + encoding_confidence(encoding, printable)
+    boost = times(context_boost(semantic_boost(tags, ranking.semantic_boosts), section_type, source.isin("ImportName", "ExportName")), ranking.semantic_boost_multiplier)
     loss = entropy_penalty(entropy) + length_penalty(length) + repetition_penalty(top_share) + noise_penalty(text)
-    loss = loss if ranking.noise_multiplier == 1 else F.floor(loss * F.lit(ranking.noise_multiplier)).cast("int")
-    return F.least(F.lit(100), F.greatest(F.lit(0), gain + boost + loss)).cast("int")
+    return F.least(F.lit(100), F.greatest(F.lit(0), gain + boost + times(loss, ranking.noise_penalty_multiplier))).cast("int")
 
 
 def band(score_: Column) -> Column:

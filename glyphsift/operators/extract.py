@@ -7,7 +7,9 @@ for the score while the bytes are at hand. It needs no shuffle, unlike summing p
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -131,14 +133,17 @@ def scan(sections: DataFrame, how: Extraction = Extraction()) -> DataFrame:
             for i, content in enumerate(batch.column(place).to_pylist()):
                 if not content:
                     continue
-                wide = []
+                wide, begins, reach = [], None, []
                 for name, pattern in sorted(kinds, key=lambda k: not k[0].startswith("utf-16")):
                     is_wide = name.startswith("utf-16")
+                    if not is_wide and begins is None:
+                        wide.sort()
+                        begins, reach = [a for a, _ in wide], list(accumulate((z for _, z in wide), max))
                     for a, z in spans(content, pattern, is_wide):
                         if is_wide:
                             wide.append((a, z))
-                        elif interleaved and any(x < z and a < y for x, y in wide):
-                            continue
+                        elif interleaved and (n := bisect_left(begins, z)) and reach[n - 1] > a:
+                            continue  # of the wide runs that begin before z one reaches beyond a
                         text = content[a:z].decode(codecs[name])
                         if len(text) > most or (padding and text.count(text[0]) == len(text)):
                             continue

@@ -40,6 +40,27 @@ def top(df: DataFrame, n: int | None = 100) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
+def numbered(df: DataFrame, parts: int = 64, sample: int = 6400) -> DataFrame:
+    """With ``place``, each row's number in rank order from 1, without a window over all rows.
+
+    Rows are dealt by ``parts`` bounds, taken from about ``sample`` rows by a hash of their place in the file. A part's
+    first number is the prefix sum of the counts before it; whatever the bounds are, the numbers are the same.
+    """
+    key = F.struct((-F.col("score")).alias("s"), "path", "offset", "text", "encoding")
+    rows = df.select("*", key.alias("key"))
+    n = max(1, rows.count())
+    share = F.pmod(F.xxhash64("path", "offset"), F.lit(1 << 20)) < F.lit(max(1, round(min(1.0, sample / n) * (1 << 20))))
+    seen = sorted(tuple(r["key"]) for r in rows.where(share).select("key").limit(4 * sample).collect())
+    bounds = [seen[i * len(seen) // parts] for i in range(1, parts)] if seen else []
+    as_key = lambda b: F.struct(F.lit(b[0]).alias("s"), F.lit(b[1]).alias("path"), F.lit(b[2]).cast("long").alias("offset"), F.lit(b[3]).alias("text"), F.lit(b[4]).alias("encoding"))
+    part = F.size(F.filter(F.array(*map(as_key, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
+    dealt = rows.withColumn("part", part)
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts = [sum(n for p, n in sizes.items() if p < q) for q in range(len(bounds) + 1)]
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part"))
+    return dealt.withColumn("place", start + F.row_number().over(Window.partitionBy("part").orderBy("key"))).drop("part", "key")
+
+
 def top_each(df: DataFrame, n: int, by: str = "path") -> DataFrame:
     """The n best of each path."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*rank_order()))).where(F.col("rank") <= n)
@@ -51,6 +72,14 @@ def neighbours(df: DataFrame, k: int = 2) -> DataFrame:
     return df.withColumn("surrounding", F.collect_list("text").over(near))
 
 
+def section_attributes(df: DataFrame, sections: DataFrame) -> DataFrame:
+    """Strings with the columns of their section: an equi-join on path and section.
+
+    Only for attributes that the scan doesn't carry; those it does need no join.
+    """
+    return df.join(sections, ["path", "section"])
+
+
 def mask(df: DataFrame, known: DataFrame) -> DataFrame:
     """Without the strings of a list of known texts."""
     return df.join(known.select(F.col("text").alias("known")).distinct(), F.col("text") == F.col("known"), "left_anti")

@@ -19,11 +19,11 @@ def strings_of_files(files: DataFrame, config: Config = Config()) -> DataFrame:
     The content never moves: one pass cuts and scans sections where the file is read, another reads names.
     """
     how = config.extraction
-    sections = extract.wanted_sections(binaries.section_bytes(files, config.all_architectures), how)
+    sections = extract.wanted_sections(binaries.section_bytes(files, config.all_architectures, config.formats), how)
     found = extract.bounded(extract.scan(sections, how), how).withColumn("rva", F.col("base_rva") + (F.col("offset") - F.col("base_offset")).cast("decimal(20,0)")).drop("base_offset")
     if not how.include_symbols and not how.include_resources:
         return found
-    names = binaries.named_texts(binaries.parse(files, config.all_architectures), how.include_symbols, how.include_resources)
+    names = binaries.named_texts(binaries.parse(files, config.all_architectures, config.formats), how.include_symbols, how.include_resources)
     if config.output.demangle:
         names = names.withColumn("name", demangle(F.col("name")))
     return found.unionByName(extract.named_strings(names))

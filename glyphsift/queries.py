@@ -174,17 +174,17 @@ def ext_2(spark, d):
 
 
 def wide(spark, d, encoding: str, codec: str, *others: str) -> DataFrame:
-    """The benchmark as UTF-16 bytes, between two NULs so that runs end."""
+    """The documents as UTF-16 bytes, between two NULs so that runs end."""
     body = F.concat(F.lit(b"\x00\x00").cast("binary"), F.encode(F.regexp_replace("text", r"[^\x20-\x7E]", "\n"), codec), F.lit(b"\x00\x00").cast("binary"))
-    rows = table(spark, d, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), F.lit("Unknown").alias("format"), F.lit("benchmark").alias("section"), F.lit("StringData").alias("section_type"), F.lit(0).cast("long").alias("base_offset"), F.lit(None).cast("decimal(20,0)").alias("base_rva"), F.lit("SectionData").alias("source"), body.alias("content"))
+    rows = extract.spread(table(spark, d, "documents").select("doc_id", "text")).select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.lit("Unknown").alias("format"), F.lit("documents").alias("section"), F.lit("StringData").alias("section_type"), F.lit(0).cast("long").alias("base_offset"), F.lit(None).cast("decimal(20,0)").alias("base_rva"), F.lit("SectionData").alias("source"), body.alias("content"))
     how = extract.Extraction(encodings=(encoding, *others), drop_padding=False)
     return extract.bounded(extract.scan(rows, how), how).select("path", "text", "offset", "length")
 
 
-WIDE_SQL = r"""WITH l AS (SELECT item_id, regexp_extract_all(regexp_replace(text, '[^\x20-\x7E]', chr(10), 'g'), '[\x20-\x7E]+|\n') AS toks FROM benchmark),
-t AS (SELECT item_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM l),
-o AS (SELECT *, 2 + 2 * CAST(coalesce(sum(length(tok)) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM t)
-SELECT 'benchmark/' || CAST(item_id AS VARCHAR) AS path, tok AS text, off AS "offset", CAST(2 * length(tok) AS BIGINT) AS length FROM o WHERE tok <> chr(10) AND length(tok) >= 3 AND length(tok) <= 1024"""
+WIDE_SQL = r"""WITH l AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x20-\x7E]', chr(10), 'g'), '[\x20-\x7E]+|\n') AS toks FROM documents),
+t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS pos FROM l),
+o AS (SELECT *, 2 + 2 * CAST(coalesce(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM t)
+SELECT 'documents/' || CAST(doc_id AS VARCHAR) AS path, tok AS text, off AS "offset", CAST(2 * length(tok) AS BIGINT) AS length FROM o WHERE tok <> chr(10) AND length(tok) >= 3 AND length(tok) <= 1024"""
 
 
 @query("ext_3_utf16le", WIDE_SQL)
@@ -258,6 +258,16 @@ def samples(spark) -> DataFrame:
     return spark.createDataFrame([(s, k) for s in SAMPLES for k in ("StringData", "Resources")], "text string, section_type string").withColumn("source", F.lit("SectionData"))
 
 
+def tag_rows(spark, d) -> DataFrame:
+    """The samples and the strings of urls, html and conversations: section, section_type, source, text."""
+    columns = ("section", "section_type", "source", "text")
+    own = samples(spark).withColumn("section", F.lit("samples"))
+    return runs(spark, d, "urls", "html", "conversations").select(*columns).unionByName(own.select(*columns))
+
+
+TAG_ROWS_SQL = runs_sql("urls", "html", "conversations") + f", every AS (SELECT section, section_type, text FROM runs UNION ALL SELECT 'samples', section_type, text FROM {SAMPLES_SQL} s)"
+
+
 def _tag_query(number: str, tag: str) -> None:
     predicate: Callable[[Column], Column] = classify.PREDICATES[tag]
     name = f"cls_{number}_{tag.replace('-', '_')}"
@@ -282,9 +292,9 @@ def cls_6(spark, d):
     return rows.where(F.col("text").rlike(P["windows_path"])).groupBy("section", "text").agg(F.count("*").alias("n"))
 
 
-@query("cls_13_version", f"SELECT text FROM {SAMPLES_SQL} s WHERE {SQL_TAG['version']}")
+@query("cls_13_version", f"{TAG_ROWS_SQL} SELECT section, text FROM every WHERE {SQL_TAG['version']}")
 def cls_13(spark, d):
-    return samples(spark).where(classify.is_version(F.col("text"), F.col("section_type"))).select("text")
+    return tag_rows(spark, d).where(classify.is_version(F.col("text"), F.col("section_type"))).select("section", "text")
 
 
 @query("cls_14_source_tags", "SELECT * FROM (VALUES ('ImportName', 'import'), ('ExportName', 'export'), ('ResourceString', 'resource'), ('SectionData', '')) v(source, tags)")
@@ -293,9 +303,9 @@ def cls_14(spark, d):
     return flat(rows.withColumn("tags", classify.tags(F.col("text"), F.lit("Other"), F.col("source"))), "source", "tags")
 
 
-@query("cls_16_multi_tag", f"SELECT text, section_type, array_to_string({SQL_TAGS}, ',') AS tags FROM {SAMPLES_SQL} s")
+@query("cls_16_multi_tag", f"{TAG_ROWS_SQL} SELECT text, section_type, array_to_string({SQL_TAGS}, ',') AS tags FROM every")
 def cls_16(spark, d):
-    return flat(samples(spark).withColumn("tags", classify.tags(F.col("text"), F.col("section_type"), F.col("source"))), "text", "section_type", "tags")
+    return flat(pipeline.tagged(tag_rows(spark, d)), "text", "section_type", "tags")
 
 
 @query("cls_17_custom", f"SELECT doc_id, name FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1, text FROM {SAMPLES_SQL} s WHERE section_type = 'StringData') t, (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in classify.CUSTOM.items()) + ") c(name, p) WHERE regexp_matches(text, p)")
@@ -329,19 +339,19 @@ def cls_21(spark, d):
     return each.select("text", "section_type", F.col("r.tag").alias("tag"), F.round("r.confidence", 3).alias("confidence"))
 
 
-@query("cls_22_thresholds", f"SELECT text, section_type, tag FROM (SELECT text, section_type, unnest({SQL_TAGS}) AS tag FROM {SAMPLES_SQL} s) WHERE round({SQL_CONFIDENCE}, 3) >= CASE tag WHEN 'url' THEN 0.8 WHEN 'domain' THEN 0.75 WHEN 'filepath' THEN 0.6 ELSE 0.7 END")
+@query("cls_22_thresholds", f"{TAG_ROWS_SQL} SELECT text, section_type, tag FROM (SELECT text, section_type, unnest({SQL_TAGS}) AS tag FROM every) WHERE round({SQL_CONFIDENCE}, 3) >= CASE tag WHEN 'url' THEN 0.8 WHEN 'domain' THEN 0.75 WHEN 'filepath' THEN 0.6 ELSE 0.7 END")
 def cls_22(spark, d):
-    rows = samples(spark)
+    rows = tag_rows(spark, d)
     tags = classify.tags(F.col("text"), F.col("section_type"), F.col("source"))
     kept = classify.confident(classify.results(F.col("text"), tags, F.col("section_type")))
     return rows.withColumn("r", F.explode(kept)).select("text", "section_type", F.col("r.tag").alias("tag"))
 
 
-@query("cls_23_toggles", f"SELECT text FROM {SAMPLES_SQL} s WHERE section_type = 'StringData' AND {SQL_TAG['url']}")
+@query("cls_23_toggles", f"{TAG_ROWS_SQL} SELECT section, text FROM every WHERE {SQL_TAG['url']}")
 def cls_23(spark, d):
     only_urls = classify.Detect(domains=False, ips=False, paths=False, registry=False, guids=False, emails=False, formats=False, base64=False, user_agents=False, versions=False)
-    rows = samples(spark).where("section_type = 'StringData'")
-    return rows.where(F.size(classify.tags(F.col("text"), F.col("section_type"), F.col("source"), only_urls)) > 0).select("text")
+    rows = tag_rows(spark, d)
+    return rows.where(F.size(classify.tags(F.col("text"), F.col("section_type"), F.col("source"), only_urls)) > 0).select("section", "text")
 
 
 # --- scores -----------------------------------------------------------------------------------------------
@@ -363,16 +373,17 @@ def rnk_3(spark, d):
     return runs(spark, d).select("path", "offset", rank.encoding_confidence(F.col("encoding"), F.col("printable")).alias("confidence"))
 
 
-@query("rnk_4_semantic_boost", f"SELECT text, section_type, CAST({SQL_BOOST} AS INTEGER) AS boost FROM (SELECT *, {SQL_TAGS} AS tags FROM {SAMPLES_SQL} s)")
+@query("rnk_4_semantic_boost", f"{TAG_ROWS_SQL} SELECT text, section_type, CAST({SQL_BOOST} AS INTEGER) AS boost FROM (SELECT *, {SQL_TAGS} AS tags FROM every)")
 def rnk_4(spark, d):
-    rows = samples(spark).withColumn("tags", classify.tags(F.col("text"), F.col("section_type"), F.col("source")))
+    rows = pipeline.tagged(tag_rows(spark, d))
     return rows.select("text", "section_type", rank.semantic_boost(F.col("tags")).alias("boost"))
 
 
-@query("rnk_5_context_boost", f"SELECT text, section_type, CAST({SQL_CONTEXT} AS INTEGER) AS boost FROM (SELECT *, {SQL_TAGS} AS tags FROM {SAMPLES_SQL} s)")
+@query("rnk_5_context_boost", f"{TAG_ROWS_SQL} SELECT text, section_type, CAST({SQL_CONTEXT} + CASE WHEN text LIKE '%garden%' THEN 5 ELSE 0 END AS INTEGER) AS boost FROM (SELECT *, {SQL_TAGS} AS tags FROM every)")
 def rnk_5(spark, d):
-    rows = samples(spark).withColumn("tags", classify.tags(F.col("text"), F.col("section_type"), F.col("source")))
-    return rows.select("text", "section_type", rank.context_boost(rank.semantic_boost(F.col("tags")), F.col("section_type"), F.lit(False)).alias("boost"))
+    """Strings about gardens play symbols here."""
+    rows = pipeline.tagged(tag_rows(spark, d))
+    return rows.select("text", "section_type", rank.context_boost(rank.semantic_boost(F.col("tags")), F.col("section_type"), F.col("text").contains("garden")).alias("boost"))
 
 
 @query("rnk_6_entropy", runs_sql(entropy=True) + f" SELECT path, \"offset\", round(entropy, 6) + 0.0 AS entropy, {SQL_ENTROPY} AS penalty FROM stats")
@@ -400,9 +411,9 @@ def rnk_10(spark, d):
     return found(spark, d, "documents", "urls", "html", "conversations", "events").select("path", "offset", "score")
 
 
-@query("rnk_11_multipliers", f"{runs_sql('urls', 'conversations', entropy=True)}, tagged AS (SELECT *, {SQL_TAGS} AS tags FROM stats) SELECT path, \"offset\", CAST(least(100, greatest(0, CASE section_type WHEN 'StringData' THEN 20 ELSE 30 END + {SQL_ENCODING} + {SQL_CONTEXT} + 2 * ({SQL_ENTROPY} + {SQL_LENGTH} + {SQL_REPEAT} + {SQL_NOISE}))) AS INTEGER) AS score FROM tagged")
+@query("rnk_11_multipliers", f"{runs_sql('urls', 'conversations', entropy=True)}, tagged AS (SELECT *, {SQL_TAGS} AS tags FROM stats) SELECT path, \"offset\", CAST(least(100, greatest(0, CASE section_type WHEN 'StringData' THEN 30 ELSE 45 END + {SQL_ENCODING} + ({SQL_CONTEXT}) // 2 + 2 * ({SQL_ENTROPY} + {SQL_LENGTH} + {SQL_REPEAT} + {SQL_NOISE}))) AS INTEGER) AS score FROM tagged")
 def rnk_11(spark, d):
-    own = rank.Ranking(section_weights={"StringData": 20, "ReadOnlyData": 30}, noise_multiplier=2.0)
+    own = rank.Ranking(section_weights={"StringData": 20, "ReadOnlyData": 30}, section_weight_multiplier=1.5, semantic_boost_multiplier=0.5, noise_penalty_multiplier=2.0)
     return found(spark, d, "urls", "conversations", config=merged(TEXT, {"ranking": own})).select("path", "offset", "score")
 
 
@@ -494,9 +505,14 @@ def half(spark, d, r: int) -> DataFrame:
     return pipeline.strings_of_texts(sections_, TEXT).select("text")
 
 
-@query("joi_1_section_attributes", runs_sql("documents", "urls") + f" SELECT section, {SQL_WEIGHT} AS weight, count(*) AS n FROM runs GROUP BY ALL")
+@query("joi_1_section_attributes", runs_sql("urls", "conversations") + """, sections AS (SELECT 'pages.url/' || CAST(page_id AS VARCHAR) AS path, 'pages.url' AS section, CAST(strlen(url) AS BIGINT) AS size, 40 AS weight FROM pages WHERE page_id % 3 > 0
+UNION ALL SELECT 'conversations.text/' || CAST(conv_id * 1000 + turn AS VARCHAR), 'conversations.text', CAST(strlen(text) AS BIGINT), 25 FROM conversations WHERE (conv_id * 1000 + turn) % 3 > 0)
+SELECT path, section, text, "offset", size, weight FROM runs JOIN sections USING (path, section)""")
 def joi_1(spark, d):
-    return runs(spark, d, "documents", "urls").groupBy("section", rank.section_weight(F.col("section_type")).alias("weight")).agg(F.count("*").alias("n"))
+    """Attributes of two thirds of the sections; strings of the others have no partner."""
+    chosen = container(spark, d, "urls").unionByName(container(spark, d, "conversations")).where(F.element_at(F.split("path", "/"), -1).cast("long") % 3 > 0)
+    attributes = chosen.select("path", "section", F.octet_length("content").cast("long").alias("size"), rank.section_weight(F.col("section_type")).alias("weight"))
+    return select.section_attributes(runs(spark, d, "urls", "conversations"), attributes).select("path", "section", "text", "offset", "size", "weight")
 
 
 @query("joi_3_known_names", runs_sql("urls") + " SELECT text, is_known, count(*) AS n FROM (SELECT text, text IN (SELECT url FROM pages WHERE url LIKE 'http:%') AS is_known FROM runs) GROUP BY text, is_known")
@@ -611,16 +627,15 @@ def fil_11(spark, d):
     return flat(found(spark, d, "urls", config=merged(TEXT, {"output": {"classify": False, "rank": False}})), "path", "tags")
 
 
-@query("fil_13_false_positives", f"SELECT text, {SQL_TAG['domain']} AS is_domain, {SQL_TAG['b64']} AS is_b64 FROM {SAMPLES_SQL} s WHERE section_type = 'StringData'")
+@query("fil_13_false_positives", f"{TAG_ROWS_SQL} SELECT text, {SQL_TAG['domain']} AS is_domain, {SQL_TAG['b64']} AS is_b64 FROM every")
 def fil_13(spark, d):
     text = F.col("text")
-    return samples(spark).where("section_type = 'StringData'").select("text", classify.is_domain(text).alias("is_domain"), classify.PREDICATES["b64"](text).alias("is_b64"))
+    return tag_rows(spark, d).select("text", classify.is_domain(text).alias("is_domain"), classify.PREDICATES["b64"](text).alias("is_b64"))
 
 
-@query("srt_1_rank_order", found_sql("urls", then='SELECT path, "offset", CAST(row_number() OVER (ORDER BY score DESC, path, "offset", text) AS INTEGER) AS place FROM {t}'))
+@query("srt_1_rank_order", found_sql("urls", then='SELECT path, "offset", row_number() OVER (ORDER BY score DESC, path, "offset", text) AS place FROM {t}'))
 def srt_1(spark, d):
-    # numbering all rows in one order is the question here; production uses select.top
-    return found(spark, d, "urls").select("path", "offset", F.row_number().over(Window.orderBy(*select.rank_order())).alias("place"))
+    return select.numbered(found(spark, d, "urls")).select("path", "offset", "place")
 
 
 @query("srt_2_top_n", found_sql("documents", "urls", then='SELECT path, "offset", score FROM {t} ORDER BY score DESC, path, "offset", text LIMIT 100'))

@@ -31,9 +31,11 @@ def _schema():
     return StructType.fromDDL(schemas.PARSED)
 
 
-def _reader(all_architectures: bool):
+def _reader(all_architectures: bool, switches: dict | None):
     """A function of a file's bytes: its format, what is wrong with it, and its parsed architectures."""
-    parsers, error = list(formats.REGISTRY), formats.ParseError
+    if all_architectures:
+        switches = {**(switches or {}), "macho": {**(switches or {}).get("macho", {}), "fat": "all"}}
+    parsers, error = formats.switched(switches), formats.ParseError
 
     def read(data: bytes):
         failed = "Unsupported file format"
@@ -41,8 +43,8 @@ def _reader(all_architectures: bool):
             try:
                 if not parser.detect(data):
                     continue
-                many = len(parser.slices(data)) if all_architectures and hasattr(parser, "slices") else 1
-                return parser.name, None, [parser.parse(data, i) if i else parser.parse(data) for i in range(many)]
+                which = parser.chosen(data) if hasattr(parser, "chosen") else [0]
+                return parser.name, None, [parser.parse(data, i) if i else parser.parse(data) for i in which]
             except error as e:
                 failed = str(e)
         return "Unknown", failed, []
@@ -50,16 +52,16 @@ def _reader(all_architectures: bool):
     return read
 
 
-def parse(files: DataFrame, all_architectures: bool = False) -> DataFrame:
+def parse(files: DataFrame, all_architectures: bool = False, switches: dict | None = None) -> DataFrame:
     """path, format, parse_error, arch_offset and the arrays sections, imports, exports, texts of each file.
 
     What isn't one of the formats is Unknown with an error, never a failed job. The parsers run where the
-    content is; only their rows leave.
+    content is; only their rows leave. ``switches`` are the formats' own (see ``formats.switched``).
     """
     schema = _schema()
     arrow = to_arrow_schema(schema)
     kinds = {f.name: [x.name for x in f.dataType.elementType.fields] for f in schema.fields[4:]}
-    read = _reader(all_architectures)
+    read = _reader(all_architectures, switches)
 
     def each(batches):
         for batch in batches:
@@ -75,9 +77,9 @@ def parse(files: DataFrame, all_architectures: bool = False) -> DataFrame:
     return files.select("path", "content").mapInArrow(each, schema)
 
 
-def section_bytes(files: DataFrame, all_architectures: bool = False) -> DataFrame:
+def section_bytes(files: DataFrame, all_architectures: bool = False, switches: dict | None = None) -> DataFrame:
     """The sections as scan input, each with its own bytes, cut where the file is read: no content is shuffled."""
-    read = _reader(all_architectures)
+    read = _reader(all_architectures, switches)
     arrow = pa.schema([("path", pa.string()), ("format", pa.string()), ("section", pa.string()), ("segment", pa.string()), ("flags", pa.int64()), ("base_offset", pa.int64()), ("base_rva", pa.decimal128(20, 0)), ("content", pa.binary())])
 
     def cut(batches):

@@ -8,9 +8,11 @@ from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
 from glyphsift.functions.classify import Detect
-from glyphsift.functions.rank import Ranking
+from glyphsift.functions.rank import BOOSTS, SECTION_WEIGHTS, Ranking
 from glyphsift.operators.extract import Extraction
 
+from .formats import switched
+
 #: Environment variables read as overrides begin so.
 PREFIX = "GLYPHSIFT_"
 
@@ -41,6 +43,7 @@ class Config:
     output: Output = Output()
     skip_low_confidence: bool = False
     all_architectures: bool = False
+    formats: dict = field(default_factory=dict)
 
     @property
     def warnings(self) -> tuple[str, ...]:
@@ -57,9 +60,31 @@ PROFILES = {
 PROFILES["dev"] = PROFILES["development"]
 
 
+# Names that settings have in files (fixed values).
+FORMAT_SETTINGS = {
+    "pe": {"extract_version_info": "version_info", "extract_manifests": "manifests", "extract_string_tables": "string_tables"},
+    "elf": {"include_build_id": "build_id", "include_note_sections": "notes", "process_dynamic_strings": "dynamic"},
+    "macho": {"process_load_commands": "load_commands", "process_fat_binaries": "fat"},
+}
+WEIGHT_NAMES = {"section_weights": {"string_data": "StringData", "resources": "Resources", "readonly_data": "ReadOnlyData", "debug": "Debug", "writable_data": "WritableData", "code": "Code", "other": "Other"}, "semantic_boosts": {"format_string": "fmt"}}
+
+
+def weights(name: str, given: dict, old: dict) -> dict:
+    """Single weights over the old ones, by the names of files or the library's own."""
+    own = {WEIGHT_NAMES[name].get(k, k): v for k, v in given.items()}
+    if unknown := set(own) - set(SECTION_WEIGHTS if name == "section_weights" else BOOSTS):
+        raise ValueError(f"unknown settings in {name}: {sorted(unknown)}")
+    return {**old, **own}
+
+
 def merged(config: Config, values: dict) -> Config:
     """Sections of a nested mapping over a configuration; an unknown section or name is an error."""
     for part, given in values.items():
+        if part == "formats":
+            switches = {k: {**config.formats.get(k, {}), **{FORMAT_SETTINGS.get(k, {}).get(s, s): x for s, x in v.items()}} for k, v in given.items()}
+            switched(switches)  # names what is unknown
+            config = replace(config, formats={**config.formats, **switches})
+            continue
         old = getattr(config, part)
         if not isinstance(given, dict):
             config = replace(config, **{part: given})
@@ -67,7 +92,8 @@ def merged(config: Config, values: dict) -> Config:
         known = {f.name for f in fields(old)}
         if unknown := set(given) - known:
             raise ValueError(f"unknown settings in {part}: {sorted(unknown)}")
-        config = replace(config, **{part: replace(old, **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})})
+        values = {k: tuple(v) if isinstance(v, list) else weights(k, v, getattr(old, k)) if isinstance(v, dict) else v for k, v in given.items()}
+        config = replace(config, **{part: replace(old, **values)})
     return config
 
 

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import ClassVar
+
 from .base import ParseError, Parsed, Reader
 
 # Of the public format (fixed values).
 THIN = {0xFEEDFACE: (">", False), 0xCEFAEDFE: ("<", False), 0xFEEDFACF: (">", True), 0xCFFAEDFE: ("<", True)}
 FAT, FAT_64 = 0xCAFEBABE, 0xCAFEBABF
 SEGMENT, SEGMENT_64, SYMBOLS, BUILD_VERSION = 0x1, 0x19, 0x2, 0x32
+ARCHITECTURES = {"i386": 7, "x86_64": 0x01000007, "arm": 12, "arm64": 0x0100000C, "ppc": 18, "ppc64": 0x01000012}
 PATHS = {0xC: 8, 0xD: 8, 0x80000018: 8, 0x8000001F: 8, 0x8000001C: 8}  # command: where its string's offset stands
 
 
+@dataclass(frozen=True)
 class MachO:
-    name = "MachO"
+    """``load_commands``: whether these give texts; ``fat``: "first", "all" or the name of an architecture."""
+
+    load_commands: bool = True
+    fat: str = "first"
+    name: ClassVar[str] = "MachO"
+
+    def __post_init__(self):
+        if self.fat not in ("first", "all", *ARCHITECTURES):
+            raise ValueError(f"unknown architecture {self.fat}")
 
     def detect(self, data: bytes) -> bool:
         magic = int.from_bytes(data[:4], "big")
@@ -21,13 +34,26 @@ class MachO:
 
     def slices(self, data: bytes) -> list[tuple[int, int]]:
         """(offset, size) of each architecture; a thin file is one."""
+        return [x[1:] for x in self._table(data)]
+
+    def chosen(self, data: bytes) -> list[int]:
+        """Which architectures ``fat`` asks for; a thin file is always read, a fat one without the named one never."""
+        table = self._table(data)
+        if self.fat == "all":
+            return list(range(len(table)))
+        if self.fat == "first" or table[0][0] is None:
+            return [0]
+        return [i for i, (cpu, _, _) in enumerate(table) if cpu == ARCHITECTURES[self.fat]]
+
+    def _table(self, data: bytes) -> list[tuple]:
+        """(CPU type, offset, size) of each architecture; a thin file has no CPU type here."""
         magic = int.from_bytes(data[:4], "big")
         if magic in THIN:
-            return [(0, len(data))]
+            return [(None, 0, len(data))]
         r, out = Reader(data, ">"), []
         for i in range(r.get(4, "I")[0]):
-            offset, size = r.get(8 + 32 * i + 8, "QQ") if magic == FAT_64 else r.get(8 + 20 * i + 8, "II")
-            out.append((offset, size))
+            at = 8 + (32 if magic == FAT_64 else 20) * i
+            out.append((*r.get(at, "I"), *r.get(at + 8, "QQ" if magic == FAT_64 else "II")))
         if not out:
             raise ParseError("no architecture")
         return out
@@ -58,6 +84,8 @@ class MachO:
                 index = self._sections(r, at, command == SEGMENT_64, index, out)
             elif command == SYMBOLS:
                 self._symbols(r, at, wide, out)
+            elif not self.load_commands:
+                pass
             elif command in PATHS:
                 place = at + r.get(at + PATHS[command], "I")[0]
                 text = r.name(place, at + size)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from typing import ClassVar
 
 from .base import ParseError, Parsed, Reader
 
@@ -12,8 +14,14 @@ STRING_TABLE, VERSION, MANIFEST = 6, 16, 24
 DIRECTORY_ENTRY = 0x80000000
 
 
+@dataclass(frozen=True)
 class Pe:
-    name = "Pe"
+    """The switches choose which resources give texts."""
+
+    version_info: bool = True
+    manifests: bool = True
+    string_tables: bool = True
+    name: ClassVar[str] = "Pe"
 
     def detect(self, data: bytes) -> bool:
         at = int.from_bytes(data[60:64], "little")
@@ -116,8 +124,9 @@ class Pe:
                     if place is not None and place + size <= len(r.data):
                         yield place, size
 
+        wanted = [k for k, on in ((STRING_TABLE, self.string_tables), (VERSION, self.version_info), (MANIFEST, self.manifests)) if on]
         for kind, to in entries(base):
-            if kind not in (STRING_TABLE, VERSION, MANIFEST) or not to & DIRECTORY_ENTRY:
+            if kind not in wanted or not to & DIRECTORY_ENTRY:
                 continue
             for place, size in leaves(base + (to & 0x7FFFFFFF), 1):
                 body = r.data[place : place + size]

@@ -15,7 +15,7 @@ def elf64(sections, symbols=(), high=0x400000):
     for i, (name, flags, data, kind) in enumerate(every, 1):
         index[name] = i
     for i, (name, flags, data, kind) in enumerate(every, 1):
-        link = index[".dynstr"] if kind == 11 else 0
+        link = index[".dynstr"] if kind in (2, 6, 11) else 0
         rows.append((len(names), kind, flags, high + place, place, len(data), link, 0, 1, 24 if kind == 11 else 0))
         names += name.encode() + b"\0"
         if kind != 8:
@@ -99,11 +99,12 @@ def macho64(sections, symbols=(), paths=()):
     return struct.pack("<IIIIIIII", 0xFEEDFACF, 0x0100000C, 0, 2, count, len(commands), 0, 0) + commands + body + table + strings
 
 
-def fat(*thin):
+def fat(*thin, cpus=()):
+    """``cpus``: the CPU type of each, by default that of 64-bit ARM."""
     head = struct.pack(">II", 0xCAFEBABE, len(thin))
     place, table, body = 8 + 20 * len(thin), b"", b""
-    for data in thin:
-        table += struct.pack(">IIIII", 0x0100000C, 0, place, len(data), 0)
+    for i, data in enumerate(thin):
+        table += struct.pack(">IIIII", cpus[i] if cpus else 0x0100000C, 0, place, len(data), 0)
         body += data
         place += len(data)
     return head + table + body

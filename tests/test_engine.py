@@ -169,3 +169,39 @@ def test_files_stream_and_command_line(spark, tmp_path, capsys):
 def test_unsigned_addresses(spark):
     files = spark.createDataFrame([("h", elf64([(".rodata", 2, b"kernel text\0", 1)], high=0xFFFFFFFF80000000))], "path string, content binary")
     assert int(pipeline.analyse(files).first()["rva"]) > 1 << 63
+
+
+def test_numbers_are_those_of_one_sort(spark):
+    rows = [(i * 7 % 11, f"p{i % 5}", i % 13, f"t{i % 3}", "ascii") for i in range(400)]
+    df = spark.createDataFrame(rows, "score int, path string, offset long, text string, encoding string")
+    expected = sorted(rows, key=lambda r: (-r[0], *r[1:]))
+    for parts, sample in ((1, 10), (7, 30), (64, 6400)):
+        got = sorted(select.numbered(df, parts, sample).collect(), key=lambda r: r["place"])
+        assert [tuple(r)[:5] for r in got] == expected and [r["place"] for r in got] == list(range(1, 401))
+    assert select.numbered(df.limit(0)).isEmpty()
+
+
+def test_interleaved_runs_by_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    bodies = [b"".join(draw.choice((b"a\0", b"\0b", b"cd", b"\n", b"efgh", b"x\0y\0z\0")) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame([(str(i), bytearray(b)) for i, b in enumerate(bodies)], "path string, content binary")
+    how = dict(encodings=("ascii", "utf-16"), drop_padding=False)
+    every = extract.scan(df, extract.Extraction(drop_interleaved=False, **how)).collect()
+    left = {(r["path"], r["encoding"], r["offset"]) for r in extract.scan(df, extract.Extraction(**how)).collect()}
+    wide = [r for r in every if r["encoding"] != "ascii"]
+    hidden = {(r["path"], r["encoding"], r["offset"]) for r in every if r["encoding"] == "ascii" and any(w["path"] == r["path"] and w["offset"] < r["offset"] + r["length"] and r["offset"] < w["offset"] + w["length"] for w in wide)}
+    assert hidden and left == {(r["path"], r["encoding"], r["offset"]) for r in every} - hidden
+
+
+def test_settings_by_their_names_in_files(tmp_path):
+    file = tmp_path / "own.toml"
+    file.write_text('[ranking]\nsection_weight_multiplier = 2.0\n[ranking.section_weights]\nstring_data = 50\n[ranking.semantic_boosts]\nformat_string = 1\n[formats.elf]\ninclude_note_sections = true\n[formats.macho]\nprocess_fat_binaries = "x86_64"\n')
+    got = config.load(str(file), environment={})
+    assert got.ranking.section_weights["StringData"] == 50 and got.ranking.section_weights["Resources"] == 35
+    assert got.ranking.semantic_boosts["fmt"] == 1 and got.ranking.section_weight_multiplier == 2.0
+    assert got.formats == {"elf": {"notes": True}, "macho": {"fat": "x86_64"}}
+    for wrong in ({"formats": {"elf": {"colour": 1}}}, {"formats": {"coff": {}}}, {"formats": {"macho": {"fat": "z80"}}}, {"ranking": {"section_weights": {"attic": 1}}}):
+        with pytest.raises(ValueError):
+            config.merged(config.Config(), wrong)
