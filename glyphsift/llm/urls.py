@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,55 +34,69 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def parsed(url: str | None) -> tuple[str, str, str]:
-    """(host, path, query) as in the column functions."""
-    _, found, rest = (url or "").partition("://")
-    if not found:
-        return "", "", ""
-    stop = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    host, rest = rest[:stop].translate(str.maketrans(UPPER, LOWER)), rest[stop:]
-    rest, _, _ = rest.partition("#")
-    path, _, query = rest.partition("?")
-    return host, path, query
+#: What comes before the host, the host, the path and the query of a url.
+PARTS = r"(?s)^.*?://(?P<host>[^/?#]*)(?P<path>[^?#]*)(?P<query>\?[^#]*)?"
+#: What statistics are kept of: the host's last label, its last two, and the first part of the path.
+SUFFIXES = {"top": ("host", r"(?s)(?P<x>[^.]*)$"), "domain": ("host", r"(?s)(?P<x>(?:[^.]*\.)?[^.]*)$"), "segment": ("path", r"(?s)^/(?P<x>[^/]*)")}
 
 
-def entropy(text: str) -> float:
-    """Bits per character."""
-    if not text:
-        return 0.0
-    n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1] / len(text)
-    return float(-(n * np.log2(n)).sum())
+def parts(urls: pa.Array) -> dict[str, pa.Array]:
+    """Host, path and query of each url as in the column functions; the query without its ``?``."""
+    found = pc.extract_regex(urls, PARTS)
+    host, path, query = (pc.struct_field(found, k).fill_null("") for k in ("host", "path", "query"))
+    return {"host": pc.ascii_lower(host), "path": path, "query": pc.utf8_slice_codeunits(query, 1)}
 
 
-def suffixes(host: str, path: str) -> dict[str, str]:
-    """What statistics are kept of: the host's last label, its last two, and the first part of the path."""
-    parts = host.split(".")
-    return {"top": parts[-1], "domain": ".".join(parts[-2:]), "segment": path.split("/")[1] if "/" in path else ""}
+def suffixes(of: dict[str, pa.Array]) -> dict[str, pa.Array]:
+    return {k: pc.struct_field(pc.extract_regex(of[part], pattern), "x").fill_null("") for k, (part, pattern) in SUFFIXES.items()}
+
+
+def entropies(texts: pa.Array) -> np.ndarray:
+    """Bits per character of each text; none in an empty one."""
+    row = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    point = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    cell, n = np.unique(row * 0x110000 + point, return_counts=True)
+    row = cell // 0x110000
+    size = np.bincount(row, n, len(texts))
+    share = n / size[row]
+    return np.bincount(row, -share * np.log2(share), len(texts))
 
 
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "host_length", "labels", "hyphens", "top_rate", "top_count", "domain_rate", "domain_count", "segment_rate", "segment_count")
 
 
+def as_texts(urls) -> pa.Array:
+    """A null url is one with nothing in it."""
+    return pa.array(urls, pa.large_string(), from_pandas=True).fill_null("")
+
+
 def features(urls, stats: dict) -> np.ndarray:
-    """Rows of FEATURES; a null url is one with nothing in it."""
-    out = np.zeros((len(urls), len(FEATURES)))
-    for i, url in enumerate(urls):
-        url = url if isinstance(url, str) else ""
-        host, path, query = parsed(url)
-        known = [stats.get(x, (0.5, 0)) for x in suffixes(host, path).items()]
-        shape = (len(url), path.count("/"), sum(c in "0123456789" for c in url) / max(1, len(url)), entropy(url), (query.count("&") + 1) if query else 0, len(host), host.count(".") + 1 if host else 0, url.count("-"))
-        out[i] = (*shape, *(v for share, n in known for v in (share, np.log1p(n))))
-    return out
+    """Rows of FEATURES, a column at a time. A suffix without statistics counts as half blocked, never seen."""
+    texts = as_texts(urls)
+    of = parts(texts)
+    number = lambda x: x.to_numpy(zero_copy_only=False).astype(float)
+    count = lambda x, c: number(pc.count_substring(x, c))
+    length, host_length = number(pc.utf8_length(texts)), number(pc.utf8_length(of["host"]))
+    digits = number(pc.count_substring_regex(texts, "[0-9]"))
+    parameters = np.where(number(pc.binary_length(of["query"])) > 0, count(of["query"], "&") + 1, 0)
+    out = [length, count(of["path"], "/"), digits / np.maximum(1, length), entropies(texts), parameters, host_length, np.where(host_length > 0, count(of["host"], ".") + 1, 0), count(texts, "-")]
+    for kind, values in suffixes(of).items():
+        known = [(x, v) for (k, x), v in stats.items() if k == kind]
+        table = np.array([*(v for _, v in known), (0.5, 0)], float)
+        at = pc.index_in(values, pa.array([x for x, _ in known], pa.large_string())).fill_null(len(known))
+        share, n = table[at.to_numpy(zero_copy_only=False)].T
+        out += [share, np.log1p(n)]
+    return np.stack(out, axis=1)
 
 
 def suffix_stats(urls, blocked: np.ndarray, most: int = 4096) -> dict:
     """Smoothed share of blocked URLs for the most frequent suffixes and path beginnings: (share, count)."""
     seen: dict = {}
-    for url, bad in zip(urls, blocked, strict=True):
-        for part in suffixes(*parsed(url)[:2]).items():
-            n = seen.setdefault(part, [0, 0])
-            n[0] += int(bad)
-            n[1] += 1
+    for kind, values in suffixes(parts(as_texts(urls))).items():
+        code = values.dictionary_encode()
+        at, names = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_pylist()
+        bad, n = np.bincount(at, blocked, len(names)), np.bincount(at, minlength=len(names))
+        seen |= {(kind, x): (int(b), int(c)) for x, b, c in zip(names, bad, n, strict=True)}
     kept = sorted(seen.items(), key=lambda x: (-x[1][1], x[0]))[:most]
     return {k: ((bad + 1) / (n + 2), n) for k, (bad, n) in kept}
 

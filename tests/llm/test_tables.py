@@ -141,11 +141,82 @@ def test_mix_edges(edges, nothing):
 URLS = [("http://a.example.net/en/1", "allow"), ("https://EXAMPLE.net/en/", "allow"), ("https://example.net/fr/1?x#y", "block"), ("http://x.net", None), ("http://example.com/de/9", "block"), ("http://www.example.org/fr/1", "allow"), ("example.org/fr/", None), ("http://notexample.com/de/", None), ("", None), (None, None), ("http://[::1", None), ("ftp://net/", "block"), ("http://a.net?q=/", None)]
 
 
+def parsed(url):
+    """(host, path, query), character by character."""
+    _, found, rest = (url or "").partition("://")
+    if not found:
+        return "", "", ""
+    stop = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
+    host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:stop]), rest[stop:].partition("#")[0]
+    path, _, query = rest.partition("?")
+    return host, path, query
+
+
+def brute_suffixes(url):
+    host, path, _ = parsed(url)
+    labels = host.split(".")
+    return {"top": labels[-1], "domain": ".".join(labels[-2:]), "segment": path.split("/")[1] if "/" in path else ""}
+
+
+def brute_features(url, stats):
+    host, path, query = parsed(url)
+    url = url or ""
+    shares = [url.count(c) / len(url) for c in set(url)]
+    known = [stats.get(x, (0.5, 0)) for x in brute_suffixes(url).items()]
+    shape = (len(url), path.count("/"), sum(c in "0123456789" for c in url) / max(1, len(url)), -sum(p * math.log2(p) for p in shares), query.count("&") + 1 if query else 0, len(host), host.count(".") + 1 if host else 0, url.count("-"))
+    return [*shape, *(v for share, n in known for v in (share, math.log1p(n)))]
+
+
+#: More shapes: empty labels, marks in every order, other scripts, line ends, repeats, a very long one.
+ODD_URLS = ["http://a..b./x", "http://./", "http://h?q", "http://h#f?q=1&r", "http://h?&&#f", "x://y://z/p?://", "http://ÄÖ.Ünet/ß-1?π=3", "http://a\nb.c\nd/e\nf?g\nh", "://", "http://", "http://t.net/a", "http://t.net/a", "http://l.net/" + "a-1/" * 20000 + "?" + "p=1&" * 5000]
+
+
+def test_url_features_by_brute_force():
+    every = [u for u, _ in URLS] + ODD_URLS
+    blocked = np.arange(len(every)) % 3 == 0
+    counts: dict = {}
+    for u, bad in zip(every, blocked, strict=True):
+        for part in brute_suffixes(u).items():
+            counts.setdefault(part, []).append(int(bad))
+    stats = urls.suffix_stats(every, blocked)
+    assert stats == {k: ((sum(v) + 1) / (len(v) + 2), len(v)) for k, v in counts.items()}
+    for known in (stats, dict(list(stats.items())[:5]), {}):
+        assert np.allclose(urls.features(every, known), [brute_features(u, known) for u in every])
+    assert urls.features([], stats).shape == (0, len(urls.FEATURES)) and urls.features([None], {}).shape == (1, len(urls.FEATURES))
+
+
+def test_trees_by_brute_force():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(500, 5)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float)
+    model = urls.BoostedTrees(trees=12).fit(x, y)
+
+    def walked(row):
+        margin = model.bias
+        for *levels, leaves in model.nodes:
+            node = 0
+            for level in levels:
+                j, cut = level[node]
+                node = 2 * node + int(sum(e <= row[j] for e in model.edges[j]) > cut)
+            margin += model.rate * leaves[node]
+        return 1 / (1 + math.exp(-margin))
+
+    assert np.allclose(model.score(x), [walked(r) for r in x])
+    # the first split is the best of all by the gain that boosting maximises
+    p = y.mean()
+    def gain(left):
+        g, h = (y - p) * 1.0, np.full(len(y), p * (1 - p))
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left))
+    best = max(gain(x[:, j] < e) for j in range(5) for e in model.edges[j] if 5 <= (x[:, j] < e).sum() <= len(y) - 5)
+    j, cut = model.nodes[0][0][0]
+    assert np.isclose(gain(x[:, j] < model.edges[j][cut]), best)
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(i, u, "x", 1) for i, (u, _) in enumerate(URLS)], "page_id long, url string, u string, host int")
     for r in urls.judge(df).collect():
         u, said = URLS[r["page_id"]]
-        host, path, _ = urls.parsed(u)
+        host, path, _ = parsed(u)
         assert (r["host"], r["path"]) == (host, path)
         assert (r["rule"] is not None) == (said is not None) and (said is None or r["verdict"] == said) and r["verdict"] in ("allow", "block")
     assert urls.judge(df.limit(0)).count() == 0
