@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, joined_buffers, mixed, saved, word_hashes, word_spans
+from .common import LETTERS, LOWER, fresh_dir, joined_buffers, mixed, removed, saved, word_hashes, word_spans
 
 #: Words of a passage, and from one passage's start to the next's.
 PASSAGE, STRIDE = 64, 32
 #: A vocabulary's rows that are summed together.
-SLICE = 4096
+SLICE = 1024
 #: Items with fewer words are looked for as they are.
 LEAST_WORDS = 4
 
@@ -119,7 +120,8 @@ def terms_of(hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray):
     for j in (last, last - 1):
         ok = (j >= 0) & (j < count[row])
         pairs.append((base[row[ok]] + j[ok]) * len(vocabulary) + term[ok])
-    key = np.unique(np.concatenate(pairs))
+    key = np.sort(np.concatenate(pairs))
+    key = key[np.diff(key, prepend=-1) > 0]
     return key // len(vocabulary), key % len(vocabulary), row_of, number
 
 
@@ -137,6 +139,20 @@ def summed(term: np.ndarray, heads: np.ndarray, table: np.ndarray) -> np.ndarray
     return back
 
 
+def spread(term: np.ndarray, heads: np.ndarray, table: np.ndarray, out: np.ndarray) -> None:
+    """Adds row j of the table to the rows of ``out`` that group j's terms name; the transpose of ``summed``."""
+    order = np.argsort(term, kind="stable")
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(term))))[order]
+    first = np.flatnonzero(np.diff(term[order].astype(np.int64), prepend=-1))
+    names, size = term[order[first]], np.diff(np.append(first, len(term)))
+    often = size > 128  # rows summed one by one would take as many steps
+    which = np.repeat(often, size)
+    dense = np.zeros((int(often.sum()), len(heads)), table.dtype)
+    dense[np.repeat(np.arange(len(dense)), size[often]), group[which]] = 1
+    out[names[often]] += dense @ table
+    out[names[~often]] += summed(group[~which], np.cumsum(size[~often]) - size[~often], table)
+
+
 def common_subsequence(mask: dict, n: int, words: list) -> int:
     """Length of the longest common subsequence of an item (by its words' bit masks) and some words."""
     row = full = (1 << n) - 1
@@ -155,12 +171,13 @@ class Screen:
         self.items, self.cosine, self.ratio, self.loose = items, cosine, ratio, loose
         self.weighted = latent * idf.astype(np.float32)[:, None]
         seen = items.matrix(idf) @ latent
-        self.holds = (items.matrix(np.ones(len(idf))) > 0).T.astype(np.uint16)
+        self.holds = (items.matrix(np.ones(len(idf))) > 0).T.astype(np.uint8)
         self.owner = np.array([i for i, _ in items.pieces()], np.int64)
         n, distinct = np.array([len(w) for _, w in items.pieces()]), self.holds.sum(0)
         # a found item lacks so few of its different words; the passage that covers most of a longer one has 0.4 of them
         all_kept = distinct - (1 - min(ratio, loose)) * n - 1e-6
-        self.least_shared = np.where(n + n // 4 + 2 <= PASSAGE - STRIDE + 1, all_kept, np.minimum(0.4 * distinct, all_kept))
+        least = np.where(n + n // 4 + 2 <= PASSAGE - STRIDE + 1, all_kept, np.minimum(0.4 * distinct, all_kept))
+        self.least_shared = np.maximum(0, np.ceil(least)).astype(np.uint8)
         # the other words of a passage push a short item's cosine down, by the root of its share and more if they are rare
         self.least_cosine = (cosine * np.minimum(1, n / PASSAGE)).astype(np.float32)
         self.known = seen / np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)
@@ -172,15 +189,22 @@ class Screen:
             return []
         heads = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
         best: dict = {}  # of an item's pieces the nearest
-        for a in range(0, len(heads), 1024):
-            z = heads[a + 1024] if a + 1024 < len(heads) else len(passage)
-            t = term[heads[a] : z]
-            v = summed(t, heads[a : a + 1024] - heads[a], self.weighted)
+        for a in range(0, len(heads), 4096):
+            z = heads[a + 4096] if a + 4096 < len(heads) else len(passage)
+            t, at = term[heads[a] : z], heads[a : a + 4096] - heads[a]
+            # few passages share enough words with any piece; only those are brought into the latent space
+            i, piece = np.nonzero(summed(t, at, self.holds) >= self.least_shared)
+            if not len(i):
+                continue
+            size, hopeful = np.diff(np.append(at, len(t))), np.zeros(len(at), bool)
+            hopeful[i] = True
+            v = summed(t[np.repeat(hopeful, size)], np.cumsum(size[hopeful]) - size[hopeful], self.weighted)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            near = v @ self.known.T
-            i, piece = np.nonzero((near >= self.least_cosine) & (summed(t, heads[a : a + 1024] - heads[a], self.holds) >= self.least_shared))
-            p = passage[heads[a : a + 1024]][i]
-            for r, k, item, c in zip(row_of[p].tolist(), number[p].tolist(), self.owner[piece].tolist(), near[i, piece].tolist(), strict=True):
+            row = np.cumsum(hopeful)[i] - 1
+            near = np.concatenate([(v[row[j : j + 4096]] * self.known[piece[j : j + 4096]]).sum(axis=1) for j in range(0, len(row), 4096)])
+            ok = near >= self.least_cosine[piece]
+            p = passage[heads[a + i[ok]]]
+            for r, k, item, c in zip(row_of[p].tolist(), number[p].tolist(), self.owner[piece[ok]].tolist(), near[ok].tolist(), strict=True):
                 best[r, k, item] = max(c, best.get((r, k, item), c))
         return [(*at, c) for at, c in best.items()]
 
@@ -231,20 +255,69 @@ class Screen:
         return (length / n, found, cosine, a - begin + s)
 
 
+def term_type(v: int):
+    """The type in which a vocabulary's terms are stored."""
+    return np.uint16 if v <= 1 << 16 else np.uint32
+
+
+def stored(batches, v: int):
+    """(number of passages, sizes, terms) of each stored slice; see ``Decontaminator._passages``."""
+    for batch in batches:
+        for n, size, term in zip(*batch.columns, strict=True):
+            yield n.as_py(), np.frombuffer(size.as_buffer(), np.uint8), np.frombuffer(term.as_buffer(), term_type(v))
+
+
+#: Parts of sums of arrays: which slice of the array, from which task, and its values.
+SUMS = "slice int, part int, sum binary"
+#: So many parts of a slice are added at a time.
+FAN = 16
+
+
+def numbered(number: int, values: np.ndarray) -> pa.RecordBatch:
+    """A slice of this task's sum; see SUMS."""
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["slice", "part", "sum"])
+
+
+def totals(rows: DataFrame, parts: int, kind=np.float64) -> list[np.ndarray]:
+    """The float64 sums of all slices, in order, of at most ``parts`` tasks' values of this kind.
+
+    They are added in rounds, FAN parts of one slice at a time and in the parts' order, so that reruns agree.
+    """
+    schema = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("sum", pa.binary())])
+
+    def adding(kind):
+        def add(group: pa.Table) -> pa.Table:
+            group = group.sort_by("part")
+            out = sum(np.frombuffer(b.as_buffer(), kind).astype(np.float64) for b in group.column("sum"))
+            return pa.table([group.column("slice")[:1], pa.array([group.column("part")[0].as_py() // FAN], pa.int32()), pa.array([out.tobytes()], pa.binary())], schema=schema)
+
+        return add
+
+    while True:
+        rows, parts, kind = rows.groupBy("slice", F.floor(F.col("part") / FAN)).applyInArrow(adding(kind), SUMS), -(-parts // FAN), np.float64
+        if parts == 1:
+            return [np.frombuffer(r["sum"]) for r in sorted(rows.collect(), key=lambda r: r["slice"])]
+
+
 class Decontaminator:
     """Latent spaces of a benchmark over a corpus, one for each block of items; see ``matches``.
 
     A block has about ``block_items`` pieces of 64 words at most, so at most 32,000 different words at 500: its
     arrays (a latent row of 4 ``rank`` bytes and 2 bytes for each piece, for each word) take 64 MB at most. One
-    block is fitted, and its texts searched, after another.
+    block is fitted, on all passages of the corpus, and its texts searched, after another.
     """
 
-    def __init__(self, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rank: int = 256, fit_passages: int = 50_000, block_items: int = 500, cosine: float = 0.4, ratio: float = 0.8, loose: float = 0.65, seed: int = 11):
-        self.docs, self.text, self.rank, self.fit_passages, self.seed, self.bounds = docs, text, rank, fit_passages, seed, (cosine, ratio, loose)
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rank: int = 256, block_items: int = 500, cosine: float = 0.4, ratio: float = 0.8, loose: float = 0.65, seed: int = 11):
+        self.docs, self.text, self.rank, self.seed, self.bounds = docs, text, rank, seed, (cosine, ratio, loose)
         self.items = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).distinct()
-        # a word has a byte at least, and a space behind it or three bytes
-        parts = F.greatest(F.lit(1), F.ceil((F.octet_length("t") / 2 - PASSAGE) / STRIDE) + 1)
-        self.blocks = max(1, -(-int(self.items.agg(F.sum(F.coalesce(F.least(parts, F.lit(block_items)), F.lit(1)))).first()[0] or 0) // block_items))
+
+        def pieces(batches):
+            for part in slices(batches):
+                n = np.diff(words_in(part.column(0))[1])
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.clip(-(-(n - PASSAGE) // STRIDE) + 1, 1, block_items).sum())])], ["n"])
+
+        self.blocks = max(1, -(-int(self.items.select("t").mapInArrow(pieces, "n long").agg(F.sum("n")).first()[0] or 0) // block_items))
 
     def screens(self):
         """The screen of one block after another."""
@@ -252,103 +325,96 @@ class Decontaminator:
             block = self.items.where(F.pmod(F.xxhash64("i"), F.lit(self.blocks)) == j)
             items = Items([(r["i"], r["t"]) for r in block.orderBy("i", "t").collect()])
             if items.ids:
-                idf, total = self._weights(self.docs, items.vocabulary)
-                yield Screen(items, idf, self._latent(self.docs, items, idf, total), *self.bounds)
+                folder = fresh_dir(self.docs.sparkSession, "passages")
+                passages = self._passages(self.docs, items.vocabulary, folder)
+                idf, n_terms = self._weights(passages, items.vocabulary)
+                latent = self._latent(passages, items, idf, n_terms)
+                removed(self.docs.sparkSession, folder)
+                yield Screen(items, idf, latent, *self.bounds)
             elif items.short:
                 yield Screen(items, np.zeros(0), np.zeros((0, self.rank), np.float32), *self.bounds)
 
-    def _texts(self, docs: DataFrame) -> DataFrame:
-        return docs.select(F.col(self.text).alias("t"))
-
-    def _weights(self, docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-        """Inverse passage frequencies of the vocabulary over all passages, and how many passages there are."""
-        known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    def _passages(self, docs: DataFrame, vocabulary: np.ndarray, folder: str) -> DataFrame:
+        """(n, size, term): for each slice of rows its number of passages, and of those with a known word the number
+        of terms and the terms. Written to ``folder``, as weights, sketch and rotation each read them once."""
+        known, kind = docs.sparkSession.sparkContext.broadcast(vocabulary), term_type(len(vocabulary))
 
         def f(batches):
-            count, total = np.zeros(len(known.value), np.int64), 0
             for part in slices(batches):
-                _, term, row_of, _ = terms_of(*words_in(part.column(0)), known.value)
-                count += np.bincount(term, minlength=len(count))
-                total += len(row_of)
+                passage, term, row_of, _ = terms_of(*words_in(part.column(0)), known.value)
+                size = np.diff(np.flatnonzero(np.diff(passage, prepend=-1, append=-1))).astype(np.uint8)  # 64 at most
+                yield pa.RecordBatch.from_arrays([pa.array([len(row_of)]), pa.array([size.tobytes()], pa.binary()), pa.array([term.astype(kind).tobytes()], pa.binary())], ["n", "size", "term"])
+
+        docs.select(F.col(self.text).alias("t")).mapInArrow(f, "n long, size binary, term binary").write.parquet(folder)
+        return docs.sparkSession.read.parquet(folder)
+
+    def _weights(self, passages: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+        """Inverse passage frequencies of the vocabulary over all passages, and how many terms these have."""
+        v = len(vocabulary)
+
+        def f(batches):
+            count, total = np.zeros(v, np.int64), 0
+            for n, _, term in stored(batches, v):
+                count += np.bincount(term, minlength=v)
+                total += n
             term = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(count[term], total))], ["term", "n"])
 
-        rows = self._texts(docs).mapInArrow(f, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        rows = passages.mapInArrow(f, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
         total = int(n[term < 0].sum())
-        count = np.zeros(len(vocabulary))
+        count = np.zeros(v)
         count[term[term >= 0]] = n[term >= 0]
-        return np.log((1 + total) / (1 + count)) + 1e-6, total
+        return np.log((1 + total) / (1 + count)) + 1e-6, int(count.sum())
 
-    def _latent(self, docs: DataFrame, items: Items, idf: np.ndarray, total: int) -> np.ndarray:
+    def _latent(self, passages: DataFrame, items: Items, idf: np.ndarray, n_terms: int) -> np.ndarray:
         """The right singular vectors of the normalised TF-IDF passages, by a distributed randomised SVD.
 
-        Fitted on the items and on the passages of a sample of the rows, about ``fit_passages``, which is kept
-        in the shared folder.
+        Fitted on the items and on every passage of the corpus. A task adds up about 16 million terms, or more
+        tasks than 16 would each ship a sum as large as the vocabulary for little work.
         """
         v = len(items.vocabulary)
-        width, seed = min(self.rank + 16, v), self.seed
-        share = min(1.0, self.fit_passages / max(1, total))
-        sample = saved(self._texts(docs).where(F.rand(seed) < F.lit(share))).coalesce(16)
-        context = docs.sparkSession.sparkContext
-        known = context.broadcast((items.vocabulary, idf.astype(np.float32)))
-
-        def rows_by(matrix):
-            """Sparse normalised passages times a matrix, chunk by chunk: (heads, terms, weights, product)."""
-            vocabulary, weight = known.value
-            scaled = (matrix * weight[:, None]).astype(np.float32)
-
-            def each(batches):
-                for part in slices(batches):
-                    passage, term, _, _ = terms_of(*words_in(part.column(0)), vocabulary)
-                    if not len(passage):
-                        continue
-                    heads = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-                    for a in range(0, len(heads), 1024):
-                        z = heads[a + 1024] if a + 1024 < len(heads) else len(passage)
-                        t, h = term[heads[a] : z], heads[a : a + 1024] - heads[a]
-                        w = weight[t]
-                        size = np.diff(np.append(h, len(t)))
-                        w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, h)), size)
-                        # weights are idf over the passage's norm
-                        norm = w[h] / weight[t[h]]
-                        yield size, t, w, summed(t, h, scaled) * norm[:, None]
-
-            return each
+        width, seed, weight = min(self.rank + 16, v), self.seed, idf.astype(np.float32)
+        parts = max(16, n_terms >> 24)
+        passages = passages.coalesce(parts)
+        context = passages.sparkSession.sparkContext
+
+        def products(batches, matrix):
+            """(heads, terms, product, squared norms) of a few thousand passages at a time: their terms' rows summed."""
+            scaled = matrix * weight[:, None]
+            for _, size, term in stored(batches, v):
+                at = np.append(0, np.cumsum(size, dtype=np.int64))
+                for a in range(0, len(size), 4096):
+                    z = min(a + 4096, len(size))
+                    t, heads = term[at[a] : at[z]], at[a:z] - at[a]
+                    yield heads, t, summed(t, heads, scaled), np.add.reduceat(weight[t] ** 2, heads)
+
+        def normal():
+            return np.random.default_rng(seed).standard_normal((v, width)).astype(np.float32)
 
         def sketch(batches):
-            omega = np.random.default_rng(seed).standard_normal((v, width)).astype(np.float32)
             out = np.zeros((v, width), np.float32)
-            for size, t, w, product in rows_by(omega)(batches):
-                back = np.repeat(product, size, axis=0) * w[:, None]
-                order = np.argsort(t, kind="stable")
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
-                out[t[order][heads]] += np.add.reduceat(back[order], heads, axis=0)
+            for heads, t, product, square in products(batches, normal()):
+                spread(t, heads, product / square[:, None], out)
+            out *= weight[:, None]
             for a in range(0, v, SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array([a // SLICE], pa.int32()), pa.array([out[a : a + SLICE].tobytes()], pa.binary())], ["slice", "sum"])
-
-        def add(rows: pa.Table) -> pa.Table:
-            out = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in rows.column("sum").to_pylist())
-            return pa.table([rows.column("slice")[:1], pa.array([out.tobytes()], pa.binary())], schema=pa.schema([("slice", pa.int32()), ("sum", pa.binary())]))
+                yield numbered(a // SLICE, out[a : a + SLICE])
 
-        parts = sample.mapInArrow(sketch, "slice int, sum binary").groupBy("slice").applyInArrow(add, "slice int, sum binary").collect()
-        y = np.zeros((v, width))
-        for r in parts:
-            got = np.frombuffer(r["sum"]).reshape(-1, width)
-            y[r["slice"] * SLICE : r["slice"] * SLICE + len(got)] += got
+        y = np.concatenate([b.reshape(-1, width) for b in totals(passages.mapInArrow(sketch, SUMS), parts, np.float32)])
         own = items.matrix(idf)
         own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-        y += own.T @ (own @ np.random.default_rng(seed).standard_normal((v, width)).astype(np.float32))
-        q = np.linalg.qr(y)[0].astype(np.float32)
-        basis = context.broadcast(q)
+        y += own.T @ (own @ normal())
+        basis = context.broadcast(np.linalg.qr(y)[0].astype(np.float32))
 
         def gram(batches):
             out = np.zeros((width, width))
-            for _, _, _, product in rows_by(basis.value)(batches):
+            for _, _, product, square in products(batches, basis.value):
+                product /= np.sqrt(square)[:, None]
                 out += product.T @ product
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sum"])
+            yield numbered(0, out)
 
-        g = (own @ q).T @ (own @ q) + sum(np.frombuffer(r["sum"]).reshape(width, width) for r in sample.mapInArrow(gram, "sum binary").collect())
+        q = basis.value
+        g = (own @ q).T @ (own @ q) + totals(passages.mapInArrow(gram, SUMS), parts)[0].reshape(width, width)
         return (q @ np.linalg.eigh(g)[1][:, ::-1][:, : self.rank]).astype(np.float32)
 
     def matches(self, docs: DataFrame, key: str = "doc_id") -> DataFrame:

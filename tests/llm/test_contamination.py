@@ -2,7 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from glyphsift.llm import contamination
 
 DATA = "/root/testdata/sf0.01"
@@ -139,3 +141,58 @@ def test_recall_of_edited_items_by_length(spark):
                 got[0] += any(m[1] == i for m in tool.matches(column))
                 got[1] += 1
     assert len(stat) >= 6 and all(hit >= 0.9 * of for hit, of in stat.values()), stat
+
+
+def test_fitted_on_every_passage(spark):
+    """In the latent basis the products of all 60,000 passages are diagonal, so none is left out of the fit."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.concat(F.lit("w"), F.least(F.pmod(F.xxhash64("id", j), F.lit(40)), F.pmod(F.xxhash64(j, "id"), F.lit(40)))))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    bench = spark.createDataFrame([(i, " ".join(f"w{(7 * i + j) % 40}" for j in range(12))) for i in range(10)], "item_id long, text string")
+    screen = next(contamination.Decontaminator(docs, bench, rank=8).screens())
+    hashes, first = contamination.words_in(docs.select("text").toArrow().column(0).combine_chunks())
+    x = np.zeros((60_000, 40))
+    x[np.repeat(np.arange(60_000), np.diff(first)), np.searchsorted(screen.items.vocabulary, hashes)] = 1
+    idf = np.log((1 + len(x)) / (1 + x.sum(0))) + 1e-6
+    x, own = x * idf, screen.items.matrix(idf)
+    x, own = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, own))
+    latent = screen.weighted / idf[:, None]
+    got = latent.T @ (x.T @ x + own.T @ own) @ latent
+    assert np.abs(got - np.diag(np.diag(got))).max() < 1e-4 * np.diag(got).min()
+    best = np.linalg.eigvalsh(x.T @ x + own.T @ own)[::-1][:8]
+    assert np.diag(got).sum() > 0.97 * best.sum()
+
+
+def test_sums_of_many_tasks(spark):
+    """More parts than are added at a time."""
+    rows = spark.range(0, 300, 1, 300).mapInArrow(lambda batches: (contamination.numbered(j, np.full(3, i + j, np.float32)) for b in batches for i in b.column(0).to_pylist() for j in (1, 0)), contamination.SUMS)
+    assert [t.tolist() for t in contamination.totals(rows, 300, np.float32)] == [[44850.0] * 3, [45150.0] * 3]
+
+
+def test_terms_spread_as_they_are_summed():
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 20, 900)
+    term = np.concatenate([np.sort(rng.permutation(np.arange(50) ** 2)[:n]) for n in size]).astype(np.uint16)
+    heads, table = np.cumsum(size) - size, rng.standard_normal((900, 7))
+    out, want = np.zeros((2500, 7)), np.zeros((2500, 7))
+    contamination.spread(term, heads, table, out)
+    np.add.at(want, term, np.repeat(table, size, axis=0))
+    assert np.allclose(out, want)
+
+
+def test_short_items_fill_one_block(spark):
+    """Blocks go by the pieces that items really have."""
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    assert contamination.Decontaminator(bench, bench).blocks == 1
+    long = spark.createDataFrame([(i, "word " * 64 * 32) for i in range(-5, 0)], "item_id long, text string")
+    assert contamination.Decontaminator(bench, long.unionByName(bench)).blocks == 2
+
+
+def test_no_stage_draws_a_sample(spark, edges, monkeypatch):
+    """The pipeline's decontamination reads all rows; nothing draws some of them."""
+
+    def drawn(*_, **__):
+        raise AssertionError("a sample")
+
+    for owner, name in ((F, "rand"), (F, "randn"), (type(edges), "sample"), (type(edges), "sampleBy")):
+        monkeypatch.setattr(owner, name, drawn)
+    assert corpus_pipeline.decontaminated(spark, edges, DATA).count() == edges.count()
