@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, fresh_dir, joined_buffers, mixed, removed, saved, word_hashes, word_spans
+from .common import LETTERS, LOWER, fresh_dir, joined_buffers, mixed, released, removed, saved, word_hashes, word_spans
 
 #: Words of a passage, and from one passage's start to the next's.
 PASSAGE, STRIDE = 64, 32
@@ -23,6 +23,7 @@ def slices(batches, rows: int = 192):
     for batch in batches:
         for a in range(0, len(batch), rows):
             yield batch.slice(a, rows)
+    released()
 
 
 def words_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_buffers, mixed, saved, swept, word_hashes, word_spans
+from .common import joined_buffers, mixed, released, saved, swept, word_hashes, word_spans
 from .components import components, joined
 from .repeats import blobs, packed, unpacked
 
@@ -189,6 +189,7 @@ class Join:
                     often[0] = packed([values[count > 1], count[count > 1].astype("<i4")])
                     first = one[same.reshape(-1)]
                     yield pa.RecordBatch.from_arrays([pa.array(first + b * PLACES), pa.array(first == np.arange(len(first))), pa.array(keys, mask=nulls.astype(bool)), pa.array([len(s) for s in found], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(often, pa.binary())], ["e", "own", "k", "n", "d1", "d2", "frequent"])
+            released()
 
         return self.batches.mapInArrow(f, "e long, own boolean, k long, n long, d1 long, d2 long, frequent binary")
 
@@ -227,6 +228,7 @@ class Join:
                     cut = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
                     out = [packed([sig[by[i:j]], many[by[i:j]].astype("<i4")]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[by[cut[:-1]]]), pa.array(out, pa.binary())], ["bucket", "blob"])
+            released()
 
         schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
@@ -270,6 +272,7 @@ class Join:
                     if sig:
                         columns = [*(np.concatenate(x) for x in (sig, owner, size, rest)), np.array(place, "<i4"), np.concatenate(bits)]
                         yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([packed(columns)], pa.binary())], ["b", "blob"])
+            released()
 
         return self.batches.mapInArrow(f, "b long, blob binary")
 
@@ -311,6 +314,7 @@ class Join:
                     out.append((int(bucket[by[i]]), packed([sig[at], e[at], size[at], rest[at], least[by[i:j]], most[by[i:j]]])))
                 q, x = zip(*out, strict=True) if out else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(x, pa.binary())], ["bucket", "blob"])
+            released()
 
         def across(rows: pa.Table) -> pa.Table:
             got = [unpacked(x, ["<u8", "<i8", "<i4", "<i4", "<i4", "<i4"]) for x in blobs(rows.column("blob"))]
@@ -394,6 +398,7 @@ class Join:
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
+            released()
 
         one = pairs.join(texts.select(F.col("e").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
         two = one.join(texts.select(F.col("e").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
@@ -589,6 +594,7 @@ def rows_of(pairs: DataFrame, counted: bool = False) -> DataFrame:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(blob, ["<i8"] * len(names))], names)
+        released()
 
     rows = pairs.mapInArrow(split, ", ".join(f"{n} long" for n in names))
     return rows.groupBy("a", "b").agg(F.sum("c").alias("c")) if counted else rows.distinct()
