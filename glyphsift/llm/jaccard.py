@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_buffers, mixed, released, saved, swept, word_hashes, word_spans
+from .common import FILE_ROWS, joined_buffers, mixed, released, saved, swept, word_hashes, word_spans
 from .components import components, joined
 from .repeats import blobs, packed, unpacked
 
@@ -25,6 +25,8 @@ ENTRIES = ["<u8", "<i4", "<i4", "<i4", "<i4", "<u8"]
 CROSSING = ["<u8", "<i8", "<i4", "<i4", "<i8", "<i8", "<u8"]
 #: 64-bit numbers of a set's bitmap.
 LANES = 16
+#: Shingles that a task remembers while it checks pairs.
+KNOWN = 1 << 22
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -375,22 +377,27 @@ class Join:
         return self.batches.groupBy("b").cogroup(entries.groupBy("b")).applyInArrow(cut, "e long, t binary")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The pairs whose sets link."""
+        """The pairs whose sets link, in few partitions; pairs are stored already."""
         width, percent = self.width, self.percent
 
         def check(batches):
-            known: dict = {}
+            known, held = {}, 0
 
             def found(e, blob):
+                nonlocal held
                 if e not in known:
-                    if len(known) > 4096:
+                    (raw,) = unpacked(blob.as_py(), ["u1"])
+                    s = shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+                    if held + len(s) > KNOWN:
                         known.clear()
-                    (raw,) = unpacked(blob, ["u1"])
-                    known[e] = shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+                        held = 0
+                    known[e] = s
+                    held += len(s)
                 return known[e]
 
             for batch in batches:
-                a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+                a, b = (c.to_pylist() for c in batch.columns[:2])
+                ta, tb = batch.columns[2:]
                 keep = []
                 for i in range(len(a)):
                     x, y = found(a[i], ta[i]), found(b[i], tb[i])
@@ -402,7 +409,7 @@ class Join:
 
         one = pairs.join(texts.select(F.col("e").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
         two = one.join(texts.select(F.col("e").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
-        return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+        return two.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").repartition(1 + pairs.count() // FILE_ROWS)
 
     def crossing(self, entries: DataFrame, names: DataFrame) -> DataFrame:
         """(bucket, b, blob): the entries of signatures whose sets aren't in one component yet.
@@ -623,7 +630,7 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
     entries = swept(join.entries(join.ranks(sets, boundary), boundary))
     # equal sets of different batches count as one entity from here on
     names = swept(sets.where("own AND n > 0").select("e", "d1", "d2").join(reps.select("d1", "d2", "rep").hint("merge"), ["d1", "d2"]).select("e", "rep"))
-    canon = names.where("e <> rep")
+    canon, n = names.where("e <> rep"), names.count()
 
     stars, answers = join.stars(entries)
     pairs = stars
@@ -641,10 +648,10 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
 
     def placed(roots: DataFrame) -> DataFrame:
         named = roots.select(F.col("node").alias("rep"), "root").hint("merge")
-        return saved(names.join(named, "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root")))
+        return saved(names.join(named, "rep", "left").select("e", "rep", F.coalesce("root", "rep").alias("root")), n)
 
     # at first each set asks the one with which it shares most signatures, and the first of all
-    asked = swept(two(pairs.join(texts.select(F.col("e").alias("a")).hint("merge"), "a", "left_semi").join(texts.select(F.col("e").alias("b")).hint("merge"), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")))
+    asked = swept(two(pairs.join(texts.select(F.col("e").alias("a")).hint("merge"), "a", "left_semi").join(texts.select(F.col("e").alias("b")).hint("merge"), "b", "left_semi"), F.max_by("a", F.struct("c", (-F.col("a")).alias("a"))), F.min("a")), 2 * n)
     roots = components(swept(join.verified(asked, texts)))
     place = placed(roots)
     left = swept(join.crossing(entries, place.where("e <> root")))
@@ -654,9 +661,9 @@ def classes(docs: DataFrame, key: str = "doc_id", rounds: int = 8, **how) -> Dat
             break
         chance = F.xxhash64("a", "b", F.lit(seed))
         some = join.pairs(left, seed).join(asked.hint("merge"), ["a", "b"], "left_anti")
-        some = saved(two(some, F.min_by("a", chance), F.max_by("a", chance)))
+        some = saved(two(some, F.min_by("a", chance), F.max_by("a", chance)), 2 * n)
         new = swept(join.verified(some, texts))
-        asked, roots = saved(asked.unionByName(some)), joined(roots, new)
+        asked, roots = saved(asked.unionByName(some), 2 * n * (seed + 1)), joined(roots, new)
         place = placed(roots)
         fruitless = new.count() * 10 < some.count()
         left = swept(join.crossing(entries, place.where("e <> root")))

@@ -5,8 +5,9 @@ import pytest
 from test_repeats import ordered
 
 import re
+from pathlib import Path
 
-from glyphsift.llm import components, jaccard
+from glyphsift.llm import common, components, jaccard
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -93,3 +94,25 @@ def test_components(spark):
     more = components.joined(roots, spark.createDataFrame([(40, 102), (500, 501)], "a long, b long"))
     named = {r["node"]: r["root"] for r in more.collect()}
     assert named[102] == 1 and named[501] == 500
+
+
+def test_small_tables_go_to_few_files(spark, monkeypatch):
+    """Whatever the number of shuffle partitions; each file may start processes. What tasks remember is bounded too."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = [[f"c{c}x{i}" if i in rng.choice(60, 3, replace=False) else w for i, w in enumerate(base)] for c in range(60)]
+    rows = [(c, " ".join(w)) for c, w in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "KNOWN", 200)
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    there = set(folder.iterdir())
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert got(spark.createDataFrame(rows, "doc_id long, text string"), batch_bytes=2000) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [len(list(d.glob("part-*"))) for d in set(folder.iterdir()) - there]
+    assert len(files) >= 15 and sum(n >= 24 for n in files) <= 8, sorted(files)
