@@ -106,8 +106,9 @@ def cuts_of(docs: DataFrame, labels: DataFrame, key: str, text: str, stratum: st
 
     The cutoffs are one row for each stratum that has one, broadcast if they are at most ``most_strata`` rows.
     """
-    measured = saved(with_rules(metrics(docs, key, text, stratum)))
-    cuts = saved(certified_cutoffs(measured, labels, key, **how).select(F.col("stratum").alias("s"), "cut"))
+    rows = docs.count()
+    measured = saved(with_rules(metrics(docs, key, text, stratum)), rows, slow=True)
+    cuts = saved(certified_cutoffs(measured, labels, key, **how).select(F.col("stratum").alias("s"), "cut"), rows)
     return measured, F.broadcast(cuts) if cuts.count() <= most_strata else cuts
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from test_repeats import ordered
 
 import re
+from pathlib import Path
 
-from glyphsift.llm import mixing, quality, sharding, tokens, urls
+from glyphsift.llm import common, mixing, quality, sharding, tokens, urls
 
 DATA = "/root/testdata/sf0.01"
 
@@ -256,6 +257,25 @@ def test_quality_counts(spark, edges, documents, nothing):
     assert quality.judge(nothing, labels).count() == quality.clean(nothing, labels).count() == 0
 
 
+def test_quality_counts_go_to_few_files(spark, edges):
+    """However many tasks count, and whether keys differ or not; each file may start processes."""
+    folder, coalesced = Path(common.shared_dir(spark).removeprefix("file:")), "spark.sql.adaptive.coalescePartitions.enabled"
+    labels = edges.selectExpr("doc_id", "1 AS quality")
+    for df in (edges, edges.withColumn("doc_id", F.lit(None).cast("long"))):
+        for on in ("true", "false"):
+            there, before = set(folder.iterdir()), spark.conf.get(coalesced)
+            spark.conf.set(coalesced, on)
+            spark.conf.set("spark.sql.shuffle.partitions", "24")
+            try:
+                out = quality.judge(df.repartition(30), labels)
+                assert sorted((tuple(r)[:7] for r in out.collect()), key=str) == sorted(((k, *brute_quality(t)) for k, t in ordered(df)), key=str)
+            finally:
+                spark.conf.set(coalesced, before)
+                spark.conf.set("spark.sql.shuffle.partitions", "4")
+            files = [len(list(d.glob("part-*"))) for d in set(folder.iterdir()) - there]
+            assert len(files) == 2 and max(files) <= 4, files
+
+
 def test_binomial_tail(spark):
     rows = [(n, k) for n in (1, 50, 700) for k in (0, 1, 7, 20) if k <= n]
     df = spark.createDataFrame(rows, "n long, k long").withColumn("p", quality.binomial_tail(F.col("n"), F.col("k"), 0.01))
